@@ -64,9 +64,10 @@ def _outcome(
         .join(failing, "ticker", "left")
         .join(per_ticker, "ticker", "left")
     )
-    failed = F.col("issue").isNotNull() | F.col("rule").isNotNull()
+    silent = F.col("answered_at").isNull()
+    failed = silent | F.col("issue").isNotNull() | F.col("rule").isNotNull()
     status = F.when(failed, "failed").when(F.col("rows_received") > 0, "success").otherwise("empty")
-    error = F.when(F.col("issue").isNotNull(), failure_text(F.lit(kinds[0]), F.col("issue"))).when(
+    error = F.when(silent, F.lit("LandingError: no payload was landed")).when(F.col("issue").isNotNull(), failure_text(F.lit(kinds[0]), F.col("issue"))).when(
         F.col("rule").isNotNull(), failure_text(F.lit(kinds[1]), F.col("rule"))
     )
     low, high = bounds or (None, None)
@@ -241,13 +242,16 @@ def share_query_windows(requests: DataFrame) -> DataFrame:
     instant. Without an end the instant in the ticker's zone is used, without a start
     548 days before the end; the start is floored and the end raised to a whole day.
     """
-    local = F.from_utc_timestamp("instant", F.col("zone"))
-    end = F.coalesce(F.col("end").cast("timestamp"), local)
-    start = F.coalesce(F.col("start").cast("timestamp"), end - F.expr("INTERVAL 548 DAYS"))
+    zone = F.col("zone")
+    end_utc = F.coalesce(F.to_utc_timestamp(F.col("end").cast("timestamp"), zone), F.col("instant"))
+    start_utc = F.coalesce(
+        F.to_utc_timestamp(F.col("start").cast("timestamp"), zone), end_utc - F.expr("INTERVAL 548 DAYS")
+    )
+    end, start = F.from_utc_timestamp(end_utc, zone), F.from_utc_timestamp(start_utc, zone)
     whole = F.date_trunc("day", end) == end
     return requests.select(
         "ticker",
         F.to_date(F.date_trunc("day", start)).alias("query_start"),
         F.when(whole, F.to_date(end)).otherwise(F.date_add(F.to_date(end), 1)).alias("query_end"),
-        (start >= end).alias("reversed"),
+        (start_utc >= end_utc).alias("reversed"),
     )

@@ -147,3 +147,22 @@ def widen_losslessly(df: DataFrame, column: str, target: str) -> DataFrame:
     if not lossy_casts(df, column, target).isEmpty():
         raise ContractError(f"column '{column}' has values that {target} cannot hold exactly")
     return df.withColumn(column, F.col(column).cast(target))
+
+
+def common_numeric_type(frames: list[DataFrame], column: str) -> str:
+    """The first type that holds every value of the column in all frames exactly."""
+    for target in ("bigint", "decimal(20,0)", "double"):
+        if all(lossy_casts(df, column, target).isEmpty() for df in frames):
+            return target
+    raise ContractError(f"no common type holds every value of column '{column}' exactly")
+
+
+def union_losslessly(frames: list[DataFrame], columns: tuple[str, ...]) -> DataFrame:
+    """Union tables whose numeric columns may differ in type, without changing a value."""
+    for column in columns:
+        target = common_numeric_type(frames, column)
+        frames = [df.withColumn(column, F.col(column).cast(target)) for df in frames]
+    combined = frames[0]
+    for more in frames[1:]:
+        combined = combined.unionByName(more)
+    return combined

@@ -125,18 +125,26 @@ def _between(days: str, low: Column, high: Column) -> Column:
     return F.slice(F.col(days), (low + 1).cast("int"), (high - low).cast("int"))
 
 
+def session_spine(prices: DataFrame, bounds: SignalBounds, lookback: int) -> DataFrame:
+    """The dense spine with its session dates and running gap counts."""
+    calendar = bounds.calendar.frame(prices.sparkSession).select(
+        "pos", "session", "next_session", "back_21", "back_252"
+    )
+    return with_running_gaps(dense_spine(prices, bounds, lookback).join(F.broadcast(calendar), "pos"))
+
+
+def raw_signals(prices: DataFrame, bounds: SignalBounds) -> DataFrame:
+    """Raw momentum, daily return and raw volatility per ticker and session, unranked."""
+    spine = with_raw_volatility(with_raw_momentum(session_spine(prices, bounds, MOMENTUM_LAG + 1)))
+    return spine.where(F.col("pos") >= bounds.first)
+
+
 def signal_panel(prices: DataFrame, bounds: SignalBounds, momentum: bool = True, volatility: bool = True) -> DataFrame:
     """Both signals (or one) over one shared spine and one shuffle of the prices."""
     reach = MOMENTUM_LAG if momentum else VOLATILITY_WINDOW
     # Before the panel's first date there are no values, only missing rows, and no
     # diagnostic reaches further back than one lag.
-    lookback = min(REFERENCE_SPAN + reach, bounds.first - bounds.origin + reach + 1)
-    calendar = bounds.calendar.frame(prices.sparkSession).select(
-        "pos", "session", "next_session", "back_21", "back_252"
-    )
-    spine = with_running_gaps(
-        dense_spine(prices, bounds, lookback).join(F.broadcast(calendar), "pos")
-    )
+    spine = session_spine(prices, bounds, min(REFERENCE_SPAN + reach, bounds.first - bounds.origin + reach + 1))
     raw: tuple[str, ...] = ()
     if momentum:
         spine, raw = with_raw_momentum(spine), raw + ("raw_momentum",)

@@ -130,7 +130,7 @@ def _shown(frame: DataFrame, column: str) -> Column:
     if kind == "array<date>":
         return F.array_join(F.col(column).cast("array<string>"), ", ")
     if kind == "double":
-        return F.round(F.col(column), 6).cast("decimal(38,6)").cast("string")
+        return F.round(F.col(column), 6).try_cast("decimal(38,6)").cast("string")
     return F.col(column).cast("string")
 
 

@@ -61,6 +61,16 @@ def _no_nulls(path: str) -> Column:
     return ~F.exists(items, lambda x: x.isNull() | F.is_variant_null(x))
 
 
+def _inexact_wholes(path: str) -> Column:
+    """True when a whole number in the list changes on its way to a double."""
+    texts = F.try_variant_get(F.col("v"), path, "array<string>")
+    whole = F.filter(texts, lambda x: x.rlike("^-?[0-9]+$"))
+    exact = "decimal(38,0)"
+    return F.coalesce(
+        F.exists(whole, lambda x: ~x.try_cast("double").try_cast(exact).eqNullSafe(x.try_cast(exact))), F.lit(False)
+    )
+
+
 def _first_issue(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(broken, F.lit(text)) for broken, text in checks])
 
@@ -158,13 +168,14 @@ def share_payloads(landed: DataFrame) -> DataFrame:
         (~nothing & (_items(SHARES_TIMES) != _items(SHARES_VALUES)), "list lengths differ"),
         (~nothing & ~(_number_list(SHARES_TIMES) & _no_nulls(SHARES_TIMES)), "timestamps are not finite numbers"),
         (~nothing & ~_number_list(SHARES_VALUES), "share counts are not numbers"),
+        (~nothing & _inexact_wholes(SHARES_VALUES), "a share count does not fit a double exactly"),
     )
     return parsed.select(
         "ticker",
         "retrieved_at",
         issue.alias("issue"),
         F.try_variant_get("v", SHARES_TIMES, "array<double>").alias("stamp"),
-        F.try_variant_get("v", SHARES_VALUES, "array<decimal(38,6)>").alias("shares_outstanding"),
+        F.try_variant_get("v", SHARES_VALUES, "array<double>").alias("shares_outstanding"),
     )
 
 
@@ -176,7 +187,7 @@ def share_rows(parsed: DataFrame) -> DataFrame:
     return rows.select(
         F.to_date(F.timestamp_seconds("stamp")).alias("date"),
         "ticker",
-        F.col("shares_outstanding").cast("double").alias("shares_outstanding"),
+        "shares_outstanding",
         "retrieved_at",
     ).select(*SHARE_COLUMNS)
 
@@ -273,3 +284,17 @@ def unpivot_wide(table: DataFrame, tickers: list[str], retrieved_at: Column, day
     ]
     rows = table.select(F.to_date(day).alias("date"), F.inline(F.array(*entries)))
     return rows.withColumn("retrieved_at", retrieved_at).select(*PRICE_COLUMNS)
+
+
+def normalize_shares(series: DataFrame, ticker: str | Column, retrieved_at: Column) -> DataFrame:
+    """A provider series of (stamp text with offset, value) to canonical rows, nulls kept.
+
+    The date is the stamp's own local date: the offset is dropped, not converted.
+    """
+    named = F.lit(ticker) if isinstance(ticker, str) else ticker
+    return series.select(
+        F.to_date(F.substring("stamp", 1, 10)).alias("date"),
+        named.alias("ticker"),
+        F.col("value").cast("double").alias("shares_outstanding"),
+        retrieved_at.alias("retrieved_at"),
+    )

@@ -37,12 +37,11 @@ def panel_calendar(sf_dir: str) -> SessionCalendar:
     return SessionCalendar.around(*_ship_range(sf_dir))
 
 
+@lru_cache(maxsize=None)
 def panel_sessions(sf_dir: str) -> tuple[date, date]:
-    """First and last session the shipped lines can fall on."""
-    calendar = panel_calendar(sf_dir)
-    low, high = _ship_range(sf_dir)
-    days = calendar.sessions
-    return days[calendar.index_from(low)], days[calendar.index_until(high)]
+    """First and last session on which a line was shipped."""
+    row = shipped_lines(SparkSession.getActiveSession(), sf_dir).agg(F.min("date"), F.max("date")).first()
+    return row[0], row[1]
 
 
 def desk_name(slot: Column) -> Column:
@@ -238,3 +237,158 @@ def request_bounds(sf_dir: str) -> tuple[date, date]:
     """A request window that starts ten days before the first session and ends after the last."""
     first, last = panel_sessions(sf_dir)
     return first - timedelta(days=10), last + timedelta(days=1)
+
+
+# Nations whose suppliers' payloads show one provider defect each.
+WRONG_SYMBOL, NO_TIMES, TEXT_VOLUME, OLD_DATES, MIDNIGHT = 3, 7, 11, 13, 5
+WRONG_SHARES, NO_SHARES, UNEVEN_SHARES = 4, 8, 12
+
+
+def landed_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chart payload per supplier, built from its daily bars, some with a defect."""
+    daily = bars(shipped_lines(spark, sf_dir, per=1), supplier_name).drop("retrieved_at")
+    suppliers = read_table(spark, sf_dir, "supplier").select(
+        supplier_name(F.col("s_suppkey")).alias("ticker"), "s_nationkey", "s_acctbal"
+    )
+    entry = F.struct("date", *PRICE_VALUES)
+    series = daily.groupBy("ticker").agg(F.sort_array(F.collect_list(entry)).alias("d"))
+    nation = F.col("s_nationkey")
+    opening = F.when(nation == MIDNIGHT, 4 * 3600).when(nation == OLD_DATES, -3650 * 86400).otherwise(14 * 3600 + 1800)
+    stamps = F.when(
+        nation != NO_TIMES,
+        F.transform("d", lambda x: F.unix_seconds(x["date"].cast("timestamp")) + opening),
+    )
+    units = F.when(nation == TEXT_VOLUME, F.transform("d.volume", lambda x: F.concat(F.lit("about "), x.cast("string"))))
+
+    def chart(volumes: Column) -> Column:
+        quote = F.struct(
+            *[F.col(f"d.{c}").alias(c) for c in ("open", "high", "low", "close")], volumes.alias("volume")
+        )
+        return F.struct(
+            F.struct(
+                F.array(
+                    F.struct(
+                        F.struct(
+                            F.when(nation == WRONG_SYMBOL, F.lower("ticker")).otherwise(F.col("ticker")).alias("symbol"),
+                            F.lit("America/New_York").alias("exchangeTimezoneName"),
+                        ).alias("meta"),
+                        stamps.alias("timestamp"),
+                        F.struct(
+                            F.array(quote).alias("quote"),
+                            F.array(F.struct(F.col("d.adjusted_close").alias("adjclose"))).alias("adjclose"),
+                        ).alias("indicators"),
+                    )
+                ).alias("result"),
+                F.lit(None).cast("string").alias("error"),
+            ).alias("chart")
+        )
+
+    keep = {"ignoreNullFields": "false"}
+    refusal = F.lit('{"chart": {"result": null, "error": {"code": "Not Found", "description": "No data found"}}}')
+    payload = (
+        F.when(F.col("s_acctbal") < 0, refusal)
+        .when(nation == TEXT_VOLUME, F.to_json(chart(units), keep))
+        .otherwise(F.to_json(chart(F.col("d.volume")), keep))
+    )
+    return suppliers.join(series, "ticker").select(
+        "ticker",
+        payload.alias("payload"),
+        (F.lit("2002-01-01").cast("timestamp") + F.make_dt_interval(hours=nation)).alias("retrieved_at"),
+    )
+
+
+def chart_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier, and the region indexes, for which nothing was landed."""
+    suppliers = read_table(spark, sf_dir, "supplier").select(supplier_name(F.col("s_suppkey")).alias("ticker"))
+    indexes = read_table(spark, sf_dir, "region").select(
+        F.concat(F.lit("IDX"), F.lpad(F.col("r_regionkey").cast("string"), 3, "0")).alias("ticker")
+    )
+    return suppliers.unionByName(indexes)
+
+
+def landed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One share payload per customer nation, some with a defect."""
+    counts = share_counts(spark, sf_dir)
+    nation = F.substring("ticker", 7, 3).cast("int")
+    series = counts.groupBy("ticker").agg(
+        F.sort_array(F.collect_list(F.struct("date", "shares_outstanding"))).alias("d")
+    )
+    values = F.when(nation != NO_SHARES, F.col("d.shares_outstanding"))
+    values = F.when(nation == UNEVEN_SHARES, F.slice(values, 2, F.size("d"))).otherwise(values)
+    body = F.struct(
+        F.struct(
+            F.array(
+                F.struct(
+                    F.struct(
+                        F.array(F.when(nation == WRONG_SHARES, F.lit("OTHER")).otherwise(F.col("ticker"))).alias("symbol")
+                    ).alias("meta"),
+                    F.transform("d.date", lambda x: F.unix_seconds(x.cast("timestamp"))).alias("timestamp"),
+                    values.alias("shares_out"),
+                )
+            ).alias("result")
+        ).alias("timeseries")
+    )
+    return series.select(
+        "ticker",
+        F.to_json(body).alias("payload"),
+        (F.lit("2002-01-01").cast("timestamp") + F.make_dt_interval(hours=nation)).alias("retrieved_at"),
+    )
+
+
+def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped lines by the region of their supplier."""
+    nations = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    homes = (
+        read_table(spark, sf_dir, "supplier")
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(F.col("s_suppkey").alias("slot"), F.col("n_regionkey").cast("bigint").alias("region"))
+    )
+    lines = shipped_lines(spark, sf_dir, per=1)
+    return lines.join(homes, "slot").withColumn("slot", F.col("region")).drop("region")
+
+
+def region_name(slot: Column) -> Column:
+    return F.concat(F.lit("REG"), slot.cast("string"))
+
+
+def wide_region_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per date with 'field|ticker' columns for the five regions."""
+    daily = bars(region_lines(spark, sf_dir), region_name)
+    labels = {"open": "Open", "high": "High", "low": "Low", "close": "Close", "adjusted_close": "Adj Close", "volume": "Volume"}
+    cells = [
+        F.max(F.when(F.col("ticker") == f"REG{r}", F.col(field))).alias(f"{label}|REG{r}")
+        for r in range(5)
+        for field, label in labels.items()
+    ]
+    return daily.groupBy("date").agg(*cells)
+
+
+def flat_market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ticker's flat table with provider spellings of the field labels."""
+    lines = shipped_lines(spark, sf_dir).withColumn("slot", F.lit(0).cast("bigint"))
+    daily = bars(lines, lambda slot: F.lit("MARKET"))
+    return daily.select(
+        "date",
+        F.col("open").alias("Open"),
+        F.col("high").alias("HIGH"),
+        F.col("low").alias(" low "),
+        F.col("close").alias("Close"),
+        F.col("adjusted_close").alias("Adj_Close"),
+        F.col("volume").cast("bigint").alias("Volume"),
+        F.lit("ignored").alias("Dividends"),
+    )
+
+
+def claims(prices: DataFrame, start: date, end: date) -> DataFrame:
+    """Successful retrieval statuses that claim exactly these rows."""
+    return prices.groupBy("ticker").agg(
+        F.lit("success").alias("status"),
+        F.count(F.lit(1)).alias("rows_received"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.max("retrieved_at").alias("retrieved_at"),
+        F.lit(start).alias("query_start"),
+        F.lit(end).alias("query_end"),
+        F.array_sort(F.collect_list("date")).alias("returned_dates"),
+        F.lit(None).cast("string").alias("error"),
+    )
