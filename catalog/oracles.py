@@ -533,10 +533,13 @@ GROUP BY ticker, date HAVING count(DISTINCT CAST(units AS VARCHAR) || (side = 'O
 
 def _shares(where: str = "true") -> str:
     return f"""
-SELECT CAST(o_orderdate AS DATE) AS date, 'NATION' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS ticker,
-       CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE o_orderstatus <> 'O') AS DOUBLE) AS shares_outstanding,
-       CAST(o_orderdate AS DATE) + to_hours(max(CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) + 21) AS retrieved_at
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where} GROUP BY ALL"""
+SELECT date, ticker, shares_outstanding, CAST(date AS TIMESTAMP) + to_hours(hour + 21) AS retrieved_at
+FROM (
+  SELECT CAST(o_orderdate AS DATE) AS date, 'NATION' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS ticker,
+         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE o_orderstatus <> 'O') AS DOUBLE) AS shares_outstanding,
+         max(CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) AS hour
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where} GROUP BY 1, 2
+)"""
 
 
 cte("shares")(_shares())
@@ -791,7 +794,7 @@ oracle("normalize_flat_prices", f"{FIXED_SELECT} px_market", "px_market")
 oracle(
     "normalize_shares",
     """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, 'CUST' || o_custkey AS ticker,
-CASE WHEN o_orderstatus <> 'O' THEN round(o_totalprice) END AS shares_outstanding, '2002-01-01 06:00:00' AS retrieved_at
+CASE WHEN o_orderstatus <> 'O' THEN floor(o_totalprice) END AS shares_outstanding, '2002-01-01 06:00:00' AS retrieved_at
 FROM orders""",
 )
 oracle(
@@ -861,3 +864,422 @@ WHEN 'signup' THEN 'note-' || event_id ELSE {RUN} END AS name,
 CASE event_type WHEN 'error' THEN 'quarantined' WHEN 'view' THEN 'temporary' WHEN 'signup' THEN 'rejected' ELSE 'run' END AS kind
 FROM events""",
 )
+
+
+# ---------------------------------------------------------------- evaluation
+
+cte("ev", "cal", "bounds")("SELECT session, pos FROM cal JOIN bounds b ON session BETWEEN b.lo - 10 AND b.hi")
+oracle(
+    "evaluation_slice",
+    f"""SELECT ticker, {day('date')}, close, adjusted_close FROM px
+WHERE date BETWEEN DATE '1996-01-02' AND DATE '2000-12-29' AND ticker IN (SELECT ticker FROM univ)""",
+    "px",
+    "univ",
+)
+cte("cov_px", "univ", "ev", "px", "bounds")(
+    """
+SELECT u.ticker, min(p.retrieved_at) AS input_first_retrieved_at, max(p.retrieved_at) AS input_last_retrieved_at,
+       min(p.date) AS first_canonical_date, max(p.date) AS last_canonical_date,
+       count(*) AS expected_xnys_observation_count, count(p.date) AS present_xnys_observation_count,
+       count(*) - count(p.date) AS missing_canonical_count,
+       coalesce(string_agg(CAST(session AS VARCHAR), ',' ORDER BY session) FILTER (WHERE p.date IS NULL), '') AS missing_canonical_dates,
+       count(*) FILTER (WHERE p.date IS NOT NULL AND p.adjusted_close IS NULL) AS missing_adjusted_close_count,
+       coalesce(string_agg(CAST(session AS VARCHAR), ',' ORDER BY session)
+                FILTER (WHERE p.date IS NOT NULL AND p.adjusted_close IS NULL), '') AS missing_adjusted_close_dates,
+       min(p.date) FILTER (WHERE p.adjusted_close IS NOT NULL) AS first_adjusted_close_date,
+       max(p.date) FILTER (WHERE p.adjusted_close IS NOT NULL) AS last_adjusted_close_date,
+       bool_or(session = b.hi AND p.date IS NOT NULL) AS target_price_row_present,
+       bool_or(session = b.hi AND p.adjusted_close IS NOT NULL) AS target_adjusted_close_present
+FROM univ u JOIN ev ON true JOIN bounds b ON true LEFT JOIN px p ON p.ticker = u.ticker AND p.date = session GROUP BY u.ticker
+"""
+)
+
+
+def _signal_cov(prefix: str, frame: str, raw: str, display: str, display_name: str, percentile: str, status: str) -> str:
+    return f"""
+SELECT *, CASE WHEN NOT seen THEN 'ticker_unavailable' WHEN {prefix}_target_raw IS NULL THEN 'raw_ineligible'
+               WHEN {prefix}_target_percentile IS NULL THEN 'insufficient_reference_history' ELSE 'eligible' END
+          AS {prefix}_target_normalization_status,
+       {prefix}_target_raw IS NOT NULL AS {prefix}_target_raw_eligible,
+       {prefix}_target_percentile IS NOT NULL AS {prefix}_target_normalized_eligible,
+       last_pos - (SELECT pos FROM cal c WHERE c.session = {prefix}_last_raw_date) AS {prefix}_raw_staleness_sessions,
+       last_pos - (SELECT pos FROM cal c WHERE c.session = {prefix}_last_normalized_date) AS {prefix}_normalized_staleness_sessions
+FROM (
+  SELECT u.ticker, any_value(b.hi_pos) AS last_pos,
+         min(s.signal_date) FILTER (WHERE s.{raw} IS NOT NULL) AS {prefix}_first_raw_date,
+         max(s.signal_date) FILTER (WHERE s.{raw} IS NOT NULL) AS {prefix}_last_raw_date,
+         min(s.signal_date) FILTER (WHERE s.{percentile} IS NOT NULL) AS {prefix}_first_normalized_date,
+         max(s.signal_date) FILTER (WHERE s.{percentile} IS NOT NULL) AS {prefix}_last_normalized_date,
+         round(max(s.{raw}) FILTER (WHERE s.signal_date = b.hi), 6) AS {prefix}_target_raw,
+         round(max(s.{display}) FILTER (WHERE s.signal_date = b.hi), 6) AS {prefix}_target_{display_name},
+         max(s.{percentile}) FILTER (WHERE s.signal_date = b.hi) AS {prefix}_target_percentile,
+         coalesce(max(s.{status}) FILTER (WHERE s.signal_date = b.hi), 'ticker_unavailable') AS {prefix}_target_status,
+         max(s.normalization_reference_count) FILTER (WHERE s.signal_date = b.hi) AS {prefix}_target_reference_count,
+         count(s.ticker) > 0 AS seen
+  FROM univ u JOIN bounds b ON true LEFT JOIN {frame} s ON s.ticker = u.ticker GROUP BY u.ticker
+)"""
+
+
+cte("cov_mom", "univ", "bounds", "mom", "cal")(
+    _signal_cov("momentum", "mom", "raw_momentum", "simple_return_pct", "simple_return_pct", "momentum_percentile", "endpoint_status")
+)
+cte("cov_vol", "univ", "bounds", "vol", "cal")(
+    _signal_cov(
+        "volatility",
+        "vol",
+        "raw_annualized_volatility",
+        "annualized_volatility_pct",
+        "annualized_pct",
+        "volatility_percentile",
+        "window_status",
+    )
+)
+cte("cov", "univ", "bounds", "cal", "cov_px", "cov_mom", "cov_vol")(
+    """
+SELECT u.ord, u.ticker, u.name, u.category, 'not_requested' AS acquisition_status,
+       CAST(NULL AS VARCHAR) AS acquisition_error, CAST(NULL AS BIGINT) AS acquisition_rows_received,
+       CAST(NULL AS VARCHAR) AS acquisition_retrieved_at, p.*EXCLUDE (ticker),
+       b.lo - 10 AS request_start, b.hi + 1 AS request_end_exclusive, b.hi AS target_session,
+       b.hi_pos - (SELECT pos FROM cal c WHERE c.session = p.last_adjusted_close_date) AS price_staleness_sessions,
+       m.*EXCLUDE (ticker, last_pos, seen), v.*EXCLUDE (ticker, last_pos, seen)
+FROM univ u JOIN cov_px p USING (ticker) JOIN cov_mom m USING (ticker) JOIN cov_vol v USING (ticker), bounds b
+"""
+)
+COVERAGE_DATES = (
+    "request_start request_end_exclusive target_session first_canonical_date last_canonical_date first_adjusted_close_date "
+    "last_adjusted_close_date momentum_first_raw_date momentum_last_raw_date momentum_first_normalized_date "
+    "momentum_last_normalized_date volatility_first_raw_date volatility_last_raw_date volatility_first_normalized_date "
+    "volatility_last_normalized_date"
+).split()
+COVERAGE_INSTANTS = ("input_first_retrieved_at", "input_last_retrieved_at")
+oracle(
+    "coverage",
+    "SELECT * REPLACE ("
+    + ", ".join(
+        [f"CAST({c} AS VARCHAR) AS {c}" for c in COVERAGE_DATES]
+        + [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in COVERAGE_INSTANTS]
+    )
+    + ") FROM cov",
+    "cov",
+)
+PX_DATES = ("first_canonical_date", "last_canonical_date", "first_adjusted_close_date", "last_adjusted_close_date")
+oracle(
+    "coverage_prices",
+    "SELECT * EXCLUDE (expected_xnys_observation_count, missing_canonical_count, missing_adjusted_close_count) REPLACE ("
+    + ", ".join(
+        [f"CAST({c} AS VARCHAR) AS {c}" for c in PX_DATES]
+        + [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in COVERAGE_INSTANTS]
+    )
+    + ") FROM cov_px WHERE present_xnys_observation_count > 0",
+    "cov_px",
+)
+oracle(
+    "coverage_missing_dates",
+    "SELECT ticker, missing_canonical_dates FROM cov_px WHERE present_xnys_observation_count > 0",
+    "cov_px",
+)
+
+# ---------------------------------------------------------------- dependence
+
+cte("pairs", "mom", "vol", "univ")(
+    """
+SELECT u.ord, ticker, signal_date, momentum_percentile AS x, volatility_percentile AS y
+FROM mom JOIN vol USING (ticker, signal_date) JOIN univ u USING (ticker)
+WHERE momentum_percentile IS NOT NULL AND volatility_percentile IS NOT NULL
+"""
+)
+
+
+def _correlated(group: str) -> str:
+    return f"""
+SELECT {group}, count(*) AS pair_count, min(signal_date) AS first_date, max(signal_date) AS last_date,
+       string_agg(ticker, ',' ORDER BY ord) AS members,
+       CASE WHEN count(*) < 3 THEN 'insufficient_pairs' WHEN min(x) = max(x) OR min(y) = max(y) THEN 'constant_input'
+            ELSE 'available' END AS status,
+       CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson,
+       CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman
+FROM (
+  SELECT *, rank() OVER (PARTITION BY {group} ORDER BY x) + (count(*) OVER (PARTITION BY {group}, x) - 1) / 2.0::DOUBLE AS rx,
+         rank() OVER (PARTITION BY {group} ORDER BY y) + (count(*) OVER (PARTITION BY {group}, y) - 1) / 2.0::DOUBLE AS ry
+  FROM pairs
+) GROUP BY {group}"""
+
+
+cte("by_ticker", "pairs")(_correlated("ticker"))
+cte("by_session", "pairs")(_correlated("signal_date"))
+oracle("dependence_pearson", "SELECT ticker, pair_count, status, round(pearson, 6) AS pearson FROM by_ticker", "by_ticker")
+oracle("dependence_spearman", "SELECT ticker, pair_count, status, round(spearman, 6) AS spearman FROM by_ticker", "by_ticker")
+cte("dep_ticker", "univ", "by_ticker")(
+    """
+SELECT 'per_etf' AS scope, estimator, u.ticker, CAST(NULL AS VARCHAR) AS signal_date, coalesce(pair_count, 0) AS pair_count,
+       CAST(first_date AS VARCHAR) AS first_signal_date, CAST(last_date AS VARCHAR) AS last_signal_date,
+       CASE WHEN pair_count > 0 THEN u.ticker ELSE '' END AS included_tickers, 'not_applicable' AS universe_status,
+       coalesce(status, 'insufficient_pairs') AS status,
+       CASE WHEN status = 'available' THEN round(CASE estimator WHEN 'pearson' THEN pearson ELSE spearman END, 6) END AS estimate
+FROM univ u LEFT JOIN by_ticker USING (ticker), (SELECT unnest(['pearson', 'spearman']) AS estimator)
+"""
+)
+cte("dep_session", "ev", "by_session", "univ")(
+    """
+SELECT 'per_session' AS scope, estimator, CAST(NULL AS VARCHAR) AS ticker, CAST(session AS VARCHAR) AS signal_date,
+       coalesce(pair_count, 0) AS pair_count, CAST(first_date AS VARCHAR) AS first_signal_date,
+       CAST(last_date AS VARCHAR) AS last_signal_date, coalesce(members, '') AS included_tickers,
+       CASE WHEN pair_count = (SELECT count(*) FROM univ) THEN 'full_universe' ELSE 'incomplete_universe' END AS universe_status,
+       coalesce(status, 'insufficient_pairs') AS status,
+       CASE WHEN status = 'available' THEN round(CASE estimator WHEN 'pearson' THEN pearson ELSE spearman END, 6) END AS estimate
+FROM ev LEFT JOIN by_session ON signal_date = session, (SELECT unnest(['pearson', 'spearman']) AS estimator)
+"""
+)
+oracle("dependence_by_ticker", "SELECT * FROM dep_ticker", "dep_ticker")
+oracle("dependence_by_session", "SELECT * FROM dep_session", "dep_session")
+oracle("dependence", "SELECT * FROM dep_ticker UNION ALL SELECT * FROM dep_session", "dep_ticker", "dep_session")
+oracle(
+    "dependence_history",
+    "SELECT signal_date, pair_count, universe_status, status, estimate FROM dep_session WHERE estimator = 'spearman'",
+    "dep_session",
+)
+
+# ---------------------------------------------------------------- publication and verification
+
+oracle(
+    "publish_manifest",
+    """
+SELECT 'input_prices' AS artifact, 'input_prices.parquet' AS filename, 9 AS fields, count(*) AS row_count FROM px
+UNION ALL SELECT 'coverage', 'coverage.parquet', 54, count(*) FROM univ
+UNION ALL SELECT 'momentum', 'momentum.parquet', 18, count(*) FROM mom
+UNION ALL SELECT 'volatility', 'volatility.parquet', 15, count(*) FROM vol
+UNION ALL SELECT 'dependence', 'dependence.parquet', 11, (SELECT count(*) FROM dep_ticker) + (SELECT count(*) FROM dep_session)""",
+    "px",
+    "univ",
+    "mom",
+    "vol",
+    "dep_ticker",
+    "dep_session",
+)
+oracle(
+    "artifact_inventory",
+    """
+SELECT 'input_prices' AS artifact, 'input_prices.parquet' AS filename, (SELECT count(*) FROM px) AS row_count, position, field, type
+FROM (VALUES (1, 'date', 'date'), (2, 'ticker', 'string'), (3, 'open', 'double'), (4, 'high', 'double'), (5, 'low', 'double'),
+             (6, 'close', 'double'), (7, 'adjusted_close', 'double'), (8, 'volume', 'double'), (9, 'retrieved_at', 'timestamp'))
+     AS t (position, field, type)""",
+    "px",
+)
+oracle(
+    "verify_row_counts",
+    """
+SELECT artifact, row_count, row_count AS demanded FROM (
+  SELECT 'coverage' AS artifact, count(*) AS row_count FROM univ
+  UNION ALL SELECT 'momentum', (SELECT count(DISTINCT ticker) FROM px) * (SELECT hi_pos - lo_pos + 1 FROM bounds)
+  UNION ALL SELECT 'volatility', (SELECT count(DISTINCT ticker) FROM px) * (SELECT hi_pos - lo_pos + 1 FROM bounds)
+  UNION ALL SELECT 'dependence', 2 * ((SELECT count(*) FROM univ) + (SELECT count(*) FROM ev))
+)""",
+    "univ",
+    "px",
+    "bounds",
+    "ev",
+)
+oracle(
+    "verify_momentum_contract",
+    f"""
+SELECT 'percentile_out_of_range' AS rule, ticker, {day('signal_date')} FROM mom
+WHERE isodow(signal_date) = 5 AND momentum_percentile IS NOT NULL
+UNION ALL SELECT 'contradictory_status', ticker, CAST(signal_date AS VARCHAR) FROM mom
+WHERE isodow(signal_date) = 1 AND endpoint_status = 'missing_start_row'
+UNION ALL SELECT 'missing_row_dates', ticker, CAST(signal_date AS VARCHAR) FROM mom
+WHERE isodow(signal_date) = 3 AND interior_missing_row_count > 0""",
+    "mom",
+)
+oracle(
+    "verify_volatility_contract",
+    f"""
+SELECT 'display_differs' AS rule, ticker, {day('signal_date')} FROM vol
+WHERE isodow(signal_date) = 5 AND raw_annualized_volatility > 0
+UNION ALL SELECT unnest(['eligibility_differs', 'value_contradicts_eligibility']), ticker, CAST(signal_date AS VARCHAR) FROM vol
+WHERE isodow(signal_date) = 1 AND NOT window_eligible
+UNION ALL SELECT 'percentile_contradicts_history', ticker, CAST(signal_date AS VARCHAR) FROM vol
+WHERE isodow(signal_date) = 1 AND NOT window_eligible AND normalization_reference_count >= 252
+UNION ALL SELECT 'prospective_session_differs', ticker, CAST(signal_date AS VARCHAR) FROM vol WHERE isodow(signal_date) = 3""",
+    "vol",
+)
+oracle(
+    "verify_key_population",
+    """
+SELECT CASE WHEN n IS NULL THEN 'ticker_without_rows' ELSE 'incomplete_sessions' END AS rule, ticker
+FROM (SELECT DISTINCT ticker FROM px) LEFT JOIN (SELECT ticker, count(*) AS n FROM px_first GROUP BY ticker) USING (ticker), bounds b
+WHERE n IS NULL OR n <> b.hi_pos - b.lo_pos + 1""",
+    "px",
+    "px_first",
+    "bounds",
+)
+DIAGNOSED = (
+    "endpoint_status start_adjusted_close end_adjusted_close interior_missing_row_dates interior_missing_adjusted_close_dates"
+).split()
+oracle(
+    "verify_input_diagnostics",
+    "\nUNION ALL ".join(
+        f"SELECT ticker, CAST(signal_date AS VARCHAR) AS signal_date, '{c}' AS field FROM first_mom a JOIN mom b "
+        f"USING (ticker, signal_date) WHERE a.{c} IS DISTINCT FROM b.{c}"
+        for c in DIAGNOSED
+    ),
+    "first_mom",
+    "mom",
+)
+
+
+def _surplus(name: str, frame: str) -> str:
+    return (
+        f"SELECT '{name}' AS artifact, 'left' AS only_in, count(*) AS rows FROM (SELECT * EXCLUDE (pos) FROM first_{frame} "
+        f"EXCEPT ALL SELECT * EXCLUDE (pos) FROM {frame})\n"
+        f"UNION ALL SELECT '{name}', 'right', count(*) FROM (SELECT * EXCLUDE (pos) FROM {frame} "
+        f"EXCEPT ALL SELECT * EXCLUDE (pos) FROM first_{frame})"
+    )
+
+
+oracle(
+    "verify_regeneration",
+    _surplus("momentum", "mom") + "\nUNION ALL " + _surplus("volatility", "vol"),
+    "first_mom",
+    "mom",
+    "first_vol",
+    "vol",
+)
+oracle(
+    "verify_coverage_counts",
+    """
+SELECT unnest(['counts_do_not_add_up', 'missing_dates_differ']) AS rule, ticker FROM cov
+WHERE category <> 'NATION_1' AND missing_adjusted_close_count > 0
+UNION ALL SELECT 'instrument_without_row', ticker FROM univ WHERE category = 'NATION_1'""",
+    "cov",
+    "univ",
+)
+oracle(
+    "verify_coverage_fields",
+    """
+SELECT ticker, 'row_missing' AS field FROM univ WHERE category = 'NATION_1'
+UNION ALL SELECT ticker, 'price_staleness_sessions' FROM cov WHERE category <> 'NATION_1' AND price_staleness_sessions IS NULL
+UNION ALL SELECT ticker, 'momentum_target_status' FROM cov WHERE category <> 'NATION_1' AND target_price_row_present""",
+    "cov",
+    "univ",
+)
+oracle(
+    "verify_dependence_contract",
+    """
+SELECT 'unknown_estimator' AS rule, scope, 'kendall' AS estimator, ticker, signal_date FROM dep_ticker WHERE ticker = 'IDX001'
+UNION ALL SELECT unnest(['status_contradicts_estimate', 'too_few_pairs']), scope, estimator, ticker, signal_date
+FROM dep_ticker WHERE ticker = 'IDX002'
+UNION ALL SELECT 'duplicate_key', 'per_etf', 'kendall', 'IDX001', NULL
+UNION ALL SELECT 'row_count_differs', NULL, NULL, NULL, NULL""",
+    "dep_ticker",
+)
+cte("acquired", "px")(
+    """
+SELECT * REPLACE (CASE WHEN CAST(substr(ticker, 5, 7) AS BIGINT) % 2 = 0 THEN TIMESTAMP '2002-01-01 06:00:00'
+                  ELSE retrieved_at END AS retrieved_at) FROM px
+"""
+)
+oracle(
+    "verify_provenance",
+    """
+SELECT unnest(list_filter([CASE WHEN seen <> n THEN 'row_count_differs' END,
+                           CASE WHEN lo_seen IS DISTINCT FROM lo THEN 'first_date_differs' END,
+                           CASE WHEN hi_seen IS DISTINCT FROM hi THEN 'last_date_differs' END], lambda x: x IS NOT NULL)) AS rule, ticker
+FROM (
+  SELECT a.ticker, c.n, c.lo, c.hi, count(*) FILTER (WHERE a.retrieved_at = c.at) AS seen,
+         min(a.date) FILTER (WHERE a.retrieved_at = c.at) AS lo_seen, max(a.date) FILTER (WHERE a.retrieved_at = c.at) AS hi_seen
+  FROM acquired a JOIN (
+    SELECT ticker, count(*) AS n, min(date) AS lo, max(date) AS hi, max(retrieved_at) AS at FROM acquired GROUP BY ticker
+  ) c USING (ticker) GROUP BY a.ticker, c.n, c.lo, c.hi
+)""",
+    "acquired",
+)
+oracle(
+    "verify_ticker_metadata",
+    """
+SELECT 'query_window_differs' AS rule, ticker FROM (SELECT DISTINCT ticker FROM px)
+UNION ALL SELECT 'status_contradicts_mode', NULL WHERE false
+UNION ALL SELECT 'status_contradicts_mode', ticker FROM univ WHERE ticker NOT IN (SELECT ticker FROM px)""",
+    "px",
+    "univ",
+)
+
+# ---------------------------------------------------------------- reports
+
+
+def _overview(c: str, display: str) -> str:
+    return f"""
+SELECT ord, ticker, name, category, CAST(target_session AS VARCHAR) AS target_session, {c}_target_raw AS raw,
+       {c}_target_{display} AS display_pct, {c}_target_percentile AS percentile, {c}_target_status AS status,
+       {c}_target_normalization_status AS normalization_status, {c}_target_raw_eligible AS raw_eligible,
+       {c}_target_normalized_eligible AS normalized_eligible, {c}_target_reference_count AS reference_count,
+       price_staleness_sessions, {c}_raw_staleness_sessions AS raw_staleness_sessions,
+       {c}_normalized_staleness_sessions AS percentile_staleness_sessions, acquisition_status
+FROM cov ORDER BY ord"""
+
+
+oracle("overview_momentum", _overview("momentum", "simple_return_pct"), "cov")
+oracle("overview_volatility", _overview("volatility", "annualized_pct"), "cov")
+oracle(
+    "current_percentiles",
+    "\nUNION ALL ".join(
+        f"SELECT ord, ticker, '{c}' AS component, {c}_target_percentile AS percentile, "
+        f"{c}_target_normalization_status AS normalization_status FROM cov WHERE {c}_target_percentile IS NOT NULL"
+        for c in ("momentum", "volatility")
+    ),
+    "cov",
+)
+oracle(
+    "price_history_gaps",
+    f"""
+SELECT ticker, {day('session', 'date')}, adj AS adjusted_close, NOT row_present AS is_gap
+FROM grid JOIN bounds b ON session BETWEEN b.lo AND b.hi""",
+    "grid",
+    "bounds",
+)
+MEASURES = (
+    ("Price staleness", "price_staleness_sessions", "acquisition_status"),
+    ("Momentum raw staleness", "momentum_raw_staleness_sessions", "momentum_target_status"),
+    ("Momentum normalized staleness", "momentum_normalized_staleness_sessions", "momentum_target_normalization_status"),
+    ("Volatility raw staleness", "volatility_raw_staleness_sessions", "volatility_target_status"),
+    ("Volatility normalized staleness", "volatility_normalized_staleness_sessions", "volatility_target_normalization_status"),
+)
+oracle(
+    "staleness_table",
+    "SELECT *, CASE WHEN sessions IS NULL THEN 'missing' WHEN sessions > 0 THEN 'stale' ELSE 'current' END AS flag FROM ("
+    + "\nUNION ALL ".join(
+        f"SELECT ord, ticker, '{m}' AS measure, {n} AS sessions, {v} AS verified_status FROM cov" for m, n, v in MEASURES
+    )
+    + ")",
+    "cov",
+)
+
+
+def _number(c: str) -> str:
+    return f"CAST(CAST(round({c}, 6) AS DECIMAL(38, 6)) AS VARCHAR)"
+
+
+DETAIL = (
+    ("Observation date", "CAST(signal_date AS VARCHAR)"),
+    ("252-session endpoint start", "CAST(endpoint_start_date AS VARCHAR)"),
+    ("252-session endpoint end", "CAST(endpoint_end_date AS VARCHAR)"),
+    ("First prospective-use session", "CAST(first_prospective_session AS VARCHAR)"),
+    ("Endpoint eligible", "CAST(endpoint_eligible AS VARCHAR)"),
+    ("Endpoint status", "endpoint_status"),
+    ("Raw Momentum", _number("raw_momentum")),
+    ("Simple return", _number("simple_return_pct")),
+    ("Own-history percentile", _number("momentum_percentile")),
+    ("Normalization reference count", "CAST(normalization_reference_count AS VARCHAR)"),
+    ("Interior missing rows", "CAST(interior_missing_row_count AS VARCHAR)"),
+    ("Interior missing-row dates", "replace(interior_missing_row_dates, ',', ', ')"),
+    ("Interior missing adjusted closes", "CAST(interior_missing_adjusted_close_count AS VARCHAR)"),
+    ("Interior missing-adjusted-close dates", "replace(interior_missing_adjusted_close_dates, ',', ', ')"),
+)
+oracle(
+    "observation_detail",
+    "\nUNION ALL ".join(
+        f"SELECT ticker, '{label}' AS field, {value} AS value FROM mom JOIN bounds b ON signal_date = b.hi" for label, value in DETAIL
+    ),
+    "mom",
+    "bounds",
+)
+oracle("verify_run", 'SELECT \'\' AS "check", \'\' AS rule, \'\' AS subject WHERE false')

@@ -530,7 +530,7 @@ def normalize_flat_prices(spark, sf_dir):
 def normalize_shares(spark, sf_dir):
     series = tb.read_table(spark, sf_dir, "orders").select(
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T23:30:00-05:00")).alias("stamp"),
-        F.when(F.col("o_orderstatus") != "O", F.rint("o_totalprice")).alias("value"),
+        F.when(F.col("o_orderstatus") != "O", F.floor("o_totalprice")).alias("value"),
         F.concat(F.lit("CUST"), F.col("o_custkey")).alias("name"),
     )
     return flat(pl.normalize_shares(series, F.col("name"), F.lit(FIXED_INSTANT)))

@@ -155,7 +155,10 @@ def verify_run(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame],
         "coverage_counts": verify.coverage_counts(frames["coverage"], universe, sessions),
         "coverage_fields": verify.field_differences(frames["coverage"], again["coverage"], ["ticker"]),
         "dependence_contract": verify.dependence_contract(frames["dependence"], universe.count(), sessions),
-        "regeneration": verify.regeneration(frames, again),
+        "dependence_fields": verify.dependence_differences(frames["dependence"], again["dependence"]),
+        "regeneration": verify.regeneration(
+            frames, {name: again[name] for name in ("input_prices", "momentum", "volatility")}
+        ),
     }
     combined = None
     for check, found in results.items():

@@ -167,26 +167,45 @@ def key_population(frame: DataFrame, prices: DataFrame, calendar: SessionCalenda
     return _broken(rows.join(priced, "ticker", "full_outer"), rules, "ticker")
 
 
-def field_differences(stored: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys and fields on which a stored table differs from its recomputation."""
+def field_differences(
+    stored: DataFrame, expected: DataFrame, keys: list[str], tolerance: dict[str, float] | None = None
+) -> DataFrame:
+    """Keys and fields on which a stored table differs from its recomputation.
+
+    Correlations add doubles in whatever order tasks finish, so such a field may be
+    given an absolute tolerance; every other field must be equal.
+    """
     s, e = stored.withColumn("_s", F.lit(1)).alias("s"), expected.withColumn("_e", F.lit(1)).alias("e")
     fields = [c for c in expected.columns if c not in keys]
+
+    def differs(name: str) -> Column:
+        a, b = F.col(f"s.{name}"), F.col(f"e.{name}")
+        unequal = ~a.eqNullSafe(b)
+        if tolerance and name in tolerance:
+            unequal = unequal & F.coalesce(F.abs(a - b) > tolerance[name], F.lit(True))
+        return F.col("_s").isNotNull() & F.col("_e").isNotNull() & unequal
+
     names = F.array_compact(
         F.array(
             F.when(F.col("_s").isNull(), F.lit("row_missing")),
             F.when(F.col("_e").isNull(), F.lit("row_unexpected")),
-            *[
-                F.when(
-                    F.col("_s").isNotNull() & F.col("_e").isNotNull() & ~F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}")),
-                    F.lit(c),
-                )
-                for c in fields
-            ],
+            *[F.when(differs(c), F.lit(c)) for c in fields],
         )
     )
     return s.join(e, keys, "full_outer").select(*keys, F.explode(names).alias("field"))
 
 
+def dependence_differences(stored: DataFrame, expected: DataFrame) -> DataFrame:
+    """Dependence rows that differ from their recomputation; the estimate within 1e-9."""
+
+    def keyed(frame: DataFrame) -> DataFrame:
+        parts = ("scope", "estimator", "ticker", "signal_date")
+        return frame.withColumn("subject", F.concat_ws("|", *[F.col(p).cast("string") for p in parts]))
+
+    found = field_differences(keyed(stored), keyed(expected), ["subject"], {"estimate": 1e-9})
+    return found.withColumnRenamed("subject", "ticker")
+
+
 DIAGNOSTICS = {
     "momentum": (
         "ticker",
