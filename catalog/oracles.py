@@ -151,20 +151,22 @@ GROUP BY a.ticker, a.pos, a.{raw}"""
 
 
 
-def signal_chain(p: str, px: str) -> None:
-    """Bounds, grid, momentum and volatility of one price table, under a name prefix."""
-    cte(f"{p}bounds", px, "cal")(
-    f"""
+cte("bounds", "px", "cal")(
+    """
 SELECT lo, hi, (SELECT pos FROM cal WHERE session = lo) AS lo_pos, (SELECT pos FROM cal WHERE session = hi) AS hi_pos
-FROM (SELECT min(date) AS lo, max(date) AS hi FROM {px})
+FROM (SELECT min(date) AS lo, max(date) AS hi FROM px)
 """
 )
-    cte(f"{p}grid", px, "cal", f"{p}bounds")(
+
+
+def signal_chain(p: str, px: str) -> None:
+    """Grid, momentum and volatility of one price table, under a name prefix."""
+    cte(f"{p}grid", px, "cal", "bounds")(
     f"""
 SELECT t.ticker, c.pos, c.session, c.next_session, c.back_21, c.back_252,
        p.date IS NOT NULL AS row_present, p.adjusted_close AS adj
 FROM (SELECT DISTINCT ticker FROM {px}) t
-JOIN cal c ON true JOIN {p}bounds b ON c.pos BETWEEN b.lo_pos - 253 AND b.hi_pos
+JOIN cal c ON true JOIN bounds b ON c.pos BETWEEN b.lo_pos - 253 AND b.hi_pos
 LEFT JOIN {px} p ON p.ticker = t.ticker AND p.date = c.session
 """
 )
@@ -189,7 +191,7 @@ SELECT ticker, pos, count(*) FILTER (WHERE NOT row_present) OVER w AS row_n,
 FROM {p}grid WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 251 PRECEDING AND 1 PRECEDING)
 """
 )
-    cte(f"{p}mom", f"{p}mom_raw", f"{p}mom_rank", f"{p}mom_gaps", f"{p}bounds")(
+    cte(f"{p}mom", f"{p}mom_raw", f"{p}mom_rank", f"{p}mom_gaps", "bounds")(
     f"""
 SELECT r.ticker, r.pos, r.session AS signal_date, r.back_252 AS endpoint_start_date, r.session AS endpoint_end_date,
        r.start_adj AS start_adjusted_close, r.adj AS end_adjusted_close, r.raw AS raw_momentum,
@@ -204,7 +206,7 @@ SELECT r.ticker, r.pos, r.session AS signal_date, r.back_252 AS endpoint_start_d
        m.row_n AS interior_missing_row_count, m.row_days AS interior_missing_row_dates,
        m.value_n AS interior_missing_adjusted_close_count, m.value_days AS interior_missing_adjusted_close_dates
 FROM {p}mom_raw r JOIN {p}mom_rank k USING (ticker, pos) JOIN {p}mom_gaps m USING (ticker, pos)
-JOIN {p}bounds b ON r.pos BETWEEN b.lo_pos AND b.hi_pos
+JOIN bounds b ON r.pos BETWEEN b.lo_pos AND b.hi_pos
 """
 )
     cte(f"{p}vol_ret", f"{p}grid")(
@@ -232,7 +234,7 @@ SELECT ticker, pos, count(*) FILTER (WHERE NOT row_present) OVER w AS row_n,
 FROM {p}grid WINDOW w AS (PARTITION BY ticker ORDER BY pos ROWS BETWEEN 21 PRECEDING AND CURRENT ROW)
 """
 )
-    cte(f"{p}vol", f"{p}vol_raw", f"{p}vol_rank", f"{p}vol_gaps", f"{p}bounds")(
+    cte(f"{p}vol", f"{p}vol_raw", f"{p}vol_rank", f"{p}vol_gaps", "bounds")(
     f"""
 SELECT r.ticker, r.pos, r.session AS signal_date, r.back_21 AS window_start_date, r.session AS window_end_date,
        r.raw AS raw_annualized_volatility, 100.0::DOUBLE * r.raw AS annualized_volatility_pct,
@@ -243,7 +245,7 @@ SELECT r.ticker, r.pos, r.session AS signal_date, r.back_21 AS window_start_date
        g.row_n AS missing_row_count, g.row_days AS missing_row_dates,
        g.value_n AS missing_adjusted_close_count, g.value_days AS missing_adjusted_close_dates
 FROM {p}vol_raw r JOIN {p}vol_rank k USING (ticker, pos) JOIN {p}vol_gaps g USING (ticker, pos)
-JOIN {p}bounds b ON r.pos BETWEEN b.lo_pos AND b.hi_pos
+JOIN bounds b ON r.pos BETWEEN b.lo_pos AND b.hi_pos
 """
 )
 

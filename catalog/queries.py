@@ -102,7 +102,7 @@ def target_of(sf_dir) -> EvaluationTarget:
 def signals_of(spark, sf_dir, prices=None):
     """Both signals of a panel, computed once into the shared folder."""
     prices = prices_of(spark, sf_dir) if prices is None else prices
-    bounds = sp.signal_bounds(prices, end=target_of(sf_dir).target_session)
+    bounds = sp.signal_bounds(prices, price_range=tb.panel_sessions(sf_dir))
     return sg.stored_signals(prices, bounds, new_folder(spark, "signals"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,11 +27,28 @@ def requested_tickers(requests: DataFrame) -> DataFrame:
     )
 
 
-def _failing(rows: DataFrame, rules: list[Rule], values: tuple[str, ...], window) -> DataFrame:
-    """The first broken rule of every ticker that breaks one."""
-    found = row_violations(rows, rules).select("priority", "rule", "ticker")
+@dataclass(frozen=True)
+class BatchKind:
+    """What a batch of prices or of shares checks, and how it names its failures."""
+
+    values: tuple[str, ...]
+    rules: Callable[[], list[Rule]]
+    parse_error: str
+    data_error: str
+
+
+PRICES = BatchKind(PRICE_VALUES, price_rules, "PriceNormalizationError", "PriceDataValidationError")
+SHARES = BatchKind(SHARE_VALUES, share_rules, "SharesNormalizationError", "ShareDataValidationError")
+
+
+def failing_tickers(kind: BatchKind, rows: DataFrame, window: tuple[date, date] | None = None) -> DataFrame:
+    """The first broken rule of every ticker that breaks one.
+
+    Only prices have a window: share query bounds are hints to the provider.
+    """
+    found = row_violations(rows, kind.rules()).select("priority", "rule", "ticker")
     conflicts = (
-        grouped_copies(rows, values)
+        grouped_copies(rows, kind.values)
         .where("in_conflict")
         .select(F.lit(5).alias("priority"), F.lit("conflicting_duplicates").alias("rule"), "ticker")
     )
@@ -39,19 +58,21 @@ def _failing(rows: DataFrame, rules: list[Rule], values: tuple[str, ...], window
     return found.groupBy("ticker").agg(F.min(F.struct("priority", "rule"))["rule"].alias("rule"))
 
 
-def _outcome(
+def accepted_rows(kind: BatchKind, rows: DataFrame, failing: DataFrame) -> DataFrame:
+    """Rows of the tickers that break no rule; one bad row fails its ticker and no other."""
+    return grouped_copies(rows.join(failing, "ticker", "left_anti"), kind.values).select(*rows.columns)
+
+
+def batch_statuses(
+    kind: BatchKind,
     parsed: DataFrame,
-    rows: DataFrame,
+    failing: DataFrame,
+    accepted: DataFrame,
     requests: DataFrame,
-    rules: list[Rule],
-    values: tuple[str, ...],
-    bounds: tuple[date, date] | None,
-    check_window: bool,
-    kinds: tuple[str, str],
-) -> tuple[DataFrame, DataFrame]:
-    failing = _failing(rows, rules, values, bounds if check_window else None)
-    good = grouped_copies(rows.join(failing, "ticker", "left_anti"), values).select(*rows.columns)
-    per_ticker = good.groupBy("ticker").agg(
+    window: tuple[date | None, date | None] = (None, None),
+) -> DataFrame:
+    """One status per requested ticker: success, empty or failed."""
+    per_ticker = accepted.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("rows_received"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
@@ -67,40 +88,23 @@ def _outcome(
     silent = F.col("answered_at").isNull()
     failed = silent | F.col("issue").isNotNull() | F.col("rule").isNotNull()
     status = F.when(failed, "failed").when(F.col("rows_received") > 0, "success").otherwise("empty")
-    error = F.when(silent, F.lit("LandingError: no payload was landed")).when(F.col("issue").isNotNull(), failure_text(F.lit(kinds[0]), F.col("issue"))).when(
-        F.col("rule").isNotNull(), failure_text(F.lit(kinds[1]), F.col("rule"))
+    error = (
+        F.when(silent, F.lit("LandingError: no payload was landed"))
+        .when(F.col("issue").isNotNull(), failure_text(F.lit(kind.parse_error), F.col("issue")))
+        .when(F.col("rule").isNotNull(), failure_text(F.lit(kind.data_error), F.col("rule")))
     )
-    low, high = bounds or (None, None)
-    statuses = joined.select(
+    return joined.select(
         "ticker",
         status.alias("status"),
         F.coalesce("rows_received", F.lit(0).cast("bigint")).alias("rows_received"),
         "first_date",
         "last_date",
         F.when(~failed, F.col("answered_at")).alias("retrieved_at"),
-        F.lit(low).cast("date").alias("query_start"),
-        F.lit(high).cast("date").alias("query_end"),
+        F.lit(window[0]).cast("date").alias("query_start"),
+        F.lit(window[1]).cast("date").alias("query_end"),
         F.coalesce("returned_dates", F.expr("cast(array() as array<date>)")).alias("returned_dates"),
         error.alias("error"),
     )
-    return good, statuses
-
-
-def price_batch(
-    parsed: DataFrame, rows: DataFrame, requests: DataFrame, start: date, end: date
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of the successful tickers and one status per requested ticker.
-
-    Any invalid or out-of-window row fails its whole ticker and no other.
-    """
-    kinds = ("PriceNormalizationError", "PriceDataValidationError")
-    return _outcome(parsed, rows, requests, price_rules(), PRICE_VALUES, (start, end), True, kinds)
-
-
-def share_batch(parsed: DataFrame, rows: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As for prices; share query bounds are hints only, so no row is out of window."""
-    kinds = ("SharesNormalizationError", "ShareDataValidationError")
-    return _outcome(parsed, rows, requests, share_rules(), SHARE_VALUES, None, False, kinds)
 
 
 def batch_retrieved_at(statuses: DataFrame) -> DataFrame:

@@ -11,7 +11,15 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.operators.batches import price_batch, requested_tickers, share_batch
+from tickerloom.operators.batches import (
+    PRICES,
+    SHARES,
+    BatchKind,
+    accepted_rows,
+    batch_statuses,
+    failing_tickers,
+    requested_tickers,
+)
 from tickerloom.operators.coverage import coverage, evaluation_calendar, evaluation_slice
 from tickerloom.operators.dependence import dependence
 from tickerloom.operators.quality import price_rules, share_rules
@@ -45,21 +53,27 @@ def _checked_requests(requests: DataFrame) -> DataFrame:
     return asked.select("ticker")
 
 
+def _land(kind: BatchKind, parsed: DataFrame, read_rows, requests: DataFrame, window=None) -> tuple[DataFrame, DataFrame]:
+    """Each step is written once, so no later one repeats the parse."""
+    requests = _checked_requests(requests)
+    parsed = stored(parsed, "parsed")
+    rows = stored(read_rows(parsed), "rows")
+    failing = failing_tickers(kind, rows, window)
+    accepted = stored(accepted_rows(kind, rows, failing), "incoming")
+    statuses = batch_statuses(kind, parsed, failing, accepted, requests, window or (None, None))
+    return accepted, stored(statuses, "statuses")
+
+
 def land_prices(landed: DataFrame, requests: DataFrame, start: date, end: date) -> tuple[DataFrame, DataFrame]:
-    """Payloads to (rows, statuses); both parse results are written once and read back."""
+    """Price payloads to the rows of the successful tickers and a status per request."""
     if start >= end:
         raise ContractError("start must be earlier than the exclusive end")
-    parsed = stored(chart_payloads(landed), "charts")
-    rows = stored(chart_rows(parsed), "chart-rows")
-    good, statuses = price_batch(parsed, rows, _checked_requests(requests), start, end)
-    return stored(good, "incoming"), stored(statuses, "statuses")
+    return _land(PRICES, chart_payloads(landed), chart_rows, requests, (start, end))
 
 
 def land_shares(landed: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = stored(share_payloads(landed), "share-lists")
-    rows = stored(share_rows(parsed), "share-rows")
-    good, statuses = share_batch(parsed, rows, _checked_requests(requests))
-    return stored(good, "incoming"), stored(statuses, "statuses")
+    """Share payloads to rows and statuses; bounds are hints, so no row is out of window."""
+    return _land(SHARES, share_payloads(landed), share_rows, requests)
 
 
 def update_prices(

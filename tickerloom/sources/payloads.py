@@ -1,8 +1,8 @@
 """Provider JSON and wide or flat provider tables to canonical rows.
 
 Landing data come as one payload text per requested ticker, with the response's
-``retrieved_at``. Payloads are read as variants, which keep the JSON type of every
-value, so "numeric or null only" can be checked without guessing from text.
+``retrieved_at``. Variants keep the JSON type of every value, so "numeric or null
+only" can be checked without guessing from text.
 """
 
 from __future__ import annotations
@@ -79,53 +79,102 @@ def _valid_symbol(symbol: Column) -> Column:
     return F.coalesce((symbol != "") & (symbol == F.trim(symbol)), F.lit(False))
 
 
-def chart_payloads(landed: DataFrame) -> DataFrame:
-    """Parse price payloads: (ticker, payload, retrieved_at) → one row with lists or an error."""
-    parsed = landed.withColumn("v", F.try_parse_json("payload"))
-    symbol = _text("$.chart.result[0].meta.symbol")
-    zone = _text("$.chart.result[0].meta.exchangeTimezoneName")
+_LIST = "array<double>"
+_CHART = (
+    "chart struct<error: string, result: array<struct<"
+    "meta: struct<symbol: string, exchangeTimezoneName: string>, timestamp: array<bigint>, "
+    f"indicators: struct<quote: array<struct<{', '.join(f'{c}: {_LIST}' for c in REQUIRED_FIELDS)}>>, "
+    f"adjclose: array<struct<adjclose: {_LIST}>>>>>>, bad string"
+)
+
+
+def _chart_type_issue() -> Column:
+    """What has the wrong JSON type, for the payloads that did not fit the typed schema."""
     fields = {c: f"{CHART_QUOTE}[0].{c}" for c in REQUIRED_FIELDS}
     no_times = _absent(CHART_TIMES) | (_items(CHART_TIMES) == 0)
     adjusted = f"{CHART_ADJUSTED}[0].adjclose"
-    issue = _first_issue(
-        (~_is_object("$"), "payload is not an object"),
-        (~_is_object("$.chart"), "chart object is missing"),
-        (~_absent(CHART_ERROR), "provider reported an error"),
-        (_items(CHART_RESULT).isNull(), "result list is missing"),
-        (_items(CHART_RESULT) == 0, "result list is empty"),
-        ((_items(CHART_RESULT) != 1) | ~_is_object(f"{CHART_RESULT}[0]"), "result must hold one object"),
-        (~_is_object(f"{CHART_RESULT}[0].meta"), "meta object is missing"),
-        (~_valid_symbol(symbol), "symbol is missing or padded"),
-        (symbol != F.upper("ticker"), "symbol differs from the requested ticker"),
-        (F.coalesce(zone, F.lit("")) == "", "exchange timezone is missing"),
-        (
-            F.coalesce(_items(CHART_QUOTE) != 1, F.lit(True)) | ~_is_object(f"{CHART_QUOTE}[0]"),
-            "quote indicator is missing",
-        ),
-        (~no_times & ~(_number_list(CHART_TIMES, whole=True) & _no_nulls(CHART_TIMES)), "timestamps are not whole epochs"),
-        *[
-            (~no_times & (~_number_list(p) | (_items(p) != _items(CHART_TIMES))), f"field {c} is malformed")
-            for c, p in fields.items()
-        ],
-        (
-            ~no_times
-            & ~_absent(CHART_ADJUSTED)
-            & (
-                (_items(CHART_ADJUSTED) != 1)
-                | ~_number_list(adjusted)
-                | (_items(adjusted) != _items(CHART_TIMES))
+    return F.coalesce(
+        _first_issue(
+            (~_is_object("$"), "payload is not an object"),
+            (~_is_object("$.chart"), "chart object is missing"),
+            (~_absent(CHART_ERROR), "provider reported an error"),
+            (_items(CHART_RESULT).isNull(), "result list is missing"),
+            ((_items(CHART_RESULT) != 1) | ~_is_object(f"{CHART_RESULT}[0]"), "result must hold one object"),
+            (~_is_object(f"{CHART_RESULT}[0].meta"), "meta object is missing"),
+            (
+                F.coalesce(_items(CHART_QUOTE) != 1, F.lit(True)) | ~_is_object(f"{CHART_QUOTE}[0]"),
+                "quote indicator is missing",
+            ),
+            (
+                ~no_times & ~(_number_list(CHART_TIMES, whole=True) & _no_nulls(CHART_TIMES)),
+                "timestamps are not whole epochs",
             ),
-            "adjusted close is malformed",
+            *[(~no_times & ~_number_list(p), f"field {c} is malformed") for c, p in fields.items()],
+            (~no_times & ~_absent(CHART_ADJUSTED) & ~_number_list(adjusted), "adjusted close is malformed"),
         ),
+        F.lit("payload has a value of the wrong type"),
+    )
+
+
+def chart_payloads(landed: DataFrame) -> DataFrame:
+    """Parse price payloads: (ticker, payload, retrieved_at) → one row with lists or an error.
+
+    A typed parse reads every payload once; only those with a value that does not fit
+    are read again as variants, to say which value it is.
+    """
+    parsed = landed.withColumn(
+        "c", F.from_json("payload", _CHART, {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
+    )
+    misfit = F.col("c.bad").isNotNull() | F.col("c").isNull()
+    parsed = parsed.withColumn("v", F.when(misfit, F.try_parse_json("payload"))).withColumns(
+        {
+            "result": F.col("c.chart.result"),
+            "first": F.get("c.chart.result", F.lit(0)),
+            "quote": F.get("c.chart.result", F.lit(0))["indicators"]["quote"],
+            "adjusted": F.get("c.chart.result", F.lit(0))["indicators"]["adjclose"],
+        }
+    )
+    times = F.col("first.timestamp")
+    count = F.size(times)
+    some_times = times.isNotNull() & (count > 0)
+    lists = {c: F.get("quote", F.lit(0))[c] for c in REQUIRED_FIELDS}
+    closes = F.get("adjusted", F.lit(0))["adjclose"]
+    symbol, zone = F.col("first.meta.symbol"), F.col("first.meta.exchangeTimezoneName")
+
+    def short(values: Column) -> Column:
+        return values.isNull() | (F.size(values) != count)
+
+    issue = F.when(misfit, _chart_type_issue()).otherwise(
+        _first_issue(
+            (F.col("c.chart").isNull(), "chart object is missing"),
+            (F.col("c.chart.error").isNotNull(), "provider reported an error"),
+            (F.col("result").isNull(), "result list is missing"),
+            (F.size("result") == 0, "result list is empty"),
+            ((F.size("result") != 1) | F.col("first").isNull(), "result must hold one object"),
+            (F.col("first.meta").isNull(), "meta object is missing"),
+            (~_valid_symbol(symbol), "symbol is missing or padded"),
+            (symbol != F.upper("ticker"), "symbol differs from the requested ticker"),
+            (F.coalesce(zone, F.lit("")) == "", "exchange timezone is missing"),
+            (
+                F.col("quote").isNull() | (F.size("quote") != 1) | F.get("quote", F.lit(0)).isNull(),
+                "quote indicator is missing",
+            ),
+            (some_times & F.exists(times, lambda t: t.isNull()), "timestamps are not whole epochs"),
+            *[(some_times & short(values), f"field {c} is malformed") for c, values in lists.items()],
+            (
+                some_times & F.col("adjusted").isNotNull() & ((F.size("adjusted") != 1) | short(closes)),
+                "adjusted close is malformed",
+            ),
+        )
     )
     return parsed.select(
         "ticker",
         "retrieved_at",
         issue.alias("issue"),
         zone.alias("zone"),
-        F.try_variant_get("v", CHART_TIMES, "array<bigint>").alias("stamp"),
-        *[F.try_variant_get("v", p, "array<double>").alias(c) for c, p in fields.items()],
-        F.try_variant_get("v", adjusted, "array<double>").alias("adjusted_close"),
+        times.alias("stamp"),
+        *[values.alias(c) for c, values in lists.items()],
+        closes.alias("adjusted_close"),
     )
 
 
