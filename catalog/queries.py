@@ -70,7 +70,7 @@ def volatility(spark, sf_dir):
 
 @query
 def session_calendar(spark, sf_dir):
-    return flat(tb.panel_calendar(sf_dir).frame(spark))
+    return flat(tb.panel_calendar(sf_dir).with_closes(spark))
 
 
 @query
@@ -701,7 +701,13 @@ def frames_of(spark, sf_dir):
     dependence_rows = dp.dependence_by_ticker(pairs, universe).unionByName(
         dp.dependence_by_session(pairs, universe, calendar, target.request_start, target.target_session)
     )
-    return {"input_prices": prices, "coverage": rows, "momentum": m, "volatility": v, "dependence": dependence_rows}
+    return {
+        "input_prices": prices,
+        "coverage": stored(rows, "coverage"),
+        "momentum": m,
+        "volatility": v,
+        "dependence": stored(dependence_rows, "dependence"),
+    }
 
 
 @query

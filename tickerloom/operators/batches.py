@@ -6,24 +6,23 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.labels import failure_text
-from tickerloom.operators.quality import Rule, outside_window, price_rules, row_violations, share_rules
-from tickerloom.operators.vintages import grouped_copies
-from tickerloom.schemas import KEY, PRICE_VALUES, SHARE_VALUES
+from tickerloom.operators.quality import Rule, outside_window_rule, price_rules, row_violations, share_rules
+from tickerloom.schemas import KEY, PRICE_COLUMNS, PRICE_VALUES, SHARE_COLUMNS, SHARE_VALUES
 
 
 def requested_tickers(requests: DataFrame) -> DataFrame:
-    """Requested tickers, trimmed, with the request problems that stop a batch."""
-    trimmed = requests.select(F.trim("ticker").alias("ticker"))
-    peers = Window.partitionBy(F.lower("ticker"))
-    return trimmed.select(
+    """Requested tickers, trimmed and folded by case, with the problems that stop a batch."""
+    trimmed = requests.select(F.coalesce(F.trim("ticker"), F.lit("")).alias("ticker"))
+    folded = trimmed.groupBy(F.lower("ticker").alias("folded")).agg(
+        F.min("ticker").alias("ticker"), F.count(F.lit(1)).alias("copies")
+    )
+    return folded.select(
         "ticker",
-        F.when(F.coalesce("ticker", F.lit("")) == "", "blank_ticker")
-        .when(F.count(F.lit(1)).over(peers) > 1, "duplicate_ticker")
-        .alias("problem"),
+        F.when(F.col("ticker") == "", "blank_ticker").when(F.col("copies") > 1, "duplicate_ticker").alias("problem"),
     )
 
 
@@ -31,36 +30,32 @@ def requested_tickers(requests: DataFrame) -> DataFrame:
 class BatchKind:
     """What a batch of prices or of shares checks, and how it names its failures."""
 
+    columns: tuple[str, ...]
     values: tuple[str, ...]
     rules: Callable[[], list[Rule]]
     parse_error: str
     data_error: str
 
 
-PRICES = BatchKind(PRICE_VALUES, price_rules, "PriceNormalizationError", "PriceDataValidationError")
-SHARES = BatchKind(SHARE_VALUES, share_rules, "SharesNormalizationError", "ShareDataValidationError")
+PRICES = BatchKind(PRICE_COLUMNS, PRICE_VALUES, price_rules, "PriceNormalizationError", "PriceDataValidationError")
+SHARES = BatchKind(SHARE_COLUMNS, SHARE_VALUES, share_rules, "SharesNormalizationError", "ShareDataValidationError")
 
 
-def failing_tickers(kind: BatchKind, rows: DataFrame, window: tuple[date, date] | None = None) -> DataFrame:
-    """The first broken rule of every ticker that breaks one.
+def failing_tickers(kind: BatchKind, copies: DataFrame, window: tuple[date, date] | None = None) -> DataFrame:
+    """The first broken rule of every ticker that breaks one, from its grouped copies.
 
     Only prices have a window: share query bounds are hints to the provider.
     """
-    found = row_violations(rows, kind.rules()).select("priority", "rule", "ticker")
-    conflicts = (
-        grouped_copies(rows, kind.values)
-        .where("in_conflict")
-        .select(F.lit(5).alias("priority"), F.lit("conflicting_duplicates").alias("rule"), "ticker")
-    )
-    found = found.unionByName(conflicts)
+    rules = [Rule(5, "conflicting_duplicates", F.col("in_conflict")), *kind.rules()]
     if window:
-        found = found.unionByName(outside_window(rows, *window).drop("date"))
+        rules.append(outside_window_rule(*window))
+    found = row_violations(copies, rules)
     return found.groupBy("ticker").agg(F.min(F.struct("priority", "rule"))["rule"].alias("rule"))
 
 
-def accepted_rows(kind: BatchKind, rows: DataFrame, failing: DataFrame) -> DataFrame:
+def accepted_rows(copies: DataFrame, failing: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows of the tickers that break no rule; one bad row fails its ticker and no other."""
-    return grouped_copies(rows.join(failing, "ticker", "left_anti"), kind.values).select(*rows.columns)
+    return copies.join(failing, "ticker", "left_anti").select(*columns)
 
 
 def batch_statuses(

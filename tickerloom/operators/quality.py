@@ -99,12 +99,13 @@ def violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return row_violations(df, rules).unionByName(doubled)
 
 
+def outside_window_rule(start: date, end: date) -> Rule:
+    """The half-open request window; any row outside fails its whole ticker."""
+    return Rule(70, "outside_request_window", (F.col("date") < F.lit(start)) | (F.col("date") >= F.lit(end)))
+
+
 def outside_window(df: DataFrame, start: date, end: date) -> DataFrame:
-    """Rows outside the half-open request window; any such row fails its whole ticker."""
-    outside = (F.col("date") < F.lit(start)) | (F.col("date") >= F.lit(end))
-    return df.where(outside).select(
-        F.lit(70).alias("priority"), F.lit("outside_request_window").alias("rule"), "ticker", "date"
-    )
+    return row_violations(df, [outside_window_rule(start, end)])
 
 
 def first_examples(found: DataFrame, limit: int = EXAMPLES) -> DataFrame:

@@ -37,8 +37,9 @@ def evaluate(
 ) -> Evaluation:
     """Compute the five frames of an evaluation.
 
-    The price slice and both signals are written to the shared folder once; coverage
-    and dependence read those tables instead of repeating the signal pipeline.
+    Every frame is written to the shared folder once. Coverage and dependence read the
+    written signals instead of repeating their pipeline, and publication compares files
+    with tables that cannot change between two reads.
     """
     validate_universe(universe)
     spark = prices.sparkSession
@@ -67,6 +68,7 @@ def evaluate(
     pairs = stored(paired_percentiles(momentum, volatility, universe), "pairs")
     by_ticker = dependence_by_ticker(pairs, universe)
     by_session = dependence_by_session(pairs, universe, calendar, target.request_start, target.target_session)
+    dependence = by_ticker.unionByName(by_session).select(*DEPENDENCE_COLUMNS)
     return Evaluation(
         mode,
         target,
@@ -74,9 +76,9 @@ def evaluate(
         statuses,
         {
             "input_prices": sliced,
-            "coverage": coverage(sliced, universe, target, momentum, volatility, statuses),
+            "coverage": stored(coverage(sliced, universe, target, momentum, volatility, statuses), "coverage"),
             "momentum": momentum,
             "volatility": volatility,
-            "dependence": by_ticker.unionByName(by_session).select(*DEPENDENCE_COLUMNS),
+            "dependence": stored(dependence, "dependence"),
         },
     )

@@ -24,6 +24,7 @@ from tickerloom.operators.coverage import coverage, evaluation_calendar, evaluat
 from tickerloom.operators.dependence import dependence
 from tickerloom.operators.quality import price_rules, share_rules
 from tickerloom.operators.signals import momentum, volatility
+from tickerloom.operators.vintages import grouped_copies
 from tickerloom.plans import verify
 from tickerloom.plans.evaluate import Evaluation, evaluate
 from tickerloom.plans.publish import artifact_violations, publish, read_run
@@ -57,9 +58,9 @@ def _land(kind: BatchKind, parsed: DataFrame, read_rows, requests: DataFrame, wi
     """Each step is written once, so no later one repeats the parse."""
     requests = _checked_requests(requests)
     parsed = stored(parsed, "parsed")
-    rows = stored(read_rows(parsed), "rows")
-    failing = failing_tickers(kind, rows, window)
-    accepted = stored(accepted_rows(kind, rows, failing), "incoming")
+    copies = stored(grouped_copies(read_rows(parsed), kind.values), "copies")
+    failing = failing_tickers(kind, copies, window)
+    accepted = stored(accepted_rows(copies, failing, kind.columns), "incoming")
     statuses = batch_statuses(kind, parsed, failing, accepted, requests, window or (None, None))
     return accepted, stored(statuses, "statuses")
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "tickerloom") -> SparkSession:
+def local_session(cores: int | str = 8, app: str = "tickerloom", **settings: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -19,12 +20,19 @@ def local_session(cores: int | str = 8, app: str = "tickerloom") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+@lru_cache(maxsize=None)
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="tickerloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,9 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tickerloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _test_folder()
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:

@@ -150,28 +150,28 @@ class SessionCalendar:
         return F.expr(f"array_except({days}, concat({', '.join(off)}))" if off else days)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """One row per session with its position, neighbours and UTC close."""
-        years = range(self.first.year, self.last.year + 1)
-        early = [d for y in years for d in early_closes(y)]
-        local_close = F.when(
-            F.col("session").isin(early), F.expr("INTERVAL 13 HOURS")
-        ).otherwise(F.expr("INTERVAL 16 HOURS"))
+        """One row per session with its position and neighbours."""
         return (
             spark.range(1)
             .select(self.session_array().alias("days"))
             .select("days", F.posexplode("days").alias("pos", "session"))
-            .select(
+            .selectExpr(
                 "pos",
                 "session",
-                F.get("days", F.col("pos") + 1).alias("next_session"),
-                F.get("days", F.col("pos") - VOLATILITY_WINDOW).alias("back_21"),
-                F.get("days", F.col("pos") - MOMENTUM_LAG).alias("back_252"),
-                F.to_utc_timestamp(
-                    F.col("session").cast("timestamp") + local_close, EXCHANGE_TZ
-                ).alias("close_utc"),
+                "get(days, pos + 1) AS next_session",
+                f"get(days, pos - {VOLATILITY_WINDOW}) AS back_21",
+                f"get(days, pos - {MOMENTUM_LAG}) AS back_252",
             )
         )
 
+    def with_closes(self, spark: SparkSession) -> DataFrame:
+        """The session frame with the UTC close: 16:00 exchange time, 13:00 on early closes."""
+        years = range(self.first.year, self.last.year + 1)
+        early = ", ".join(f"date'{d}'" for y in years for d in early_closes(y))
+        hours = f"IF(session IN ({early}), INTERVAL '13' HOUR, INTERVAL '16' HOUR)"
+        close = f"to_utc_timestamp(CAST(session AS timestamp) + {hours}, '{EXCHANGE_TZ}')"
+        return self.frame(spark).withColumn("close_utc", F.expr(close))
+
     def between(self, spark: SparkSession, start: date, end: date) -> DataFrame:
         """The sessions of a closed date range."""
         return self.frame(spark).where(F.col("session").between(F.lit(start), F.lit(end)))
@@ -193,7 +193,7 @@ def resolve_targets(instants: DataFrame, calendar: SessionCalendar, history_star
     the local date replaces a range join over all sessions.
     """
     spark = instants.sparkSession
-    cal = calendar.frame(spark)
+    cal = calendar.with_closes(spark)
     by_day = cal.select(
         F.explode(
             F.sequence(

@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.operators.batches import status_violations
-from tickerloom.operators.quality import Rule, require_none, violations
+from tickerloom.operators.quality import Rule, require_none, row_violations
 from tickerloom.operators.vintages import (
-    deduplicate_strict,
+    grouped_copies,
     rejected,
     revision_summary,
     vanished_rows,
     vintage_actions,
 )
-from tickerloom.schemas import ContractError, check_columns
+from tickerloom.schemas import KEY, ContractError, check_columns
+from tickerloom.session import stored
 from tickerloom.sources import files
 
 RUN_STAMP = "%Y%m%dT%H%M%S%fZ"
@@ -99,8 +100,14 @@ class CanonicalStore:
         self, incoming: DataFrame, statuses: DataFrame | None = None, snapshot_time: datetime | None = None
     ) -> Persisted:
         """Merge one incoming vintage under the revision rules, all of it or nothing."""
-        incoming = deduplicate_strict(check_columns(incoming, self.schema), self.values)
-        require_none(violations(incoming, self.rules), "incoming rows")
+        # One pass over the input; all checks and the merge read the written copy.
+        copies = stored(grouped_copies(check_columns(incoming, self.schema), self.values), "incoming")
+        conflicts = copies.where("in_conflict").select(
+            F.lit(1).alias("priority"), F.lit("conflicting_duplicates").alias("rule"), *KEY
+        )
+        require_none(conflicts, "incoming rows")
+        require_none(row_violations(copies, self.rules), "incoming rows")
+        incoming = copies.select(*[f.name for f in self.schema])
         months = self._months(incoming)
         if not months:
             raise ContractError("no observations are available to persist")
