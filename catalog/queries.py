@@ -221,10 +221,10 @@ def stable_log_return(spark, sf_dir):
 
 @query
 def simple_return(spark, sf_dir):
-    start, end = F.col("start"), F.col("end")
-    rows = _return_inputs(spark, sf_dir).withColumn(
-        "pct", nm.simple_return_pct(start, end, nm.log_return(start, end))
-    ).withColumn("status", nm.simple_return_status(F.lit(True), F.col("pct")))
+    rows = _return_inputs(spark, sf_dir).withColumn("raw", nm.log_return(F.col("start"), F.col("end")))
+    rows = nm.with_simple_return(rows, "start", "end", "raw", "pct").withColumn(
+        "status", nm.simple_return_status(F.lit(True), F.col("pct"))
+    )
     return flat(rows, "l_orderkey", "l_linenumber", "start", "pct", "status", rounded=("pct",))
 
 
@@ -769,7 +769,7 @@ def tampered_momentum(spark, sf_dir):
 
 @query
 def verify_momentum_contract(spark, sf_dir):
-    return flat(vf.momentum_contract(tampered_momentum(spark, sf_dir), tb.panel_calendar(sf_dir)))
+    return flat(vf.momentum_contract(stored(tampered_momentum(spark, sf_dir), "tampered"), tb.panel_calendar(sf_dir)))
 
 
 @query
@@ -787,7 +787,7 @@ def verify_volatility_contract(spark, sf_dir):
             ),
         }
     )
-    return flat(vf.volatility_contract(tampered, tb.panel_calendar(sf_dir)))
+    return flat(vf.volatility_contract(stored(tampered, "tampered"), tb.panel_calendar(sf_dir)))
 
 
 @query

@@ -183,9 +183,9 @@ def test_log_return_is_stable(spark, start, end):
 
 def test_simple_return_range(spark):
     df = spark.createDataFrame([(1e-300, 1e300), (100.0, 110.0), (1e300, 1e-300)], "s double, e double")
-    raw = nm.log_return(F.col("s"), F.col("e"))
-    pct = nm.simple_return_pct(F.col("s"), F.col("e"), raw)
-    rows = df.select(pct.alias("p"), nm.simple_return_status(F.lit(True), pct).alias("status")).collect()
+    df = df.withColumn("raw", nm.log_return(F.col("s"), F.col("e")))
+    found = nm.with_simple_return(df, "s", "e", "raw", "p")
+    rows = found.select("p", nm.simple_return_status(F.lit(True), F.col("p")).alias("status")).collect()
     assert rows[0]["p"] is None and rows[0]["status"] == "exceeds_float64_range"
     assert rows[1]["p"] == pytest.approx(10.0) and rows[1]["status"] == "available"
     assert rows[2]["p"] == -100.0

@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +36,22 @@ def log_return(start: Column, end: Column) -> Column:
     return F.when(near, F.log1p(change / start)).otherwise(F.log(end) - F.log(start))
 
 
-def _relative_change(start: Column, end: Column, raw: Column) -> Column:
-    direct = (end - start) / start
-    unusable = ~is_finite(direct) | (direct <= -1.0) | ((direct == 0.0) & (start != end))
-    return F.when(unusable, F.expm1(raw)).otherwise(direct)
+def with_simple_return(df: DataFrame, start: str, end: str, raw: str, name: str) -> DataFrame:
+    """Add 100 × the relative change; null when it does not fit a double.
 
-
-def simple_return_pct(start: Column, end: Column, raw: Column) -> Column:
-    """100 × relative change; null when it does not fit a double."""
-    change = _relative_change(start, end, raw)
-    return F.when(is_finite(change) & (change <= MAX_DOUBLE / 100.0), change * 100.0)
+    The change falls back to the log return where its direct form overflows, reaches
+    -1 or collapses to 0. Each step is its own column: as one expression the optimizer
+    would repeat the step in every place that uses it.
+    """
+    s, e = F.col(start), F.col(end)
+    direct, change = F.col(f"{name}_direct"), F.col(f"{name}_change")
+    unusable = ~is_finite(direct) | (direct <= -1.0) | ((direct == 0.0) & (s != e))
+    return (
+        df.withColumn(f"{name}_direct", (e - s) / s)
+        .withColumn(f"{name}_change", F.when(unusable, F.expm1(raw)).otherwise(direct))
+        .withColumn(name, F.when(is_finite(change) & (change <= MAX_DOUBLE / 100.0), change * 100.0))
+        .drop(f"{name}_direct", f"{name}_change")
+    )
 
 
 def simple_return_status(eligible: Column, pct: Column) -> Column:

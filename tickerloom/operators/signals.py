@@ -13,8 +13,8 @@ from tickerloom.functions.numeric import (
     log_return,
     midrank_counts,
     midrank_percentile,
-    simple_return_pct,
     simple_return_status,
+    with_simple_return,
 )
 from tickerloom.operators.spine import SignalBounds, dense_spine, signal_bounds
 from tickerloom.schemas import (
@@ -150,7 +150,10 @@ def signal_panel(prices: DataFrame, bounds: SignalBounds, momentum: bool = True,
         spine, raw = with_raw_momentum(spine), raw + ("raw_momentum",)
     if volatility:
         spine, raw = with_raw_volatility(spine), raw + ("raw_volatility",)
-    return _counted(spine, raw).where(F.col("pos") >= bounds.first)
+    panel = _counted(spine, raw).where(F.col("pos") >= bounds.first)
+    if momentum:
+        panel = with_simple_return(panel, "start_adjusted_close", "adjusted_close", "raw_momentum", "simple_return_pct")
+    return panel
 
 
 def momentum_columns() -> list[Column]:
@@ -158,7 +161,7 @@ def momentum_columns() -> list[Column]:
     start, end = F.col("start_adjusted_close"), F.col("adjusted_close")
     status = endpoint_status(F.col("start_present"), start, F.col("row_present"), end)
     eligible = start.isNotNull() & end.isNotNull()
-    pct = F.when(eligible, simple_return_pct(start, end, F.col("raw_momentum")))
+    pct = F.col("simple_return_pct")
     references = F.col("raw_momentum_references")
     return [
         F.col("ticker"),
@@ -168,7 +171,7 @@ def momentum_columns() -> list[Column]:
         start.alias("start_adjusted_close"),
         end.alias("end_adjusted_close"),
         F.col("raw_momentum"),
-        pct.alias("simple_return_pct"),
+        pct,
         simple_return_status(eligible, pct).alias("simple_return_status"),
         midrank_percentile(F.col("raw_momentum"), references, F.col("raw_momentum_doubled")).alias(
             "momentum_percentile"

@@ -46,11 +46,11 @@ def _differs(a: str, b: str) -> Column:
 def _bad_dates(dates: str, count: str, low: Column, high: Column, calendar: SessionCalendar) -> Column:
     """Wrong size, unsorted or repeated, outside the bounds, or not a session."""
     days = F.col(dates)
-    closed = F.expr("array(" + ",".join(f"date'{d}'" for d in calendar._closed) + ")")
-    outside = F.exists(
-        days, lambda d: (d < low) | (d > high) | (F.weekday(d) >= 5) | F.array_contains(closed, d)
-    )
-    return (F.size(days) != F.col(count)) | (F.array_sort(F.array_distinct(days)) != days) | outside
+    # A constant IN list is a hash lookup, however many closures the calendar has.
+    closed = ", ".join(f"date'{d}'" for d in calendar.weekday_closures)
+    no_session = F.expr(f"exists({dates}, d -> weekday(d) >= 5 OR d IN ({closed}))")
+    outside = (F.size(days) > 0) & ((F.array_min(days) < low) | (F.array_max(days) > high))
+    return (F.size(days) != F.col(count)) | (F.array_sort(F.array_distinct(days)) != days) | outside | no_session
 
 
 def _percentile_rules(raw: str, percentile: str, eligible: Column) -> dict[str, Column]:

@@ -109,13 +109,14 @@ class SessionCalendar:
         return cls(start - timedelta(days=PAD_BACK_DAYS), end + timedelta(days=PAD_AHEAD_DAYS))
 
     @cached_property
-    def _closed(self) -> list[date]:
+    def weekday_closures(self) -> list[date]:
+        """Weekdays between the two dates on which the exchange is closed."""
         years = range(self.first.year, self.last.year + 1)
         return [d for y in years for d in closures(y) if self.first <= d <= self.last]
 
     @cached_property
     def sessions(self) -> list[date]:
-        closed = set(self._closed)
+        closed = set(self.weekday_closures)
         days = (self.first + timedelta(days=i) for i in range((self.last - self.first).days + 1))
         return [d for d in days if d.weekday() < 5 and d not in closed]
 
@@ -144,7 +145,7 @@ class SessionCalendar:
         off = [
             f"sequence(date'{d}', date'{end}', interval 7 days)" for d in (saturday, sunday) if d <= end
         ]
-        closed = ", ".join(f"date'{d}'" for d in self._closed)
+        closed = ", ".join(f"date'{d}'" for d in self.weekday_closures)
         if closed:
             off.append(f"array({closed})")
         return F.expr(f"array_except({days}, concat({', '.join(off)}))" if off else days)
