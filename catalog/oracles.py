@@ -391,11 +391,12 @@ SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY signal_date DESC) AS r
 )
 cte("univ")(
     """
-SELECT slot + 1 AS ord, 'DESK' || lpad(CAST(slot AS VARCHAR), 7, '0') AS ticker, name, n_name AS category
-FROM (SELECT s_suppkey // 20 AS slot, min(s_name) AS name, min(s_nationkey) AS nk FROM supplier GROUP BY 1)
-JOIN nation ON n_nationkey = nk
+SELECT r_regionkey + 1 AS ord, 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), 3, '0') AS ticker, r_name AS name,
+       'Region index' AS category FROM region
 UNION ALL
-SELECT 1000000000000 + r_regionkey, 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), 3, '0'), r_name, 'Region index' FROM region
+SELECT slot + 6, 'DESK' || lpad(CAST(slot AS VARCHAR), 7, '0'), 'Suppliers from ' || low, n_name
+FROM (SELECT s_suppkey // 20 AS slot, min(s_suppkey) AS low, min(s_nationkey) AS nk FROM supplier GROUP BY 1)
+JOIN nation ON n_nationkey = nk
 """
 )
 oracle(
@@ -808,8 +809,12 @@ GROUP BY lower(trim(p_name)) HAVING count(*) > 1""",
 )
 oracle(
     "universe_hash",
-    """SELECT sha256('[' || string_agg('{"category":"' || category || '","name":"' || name || '","ticker":"' || ticker || '"}', ','
-ORDER BY ord) || ']') AS universe_sha256, count(*) AS instruments FROM univ""",
+    """SELECT CASE WHEN count(*) > 1 THEN sha256(string_agg(digest, '' ORDER BY block)) ELSE min(digest) END AS universe_sha256,
+CAST(sum(n) AS BIGINT) AS instruments FROM (
+  SELECT (ord - 1) // 10000 AS block, count(*) AS n, sha256('[' || string_agg(
+    '{"category":"' || category || '","name":"' || name || '","ticker":"' || ticker || '"}', ',' ORDER BY ord) || ']') AS digest
+  FROM univ GROUP BY 1
+)""",
     "univ",
 )
 oracle(

@@ -77,6 +77,8 @@ R = ["chart", "result", 0]
         (chart(stamps=[STAMPS[0], True]), "timestamps are not whole epochs"),
         (chart(stamps=[1.5, 2.5]), "timestamps are not whole epochs"),
         (chart(volume=[1]), "field volume is malformed"),
+        (chart(volume=[2**53 + 1, 1]), "volume does not fit a double exactly"),
+        (chart(volume=[2**60, 1e300]), None),
         (chart(open=None), "field open is malformed"),
         (chart(high=["12", 12]), "field high is malformed"),
         (chart(high=[True, 12]), "field high is malformed"),
@@ -244,3 +246,17 @@ def test_requests_and_universe(spark, tmp_path):
     assert found == {"blank_name", "duplicate_ticker"}
     with pytest.raises(ContractError):
         validate_universe(twice)
+
+
+def test_labels(spark):
+    from tickerloom.functions import labels as lb
+
+    df = spark.createDataFrame([(" Adj_Close ",), ("HIGH",), ("adj   close",), ("Dividends",)], "x string")
+    assert [r[0] for r in df.select(lb.canonical_field(F.col("x"))).collect()] == ["adjusted_close", "high", "adjusted_close", None]
+    text = df.select(lb.failure_text(F.lit("Kind"), F.lit(" why ")), lb.failure_text(F.lit("Kind"), F.lit(" "))).first()
+    assert tuple(text) == ("Kind: why", "Kind")
+
+
+def test_inexact_provider_values(spark):
+    table = spark.createDataFrame([(2**53 + 1, 1.5), (5, 2.5)], "Volume bigint, Open double")
+    assert [r["Volume"] for r in pl.inexact_prices(table, ["Volume", "Open"]).collect()] == [2**53 + 1]

@@ -37,10 +37,6 @@ def issue_codes(*issues: Column) -> Column:
     return F.when(joined == "", "eligible").otherwise(joined)
 
 
-def joined_dates(x: Column) -> Column:
-    return F.array_join(F.transform(x, lambda d: F.date_format(d, "yyyy-MM-dd")), ",")
-
-
 def run_id(instant: Column) -> Column:
     return F.date_format(instant, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
 

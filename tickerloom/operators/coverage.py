@@ -50,28 +50,29 @@ def price_coverage(prices: DataFrame, target: EvaluationTarget) -> DataFrame:
 
 
 def signal_coverage(frame: DataFrame, prefix: str, columns: dict[str, str], target: EvaluationTarget) -> DataFrame:
-    """First and last present dates and the target observation, in one pass per ticker.
+    """First and last present dates per ticker, and its row at the target session.
 
     ``columns`` maps the target fields of the coverage row to signal columns; ``raw``
-    and ``percentile`` are among them.
+    and ``percentile`` are among them. The dates come from a hash aggregate over all
+    rows; the target rows from a filter that Parquet can skip by, one row per ticker.
     """
-    at_target = F.col("signal_date") == F.lit(target.target_session)
     raw, percentile = F.col(columns["raw"]), F.col(columns["percentile"])
 
     def when_present(value: Column) -> Column:
         return F.when(value.isNotNull(), F.col("signal_date"))
 
-    return frame.groupBy("ticker").agg(
+    dates = frame.groupBy("ticker").agg(
         F.min(when_present(raw)).alias(f"{prefix}_first_raw_date"),
         F.max(when_present(raw)).alias(f"{prefix}_last_raw_date"),
         F.min(when_present(percentile)).alias(f"{prefix}_first_normalized_date"),
         F.max(when_present(percentile)).alias(f"{prefix}_last_normalized_date"),
-        F.bool_or(at_target).alias(f"{prefix}_target_seen"),
-        *[
-            F.max(F.when(at_target, F.col(source))).alias(f"{prefix}_target_{name}")
-            for name, source in columns.items()
-        ],
     )
+    at_target = frame.where(F.col("signal_date") == F.lit(target.target_session)).select(
+        "ticker",
+        F.lit(True).alias(f"{prefix}_target_seen"),
+        *[F.col(source).alias(f"{prefix}_target_{name}") for name, source in columns.items()],
+    )
+    return dates.join(at_target, "ticker", "left")
 
 
 MOMENTUM_TARGETS = {

@@ -120,10 +120,12 @@ def vanished_rows(existing: DataFrame, statuses: DataFrame) -> DataFrame:
     success = statuses.where("status = 'success'")
     windows = success.select("ticker", "query_start", "query_end")
     returned = success.select("ticker", F.explode("returned_dates").alias("date"))
-    covered = existing.select(*KEY).join(windows, "ticker").where(
-        (F.col("date") >= F.col("query_start")) & (F.col("date") < F.col("query_end"))
+    absent = existing.select(*KEY).join(returned, list(KEY), "left_anti")
+    return (
+        absent.join(windows, "ticker")
+        .where((F.col("date") >= F.col("query_start")) & (F.col("date") < F.col("query_end")))
+        .select(*KEY)
     )
-    return covered.select(*KEY).join(returned, list(KEY), "left_anti")
 
 
 def common_keys(left: DataFrame, right: DataFrame) -> DataFrame:

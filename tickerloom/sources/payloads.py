@@ -7,6 +7,9 @@ only" can be checked without guessing from text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ SHARES_ERROR = "$.finance.error"
 SHARES_TIMES = "$.timeseries.result[0].timestamp"
 SHARES_VALUES = "$.timeseries.result[0].shares_out"
 
+EXACT_WHOLE = 2.0**53
 _NUMBER = r"(VOID|BIGINT|FLOAT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\))"
 
 
@@ -126,7 +130,7 @@ def chart_payloads(landed: DataFrame) -> DataFrame:
         "c", F.from_json("payload", _CHART, {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
     )
     misfit = F.col("c.bad").isNotNull() | F.col("c").isNull()
-    parsed = parsed.withColumn("v", F.when(misfit, F.try_parse_json("payload"))).withColumns(
+    parsed = parsed.withColumns(
         {
             "result": F.col("c.chart.result"),
             "first": F.get("c.chart.result", F.lit(0)),
@@ -140,6 +144,17 @@ def chart_payloads(landed: DataFrame) -> DataFrame:
     lists = {c: F.get("quote", F.lit(0))[c] for c in REQUIRED_FIELDS}
     closes = F.get("adjusted", F.lit(0))["adjclose"]
     symbol, zone = F.col("first.meta.symbol"), F.col("first.meta.exchangeTimezoneName")
+    # Doubles hold whole numbers exactly up to 2^53; only beyond that the text is checked.
+    huge = reduce(
+        or_,
+        [
+            F.coalesce(F.exists(values, lambda x: F.abs(x) >= EXACT_WHOLE), F.lit(False))
+            for values in (*lists.values(), closes)
+        ],
+    )
+    parsed = parsed.withColumn("huge", huge)
+    parsed = parsed.withColumn("v", F.when(misfit | F.col("huge"), F.try_parse_json("payload")))
+    paths = {c: f"{CHART_QUOTE}[0].{c}" for c in REQUIRED_FIELDS} | {"adjusted close": f"{CHART_ADJUSTED}[0].adjclose"}
 
     def short(values: Column) -> Column:
         return values.isNull() | (F.size(values) != count)
@@ -165,6 +180,7 @@ def chart_payloads(landed: DataFrame) -> DataFrame:
                 some_times & F.col("adjusted").isNotNull() & ((F.size("adjusted") != 1) | short(closes)),
                 "adjusted close is malformed",
             ),
+            *[(F.col("huge") & _inexact_wholes(p), f"{c} does not fit a double exactly") for c, p in paths.items()],
         )
     )
     return parsed.select(

@@ -22,11 +22,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 @lru_cache(maxsize=None)
 def _ship_range(sf_dir: str) -> tuple[date, date]:
-    spark = SparkSession.getActiveSession()
     row = (
-        read_table(spark, sf_dir, "lineitem")
+        read_table(_session(), sf_dir, "lineitem")
         .agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate")))
         .first()
     )
@@ -41,7 +44,7 @@ def panel_calendar(sf_dir: str) -> SessionCalendar:
 @lru_cache(maxsize=None)
 def panel_sessions(sf_dir: str) -> tuple[date, date]:
     """First and last session on which a line was shipped."""
-    row = shipped_lines(SparkSession.getActiveSession(), sf_dir).agg(F.min("date"), F.max("date")).first()
+    row = shipped_lines(_session(), sf_dir).agg(F.min("date"), F.max("date")).first()
     return row[0], row[1]
 
 
@@ -212,26 +215,26 @@ def share_counts(spark: SparkSession, sf_dir: str, flag: str | None = None) -> D
 
 
 def desk_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configured instruments: every desk, then one index per region that has no prices."""
+    """Configured instruments: one index per region, which have no prices, then every desk."""
+    regions = read_table(spark, sf_dir, "region").select(
+        (F.col("r_regionkey") + 1).cast("bigint").alias("ord"),
+        F.concat(F.lit("IDX"), F.lpad(F.col("r_regionkey").cast("string"), 3, "0")).alias("ticker"),
+        F.col("r_name").alias("name"),
+        F.lit("Region index").alias("category"),
+    )
     desks = (
         read_table(spark, sf_dir, "supplier")
         .groupBy(F.expr(f"s_suppkey div {SUPPLIERS_PER_DESK}").alias("slot"))
-        .agg(F.min("s_name").alias("name"), F.min("s_nationkey").alias("n_nationkey"))
+        .agg(F.min("s_suppkey").alias("s_suppkey"), F.min("s_nationkey").alias("n_nationkey"))
         .join(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
         .select(
-            (F.col("slot") + 1).cast("bigint").alias("ord"),
+            (F.col("slot") + 6).cast("bigint").alias("ord"),
             desk_name(F.col("slot")).alias("ticker"),
-            "name",
+            F.concat(F.lit("Suppliers from "), F.col("s_suppkey")).alias("name"),
             F.col("n_name").alias("category"),
         )
     )
-    regions = read_table(spark, sf_dir, "region").select(
-        (F.lit(1_000_000_000_000) + F.col("r_regionkey")).cast("bigint").alias("ord"),
-        F.concat(F.lit("IDX"), F.lpad(F.col("r_regionkey").cast("string"), 3, "0")).alias("ticker"),
-        F.col("r_name").alias("name"),
-        F.lit("Region index").alias("category"),
-    )
-    return desks.unionByName(regions)
+    return regions.unionByName(desks)
 
 
 def request_bounds(sf_dir: str) -> tuple[date, date]:

@@ -56,10 +56,15 @@ def validate_universe(universe: DataFrame) -> None:
         raise ContractError("the universe must not be empty")
 
 
+BLOCK = 10_000
+
+
 def universe_hash(universe: DataFrame) -> DataFrame:
     """SHA-256 of the definitions as JSON in configured order.
 
-    The universe is a configuration list, so its one JSON text is small.
+    Up to ten thousand entries it is the hash of one JSON list. A longer list is cut
+    into blocks of that many entries and the hash is that of the block hashes in order,
+    so no task ever holds more than one block's text.
     """
     entries = F.sort_array(F.collect_list(F.struct("ord", "category", "name", "ticker")))
     plain = F.transform(
@@ -68,4 +73,9 @@ def universe_hash(universe: DataFrame) -> DataFrame:
             e["category"].alias("category"), e["name"].alias("name"), e["ticker"].alias("ticker")
         ),
     )
-    return universe.agg(F.sha2(F.to_json(plain), 256).alias("universe_sha256"), F.count(F.lit(1)).alias("instruments"))
+    blocks = universe.groupBy(F.expr(f"(ord - 1) div {BLOCK}").alias("block")).agg(
+        F.sha2(F.to_json(plain), 256).alias("digest"), F.count(F.lit(1)).alias("entries")
+    )
+    digests = F.sort_array(F.collect_list(F.struct("block", "digest")))["digest"]
+    joined = F.when(F.count(F.lit(1)) > 1, F.sha2(F.array_join(digests, ""), 256)).otherwise(F.get(digests, F.lit(0)))
+    return blocks.agg(joined.alias("universe_sha256"), F.sum("entries").alias("instruments"))
