@@ -66,13 +66,14 @@ def _no_nulls(path: str) -> Column:
 
 
 def _inexact_wholes(path: str) -> Column:
-    """True when a whole number in the list changes on its way to a double."""
+    """True when a whole number in the list changes on its way to a double, or passes 64 bits."""
     texts = F.try_variant_get(F.col("v"), path, "array<string>")
     whole = F.filter(texts, lambda x: x.rlike("^-?[0-9]+$"))
-    exact = "decimal(38,0)"
-    return F.coalesce(
-        F.exists(whole, lambda x: ~x.try_cast("double").try_cast(exact).eqNullSafe(x.try_cast(exact))), F.lit(False)
-    )
+
+    def exact(x: Column) -> Column:
+        return F.coalesce(x.try_cast("double").try_cast("bigint") == x.try_cast("bigint"), F.lit(False))
+
+    return F.coalesce(F.exists(whole, lambda x: ~exact(x)), F.lit(False))
 
 
 def _first_issue(*checks: tuple[Column, str]) -> Column:
