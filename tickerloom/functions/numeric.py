@@ -64,7 +64,7 @@ def simple_return_status(eligible: Column, pct: Column) -> Column:
 
 def casts_losslessly(x: Column, source: str, target: str) -> Column:
     """True when the value survives source → target → source; null survives."""
-    return F.expr("true") & x.try_cast(target).try_cast(source).eqNullSafe(x)
+    return x.try_cast(target).try_cast(source).eqNullSafe(x)
 
 
 def normalization_status(row_exists: Column, raw: Column, percentile: Column) -> Column:

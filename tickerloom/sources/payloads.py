@@ -297,7 +297,7 @@ def inexact_prices(table: DataFrame, labels: list[str]) -> DataFrame:
     broken = F.lit(False)
     for label in labels:
         source = table.schema[label].dataType.simpleString()
-        broken = broken | ~casts_losslessly(F.col(f"`{label}`"), "double", source)
+        broken = broken | ~casts_losslessly(F.col(f"`{label}`"), source, "double")
     return table.where(broken)
 
 
