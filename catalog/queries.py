@@ -462,7 +462,8 @@ def vintage_diff(spark, sf_dir):
 
 @query
 def ingest_chart_json(spark, sf_dir):
-    return flat(pl.chart_rows(pl.chart_payloads(tb.landed_charts(spark, sf_dir))))
+    parsed = stored(pl.chart_payloads(tb.landed_charts(spark, sf_dir)), "parsed")
+    return flat(pl.chart_rows(parsed))
 
 
 def price_landing(spark, sf_dir):
@@ -487,7 +488,7 @@ def batch_retrieved_at(spark, sf_dir):
 
 @query
 def acquisition_view(spark, sf_dir):
-    rows = pl.chart_rows(pl.chart_payloads(tb.landed_charts(spark, sf_dir)))
+    rows = pl.chart_rows(stored(pl.chart_payloads(tb.landed_charts(spark, sf_dir)), "parsed"))
     return flat(bt.acquisition_view(rows, price_landing(spark, sf_dir)[1]))
 
 
@@ -503,7 +504,8 @@ def dq_status_reconcile(spark, sf_dir):
 
 @query
 def ingest_shares_json(spark, sf_dir):
-    return flat(pl.share_rows(pl.share_payloads(tb.landed_shares(spark, sf_dir))))
+    parsed = stored(pl.share_payloads(tb.landed_shares(spark, sf_dir)), "parsed")
+    return flat(pl.share_rows(parsed))
 
 
 @query

@@ -125,7 +125,8 @@ def chart_payloads(landed: DataFrame) -> DataFrame:
     """Parse price payloads: (ticker, payload, retrieved_at) → one row with lists or an error.
 
     A typed parse reads every payload once; only those with a value that does not fit
-    are read again as variants, to say which value it is.
+    are read again as variants, to say which value it is. Write the result before
+    filtering on ``issue``: a filter pushed below the parse would repeat it.
     """
     parsed = landed.withColumn(
         "c", F.from_json("payload", _CHART, {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
