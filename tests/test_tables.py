@@ -54,12 +54,13 @@ def test_duplicate_keys_and_reporting_order(spark):
 
 
 def test_examples_are_limited_below_the_shuffle(spark):
-    many = spark.range(1000).select(
-        F.lit(1).alias("priority"), F.lit("r").alias("rule"), F.col("id").cast("string").alias("ticker"), F.current_date().alias("date")
-    )
-    limited = ql.first_examples(many)
-    assert limited.count() == 5
-    assert "WindowGroupLimit" in limited._jdf.queryExecution().executedPlan().toString()
+    many = table(spark, *[bar(DAY, f"T{i:04}", -1.0, volume=-1.0) for i in range(300)])
+    limited = ql.first_examples(ql.violations(many, ql.price_rules()))
+    found = sorted((r["rule"], r["ticker"]) for r in limited.collect())
+    first = [f"T{i:04}" for i in range(5)]
+    assert found == [(rule, t) for rule in ("negative_volume", "nonpositive_adjusted_close") for t in first]
+    plan = limited._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
 
 
 def test_schema_checks(spark):
