@@ -6,6 +6,8 @@ statement needs, directly or through others, go into its WITH clause.
 
 from __future__ import annotations
 
+from tickerloom.schemas import MOMENTUM_COLUMNS, PRICE_COLUMNS, VOLATILITY_COLUMNS
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -103,12 +105,18 @@ WHERE isodow(d) <= 5 AND d NOT IN (SELECT d FROM holidays)
 
 # ---------------------------------------------------------------- price panels
 
-cte("trades", "cal")(
+cte("day_session", "cal")(
+    """
+SELECT CAST(unnest(generate_series(before + 1, session, INTERVAL 1 DAY)) AS DATE) AS day, session
+FROM (SELECT session, lag(session) OVER (ORDER BY session) AS before FROM cal) WHERE before IS NOT NULL
+"""
+)
+cte("trades", "day_session")(
     """
-SELECT l_suppkey AS suppkey, l_suppkey // 20 AS slot, CAST(l_shipdate AS DATE) AS date,
+SELECT l_suppkey AS suppkey, l_suppkey // 20 AS slot, session AS date,
        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_discount * 100) AS BIGINT) AS off,
        CAST(l_quantity AS BIGINT) AS units, l_linestatus AS side, l_returnflag AS flag, l_linenumber AS hour
-FROM lineitem WHERE CAST(l_shipdate AS DATE) IN (SELECT session FROM cal)
+FROM lineitem LEFT JOIN day_session ON day = CAST(l_shipdate AS DATE)
 """
 )
 
@@ -132,8 +140,8 @@ FROM (
 )"""
 
 
-DESK = "'DESK' || lpad(CAST(slot AS VARCHAR), 7, '0')"
-SUPPLIER = "'SUP' || lpad(CAST(suppkey AS VARCHAR), 9, '0')"
+DESK = "'DESK' || lpad(CAST(slot AS VARCHAR), CAST(greatest(length(CAST(slot AS VARCHAR)), 7) AS INTEGER), '0')"
+SUPPLIER = "'SUP' || lpad(CAST(suppkey AS VARCHAR), CAST(greatest(length(CAST(suppkey AS VARCHAR)), 9) AS INTEGER), '0')"
 cte("px", "trades")(_bars(DESK, "trades"))
 cte("px_first", "trades")(_bars(DESK, "trades", "flag <> 'R'"))
 cte("px_second", "trades")(_bars(DESK, "trades", "flag <> 'A'"))
@@ -288,11 +296,13 @@ oracle("volatility", VOLATILITY_SELECT, "vol")
 oracle(
     "session_calendar",
     f"""
-SELECT pos, {day('session')}, {day('next_session')}, {day('back_21')}, {day('back_252')},
+SELECT CAST(o.day AS VARCHAR) AS day, orders, {day('session')}, {day('next_session')}, {day('back_21')}, {day('back_252')},
        strftime(timezone('UTC', timezone('America/New_York', CAST(session AS TIMESTAMP)
                 + CASE WHEN is_early THEN INTERVAL 13 HOURS ELSE INTERVAL 16 HOURS END)), '%Y-%m-%d %H:%M:%S') AS close_utc
-FROM cal""",
+FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1) o
+LEFT JOIN day_session USING (day) LEFT JOIN cal USING (session)""",
     "cal",
+    "day_session",
 )
 oracle(
     "scan_prices",
@@ -372,9 +382,10 @@ FROM endpoints""",
 )
 oracle(
     "next_session",
-    f"SELECT {day('session')}, {day('next_session')} FROM cal JOIN bounds b ON session BETWEEN b.lo AND b.hi",
+    f"""SELECT {day('session')}, {day('next_session')}, lines FROM cal
+JOIN (SELECT date AS session, count(*) AS lines FROM trades GROUP BY 1) USING (session)""",
     "cal",
-    "bounds",
+    "trades",
 )
 oracle(
     "first_last_present",
@@ -391,10 +402,10 @@ SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY signal_date DESC) AS r
 )
 cte("univ")(
     """
-SELECT r_regionkey + 1 AS ord, 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), 3, '0') AS ticker, r_name AS name,
+SELECT r_regionkey + 1 AS ord, 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), CAST(greatest(length(CAST(r_regionkey AS VARCHAR)), 3) AS INTEGER), '0') AS ticker, r_name AS name,
        'Region index' AS category FROM region
 UNION ALL
-SELECT slot + 6, 'DESK' || lpad(CAST(slot AS VARCHAR), 7, '0'), 'Suppliers from ' || low, n_name
+SELECT slot + 1 + (SELECT max(r_regionkey) + 1 FROM region), 'DESK' || lpad(CAST(slot AS VARCHAR), CAST(greatest(length(CAST(slot AS VARCHAR)), 7) AS INTEGER), '0'), 'Suppliers from ' || low, n_name
 FROM (SELECT s_suppkey // 20 AS slot, min(s_suppkey) AS low, min(s_nationkey) AS nk FROM supplier GROUP BY 1)
 JOIN nation ON n_nationkey = nk
 """
@@ -504,11 +515,24 @@ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AN
 oracle(
     "dq_off_calendar",
     f"""SELECT ticker, {day('date')}, lines FROM (
-  SELECT 'DESK' || lpad(CAST(l_suppkey // 20 AS VARCHAR), 7, '0') AS ticker, CAST(l_shipdate AS DATE) AS date, count(*) AS lines
+  SELECT 'DESK' || lpad(CAST(l_suppkey // 20 AS VARCHAR), CAST(greatest(length(CAST(l_suppkey // 20 AS VARCHAR)), 7) AS INTEGER), '0') AS ticker, CAST(l_shipdate AS DATE) AS date, count(*) AS lines
   FROM lineitem GROUP BY ALL
 ) WHERE date NOT IN (SELECT session FROM cal)""",
     "cal",
 )
+cte("raw_feed")(
+    f"""
+SELECT {DESK} AS ticker, CAST(l_shipdate AS DATE) AS date FROM (SELECT l_suppkey // 20 AS slot, l_shipdate FROM lineitem)
+"""
+)
+oracle(
+    "signal_input_violations",
+    f"""SELECT 'duplicate_key' AS rule, ticker, {day('date')} FROM raw_feed GROUP BY ticker, date HAVING count(*) > 1
+UNION ALL
+SELECT 'off_calendar', ticker, {day('date')} FROM raw_feed WHERE date NOT IN (SELECT session FROM cal)""",
+    "raw_feed",
+    "cal",
+)
 oracle(
     "window_violations",
     """SELECT ticker, count(*) AS rows, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date
@@ -538,7 +562,7 @@ def _shares(where: str = "true") -> str:
     return f"""
 SELECT date, ticker, shares_outstanding, CAST(date AS TIMESTAMP) + to_hours(hour + 21) AS retrieved_at
 FROM (
-  SELECT CAST(o_orderdate AS DATE) AS date, 'NATION' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS ticker,
+  SELECT CAST(o_orderdate AS DATE) AS date, 'NATION' || lpad(CAST(c_nationkey AS VARCHAR), CAST(greatest(length(CAST(c_nationkey AS VARCHAR)), 3) AS INTEGER), '0') AS ticker,
          CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE o_orderstatus <> 'O') AS DOUBLE) AS shares_outstanding,
          max(CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) AS hour
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where} GROUP BY 1, 2
@@ -665,7 +689,7 @@ oracle(
 
 cte("answers")(
     f"""
-SELECT 'SUP' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS ticker, s_nationkey AS nation,
+SELECT 'SUP' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(length(CAST(s_suppkey AS VARCHAR)), 9) AS INTEGER), '0') AS ticker, s_nationkey AS nation,
        TIMESTAMP '2002-01-01 00:00:00' + to_hours(s_nationkey) AS answered_at,
        CASE WHEN s_acctbal < 0 THEN 'provider reported an error'
             WHEN s_nationkey = 3 THEN 'symbol differs from the requested ticker'
@@ -697,7 +721,7 @@ FROM (
   ) c ON c.ticker = a.ticker
   WHERE a.ticker IN (SELECT ticker FROM px_supplier)
   UNION ALL
-  SELECT 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), 3, '0'), NULL, NULL, NULL, NULL, NULL, NULL,
+  SELECT 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), CAST(greatest(length(CAST(r_regionkey AS VARCHAR)), 3) AS INTEGER), '0'), NULL, NULL, NULL, NULL, NULL, NULL,
          'LandingError: no payload was landed' FROM region
 )
 """
@@ -809,7 +833,7 @@ GROUP BY lower(trim(p_name)) HAVING count(*) > 1""",
 )
 oracle(
     "universe_hash",
-    """SELECT CASE WHEN count(*) > 1 THEN sha256(string_agg(digest, '' ORDER BY block)) ELSE min(digest) END AS universe_sha256,
+    """SELECT sha256(string_agg(digest, '' ORDER BY block)) AS universe_sha256,
 CAST(sum(n) AS BIGINT) AS instruments FROM (
   SELECT (ord - 1) // 10000 AS block, count(*) AS n, sha256('[' || string_agg(
     '{"category":"' || category || '","name":"' || name || '","ticker":"' || ticker || '"}', ',' ORDER BY ord) || ']') AS digest
@@ -867,8 +891,8 @@ oracle("run_id", f"SELECT event_id, {RUN} AS run_id FROM events")
 oracle(
     "classify_runs",
     f"""SELECT CASE event_type WHEN 'error' THEN {RUN} || '.invalid-1' WHEN 'view' THEN '.' || {RUN} || '.tmp-1'
-WHEN 'signup' THEN 'note-' || event_id ELSE {RUN} END AS name,
-CASE event_type WHEN 'error' THEN 'quarantined' WHEN 'view' THEN 'temporary' WHEN 'signup' THEN 'rejected' ELSE 'run' END AS kind
+WHEN 'signup' THEN 'note-' || event_id WHEN 'purchase' THEN 'note.tmp-' || event_id ELSE {RUN} END AS name,
+CASE event_type WHEN 'error' THEN 'quarantined' WHEN 'view' THEN 'temporary' WHEN 'signup' THEN 'rejected' WHEN 'purchase' THEN 'rejected' ELSE 'run' END AS kind
 FROM events""",
 )
 
@@ -1063,14 +1087,38 @@ UNION ALL SELECT 'dependence', 'dependence.parquet', 11, (SELECT count(*) FROM d
     "dep_ticker",
     "dep_session",
 )
+def _inventory(artifact: str, source: str, columns: tuple[str, ...]) -> str:
+    def kind(c: str) -> str:
+        if c.endswith("_dates"):
+            return "array<date>"
+        if c == "date" or c.endswith("_date") or c == "first_prospective_session":
+            return "date"
+        if c.endswith("_count"):
+            return "bigint"
+        if c.endswith("_eligible"):
+            return "boolean"
+        if c == "retrieved_at":
+            return "timestamp"
+        return "string" if c == "ticker" or c.endswith("_status") else "double"
+
+    fields = ", ".join(f"({i}, '{c}', '{kind(c)}')" for i, c in enumerate(columns, 1))
+    return f"""SELECT '{artifact}' AS artifact, '{artifact}.parquet' AS filename, (SELECT count(*) FROM {source}) AS row_count,
+position, field, type FROM (VALUES {fields}) AS t (position, field, type)"""
+
+
 oracle(
     "artifact_inventory",
-    """
-SELECT 'input_prices' AS artifact, 'input_prices.parquet' AS filename, (SELECT count(*) FROM px) AS row_count, position, field, type
-FROM (VALUES (1, 'date', 'date'), (2, 'ticker', 'string'), (3, 'open', 'double'), (4, 'high', 'double'), (5, 'low', 'double'),
-             (6, 'close', 'double'), (7, 'adjusted_close', 'double'), (8, 'volume', 'double'), (9, 'retrieved_at', 'timestamp'))
-     AS t (position, field, type)""",
+    "\nUNION ALL ".join(
+        _inventory(*x)
+        for x in (
+            ("input_prices", "px", PRICE_COLUMNS),
+            ("momentum", "mom", MOMENTUM_COLUMNS),
+            ("volatility", "vol", VOLATILITY_COLUMNS),
+        )
+    ),
     "px",
+    "mom",
+    "vol",
 )
 oracle(
     "verify_row_counts",
@@ -1244,17 +1292,17 @@ FROM grid JOIN bounds b ON session BETWEEN b.lo AND b.hi""",
     "bounds",
 )
 MEASURES = (
-    ("Price staleness", "price_staleness_sessions", "acquisition_status"),
-    ("Momentum raw staleness", "momentum_raw_staleness_sessions", "momentum_target_status"),
-    ("Momentum normalized staleness", "momentum_normalized_staleness_sessions", "momentum_target_normalization_status"),
-    ("Volatility raw staleness", "volatility_raw_staleness_sessions", "volatility_target_status"),
-    ("Volatility normalized staleness", "volatility_normalized_staleness_sessions", "volatility_target_normalization_status"),
+    ("price_staleness_sessions", "acquisition_status"),
+    ("momentum_raw_staleness_sessions", "momentum_target_status"),
+    ("momentum_normalized_staleness_sessions", "momentum_target_normalization_status"),
+    ("volatility_raw_staleness_sessions", "volatility_target_status"),
+    ("volatility_normalized_staleness_sessions", "volatility_target_normalization_status"),
 )
 oracle(
     "staleness_table",
     "SELECT *, CASE WHEN sessions IS NULL THEN 'missing' WHEN sessions > 0 THEN 'stale' ELSE 'current' END AS flag FROM ("
     + "\nUNION ALL ".join(
-        f"SELECT ord, ticker, '{m}' AS measure, {n} AS sessions, {v} AS verified_status FROM cov" for m, n, v in MEASURES
+        f"SELECT ord, ticker, '{n}' AS measure, {n} AS sessions, {v} AS verified_status FROM cov" for n, v in MEASURES
     )
     + ")",
     "cov",
@@ -1265,28 +1313,27 @@ def _number(c: str) -> str:
     return f"CAST(CAST(round({c}, 6) AS DECIMAL(38, 6)) AS VARCHAR)"
 
 
-DETAIL = (
-    ("Observation date", "CAST(signal_date AS VARCHAR)"),
-    ("252-session endpoint start", "CAST(endpoint_start_date AS VARCHAR)"),
-    ("252-session endpoint end", "CAST(endpoint_end_date AS VARCHAR)"),
-    ("First prospective-use session", "CAST(first_prospective_session AS VARCHAR)"),
-    ("Endpoint eligible", "CAST(endpoint_eligible AS VARCHAR)"),
-    ("Endpoint status", "endpoint_status"),
-    ("Raw Momentum", _number("raw_momentum")),
-    ("Simple return", _number("simple_return_pct")),
-    ("Own-history percentile", _number("momentum_percentile")),
-    ("Normalization reference count", "CAST(normalization_reference_count AS VARCHAR)"),
-    ("Interior missing rows", "CAST(interior_missing_row_count AS VARCHAR)"),
-    ("Interior missing-row dates", "replace(interior_missing_row_dates, ',', ', ')"),
-    ("Interior missing adjusted closes", "CAST(interior_missing_adjusted_close_count AS VARCHAR)"),
-    ("Interior missing-adjusted-close dates", "replace(interior_missing_adjusted_close_dates, ',', ', ')"),
-)
-oracle(
-    "observation_detail",
-    "\nUNION ALL ".join(
-        f"SELECT ticker, '{label}' AS field, {value} AS value FROM mom JOIN bounds b ON signal_date = b.hi" for label, value in DETAIL
-    ),
-    "mom",
-    "bounds",
-)
+def _detail(source: str, columns: tuple[str, ...]) -> str:
+    """One row per field of each target observation; one row that says so where there is none."""
+
+    def shown(c: str) -> str:
+        if c in ("raw_momentum", "simple_return_pct", "raw_annualized_volatility", "annualized_volatility_pct",
+                 "start_adjusted_close", "end_adjusted_close", "momentum_percentile", "volatility_percentile"):
+            return _number(c)
+        return f"replace({c}, ',', ', ')" if c.endswith("_dates") else f"CAST({c} AS VARCHAR)"
+
+    rows = [
+        f"SELECT ticker, '{c}' AS field, {shown(c)} AS value FROM {source} JOIN bounds b ON signal_date = b.hi"
+        for c in columns
+        if c != "ticker"
+    ]
+    rows.append(
+        f"SELECT ticker, 'signal_date', 'missing' FROM univ WHERE ticker NOT IN "
+        f"(SELECT ticker FROM {source} JOIN bounds b ON signal_date = b.hi)"
+    )
+    return "\nUNION ALL ".join(rows)
+
+
+oracle("observation_detail", _detail("mom", MOMENTUM_COLUMNS), "mom", "univ", "bounds")
+oracle("observation_detail_volatility", _detail("vol", VOLATILITY_COLUMNS), "vol", "univ", "bounds")
 oracle("verify_run", 'SELECT \'\' AS "check", \'\' AS rule, \'\' AS subject WHERE false')

@@ -20,7 +20,7 @@ from tickerloom.operators import signals as sg
 from tickerloom.operators import spine as sp
 from tickerloom.operators import vintages as vt
 from tickerloom.plans import jobs, publish as pb, reports as rp, verify as vf
-from tickerloom.schemas import PRICE_VALUES, SHARE_VALUES
+from tickerloom.schemas import MOMENTUM_COLUMNS, PRICE_VALUES, SHARE_VALUES, VOLATILITY_COLUMNS
 from tickerloom.session import new_folder, stored
 from tickerloom.sources import payloads as pl
 from tickerloom.sources import tables as tb
@@ -60,17 +60,25 @@ RAW_VOLATILITY = ("raw_annualized_volatility", "annualized_volatility_pct")
 
 @query
 def momentum(spark, sf_dir):
-    return flat(sg.momentum(tb.desk_prices(spark, sf_dir), price_range=tb.panel_sessions(sf_dir)), rounded=RAW_MOMENTUM)
+    return flat(sg.momentum(tb.desk_prices(spark, sf_dir), price_range=tb.panel_sessions(sf_dir), validated=True), rounded=RAW_MOMENTUM)
 
 
 @query
 def volatility(spark, sf_dir):
-    return flat(sg.volatility(tb.desk_prices(spark, sf_dir), price_range=tb.panel_sessions(sf_dir)), rounded=RAW_VOLATILITY)
+    return flat(sg.volatility(tb.desk_prices(spark, sf_dir), price_range=tb.panel_sessions(sf_dir), validated=True), rounded=RAW_VOLATILITY)
 
 
 @query
 def session_calendar(spark, sf_dir):
-    return flat(tb.panel_calendar(sf_dir).with_closes(spark))
+    """The session of each day with orders, its close and its neighbours."""
+    calendar = tb.panel_calendar(sf_dir)
+    days = tb.read_table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("orders")
+    )
+    joined = days.join(F.broadcast(calendar.days(spark)), "day", "left").join(
+        F.broadcast(calendar.with_closes(spark)), "session", "left"
+    )
+    return flat(joined, "day", "orders", "session", "next_session", "back_21", "back_252", "close_utc")
 
 
 @query
@@ -139,11 +147,11 @@ def volatility_raw(spark, sf_dir):
 
 
 def momentum_of(spark, sf_dir):
-    return sg.momentum(prices_of(spark, sf_dir), price_range=tb.panel_sessions(sf_dir))
+    return sg.momentum(prices_of(spark, sf_dir), price_range=tb.panel_sessions(sf_dir), validated=True)
 
 
 def volatility_of(spark, sf_dir):
-    return sg.volatility(prices_of(spark, sf_dir), price_range=tb.panel_sessions(sf_dir))
+    return sg.volatility(prices_of(spark, sf_dir), price_range=tb.panel_sessions(sf_dir), validated=True)
 
 
 @query
@@ -184,7 +192,7 @@ def volatility_missing(spark, sf_dir):
 
 @query
 def momentum_bounded(spark, sf_dir):
-    rows = sg.momentum(prices_of(spark, sf_dir), *BOUNDED, price_range=tb.panel_sessions(sf_dir))
+    rows = sg.momentum(prices_of(spark, sf_dir), *BOUNDED, price_range=tb.panel_sessions(sf_dir), validated=True)
     return flat(rows, rounded=RAW_MOMENTUM)
 
 
@@ -230,8 +238,12 @@ def simple_return(spark, sf_dir):
 
 @query
 def next_session(spark, sf_dir):
-    first, last = tb.panel_sessions(sf_dir)
-    return flat(tb.panel_calendar(sf_dir).between(spark, first, last), "session", "next_session")
+    """The first session after each on which lines count, with their number."""
+    lines = tb.shipped_lines(spark, sf_dir).groupBy(F.col("date").alias("session")).agg(
+        F.count(F.lit(1)).alias("lines")
+    )
+    sessions = tb.panel_calendar(sf_dir).frame(spark)
+    return flat(lines.join(F.broadcast(sessions), "session"), "session", "next_session", "lines")
 
 
 @query
@@ -336,6 +348,17 @@ def dq_off_calendar(spark, sf_dir):
     return flat(sp.off_calendar(prices, tb.panel_calendar(sf_dir)), "ticker", "date", "lines")
 
 
+@query
+def signal_input_violations(spark, sf_dir):
+    """What a signal call refuses in a feed with one row per line item on its raw ship date."""
+    feed = tb.read_table(spark, sf_dir, "lineitem").select(
+        tb.desk_name(F.expr(f"l_suppkey div {tb.SUPPLIERS_PER_DESK}")).alias("ticker"),
+        F.to_date("l_shipdate").alias("date"),
+        F.col("l_extendedprice").alias("adjusted_close"),
+    )
+    return flat(sg.input_violations(feed, tb.panel_calendar(sf_dir)), "rule", "ticker", "date")
+
+
 @query
 def violation_examples(spark, sf_dir):
     found = ql.violations(tb.raw_quotes(spark, sf_dir), ql.price_rules())
@@ -598,6 +621,7 @@ def classify_runs(spark, sf_dir):
         F.when(kind == "error", F.concat(stem, F.lit(".invalid-1")))
         .when(kind == "view", F.concat(F.lit("."), stem, F.lit(".tmp-1")))
         .when(kind == "signup", F.concat(F.lit("note-"), F.col("event_id")))
+        .when(kind == "purchase", F.concat(F.lit("note.tmp-"), F.col("event_id")))
         .otherwise(stem)
     )
     return pb.classify_runs(tb.read_table(spark, sf_dir, "events").select(name.alias("name")))
@@ -719,7 +743,9 @@ def publish_manifest(spark, sf_dir):
 
 @query
 def artifact_inventory(spark, sf_dir):
-    manifest = pb.manifest_rows({"input_prices": prices_of(spark, sf_dir)})
+    """Fields of the input and of both signal artifacts, as the manifest lists them."""
+    m, v = signals_of(spark, sf_dir)
+    manifest = pb.manifest_rows({"input_prices": prices_of(spark, sf_dir), "momentum": m, "volatility": v})
     return flat(pb.inventory_rows(manifest))
 
 
@@ -803,8 +829,8 @@ def verify_key_population(spark, sf_dir):
 @query
 def verify_input_diagnostics(spark, sf_dir):
     sessions = tb.panel_sessions(sf_dir)
-    published = sg.momentum(tb.first_vintage(spark, sf_dir), price_range=sessions)
-    recomputed = sg.momentum(prices_of(spark, sf_dir), price_range=sessions)
+    published = sg.momentum(tb.first_vintage(spark, sf_dir), price_range=sessions, validated=True)
+    recomputed = sg.momentum(prices_of(spark, sf_dir), price_range=sessions, validated=True)
     return flat(vf.input_diagnostics(stored(published, "published"), stored(recomputed, "again"), "momentum"))
 
 
@@ -863,7 +889,7 @@ def verify_dependence_contract(spark, sf_dir):
 def acquired(spark, sf_dir):
     """Desk prices whose even desks carry one retrieval time, and metadata that claims one for all."""
     start, end = tb.request_bounds(sf_dir)
-    even = F.substring("ticker", 5, 7).cast("int") % 2 == 0
+    even = F.expr("substring(ticker, 5)").cast("bigint") % 2 == 0
     prices = prices_of(spark, sf_dir).withColumn(
         "retrieved_at", F.when(even, F.lit(FIXED_INSTANT)).otherwise(F.col("retrieved_at"))
     )
@@ -919,7 +945,13 @@ def staleness_table(spark, sf_dir):
 @query
 def observation_detail(spark, sf_dir):
     rows = cv.target_observation(momentum_of(spark, sf_dir), tb.desk_universe(spark, sf_dir), target_of(sf_dir))
-    return rp.observation_detail(rows, rp.MOMENTUM_DETAIL)
+    return rp.observation_detail(rows, MOMENTUM_COLUMNS)
+
+
+@query
+def observation_detail_volatility(spark, sf_dir):
+    rows = cv.target_observation(volatility_of(spark, sf_dir), tb.desk_universe(spark, sf_dir), target_of(sf_dir))
+    return rp.observation_detail(rows, VOLATILITY_COLUMNS)
 
 
 @query

@@ -10,7 +10,7 @@ from tickerloom.operators import coverage as cv
 from tickerloom.operators import dependence as dp
 from tickerloom.plans import jobs, publish as pb, reports as rp, verify as vf
 from tickerloom.plans.evaluate import evaluate
-from tickerloom.schemas import ARTIFACTS, ContractError
+from tickerloom.schemas import ARTIFACTS, VOLATILITY_COLUMNS, ContractError
 from tickerloom.sources import files
 from tickerloom.sources.calendar import EvaluationTarget, resolve_target
 
@@ -113,12 +113,13 @@ def test_correlation_guards_and_ties(spark):
     assert by["flat"]["status"] == "constant_input" and by["few"]["status"] == "insufficient_pairs"
 
 
-def test_members_stay_whole_beyond_the_list_limit(spark, evaluation, universe, target, monkeypatch):
-    pairs = dp.paired_percentiles(evaluation.frames["momentum"], evaluation.frames["volatility"], universe)
-    monkeypatch.setattr(dp, "LISTED_INSTRUMENTS", 1)
+def test_members_are_listed_whole_in_a_large_universe(spark, target):
     calendar = cv.evaluation_calendar(target)
-    rows = dp.dependence_by_session(pairs, universe, calendar, target.request_start, target.target_session)
-    assert rows.where("included_tickers is not null").isEmpty()
+    day = calendar.sessions[calendar.index_until(target.target_session)]
+    universe = spark.range(1, 10_002).selectExpr("id as ord", "concat('T', id) as ticker")
+    pairs = universe.selectExpr("ticker", f"date'{day}' as signal_date", "double(ord) as x", "double(ord) as y", "ord")
+    rows = dp.dependence_by_session(pairs, universe, calendar, day, day)
+    assert [(len(r["included_tickers"]), r["universe_status"]) for r in rows.collect()] == [(10_001, "full_universe")] * 2
     assert dp.session_members(pairs).count() == rows.where("estimator = 'pearson'").agg(F.sum("pair_count")).first()[0]
 
 
@@ -199,13 +200,14 @@ def test_volatility_contract_and_key_population(spark, evaluation, prices, unive
 def test_reports(spark, evaluation, target, universe):
     table = rp.staleness_table(evaluation.frames["coverage"])
     flags = {(r["ticker"], r["measure"]): r["flag"] for r in table.collect()}
-    assert flags["ZED", "Price staleness"] == "stale" and flags["GONE", "Price staleness"] == "missing"
-    assert flags["AAA", "Momentum raw staleness"] == "current"
+    assert flags["ZED", "price_staleness_sessions"] == "stale" and flags["GONE", "price_staleness_sessions"] == "missing"
+    assert flags["AAA", "momentum_raw_staleness_sessions"] == "current"
     order = [r["ticker"] for r in rp.overview(evaluation.frames["coverage"], "momentum").collect()]
     assert order == ["ZED", "AAA", "GONE"]
     seen = cv.target_observation(evaluation.frames["volatility"], universe, target)
-    detail = rp.observation_detail(seen, rp.VOLATILITY_DETAIL)
-    assert detail.where("ticker = 'ZED' and field = 'Window status'").first()["value"] == "missing_price_rows"
+    detail = rp.observation_detail(seen, VOLATILITY_COLUMNS)
+    assert detail.where("ticker = 'ZED' and field = 'window_status'").first()["value"] == "missing_price_rows"
+    assert [tuple(r) for r in detail.where("ticker = 'GONE'").collect()] == [("GONE", "signal_date", "missing")]
     days = sessions(COUNT)
     latest = spark.createDataFrame([("a", days[-3]), ("b", None), ("c", date(2018, 1, 6))], "ticker string, latest date")
     rows = {r["ticker"]: (r["staleness_sessions"], r["not_a_session"]) for r in cv.staleness(latest, target).collect()}

@@ -206,3 +206,23 @@ def test_hot_ticker_with_copies_is_bounded_by_the_calendar(spark):
     rows = [bar(d, "HOT", 5.0 + i) for i, d in enumerate(days)] * 40 + [bar(d, "T%d" % t, 1.0 + t) for t in range(3) for d in days]
     raw = spark.createDataFrame(rows, panel(spark, {"A": [1.0]}).schema)
     assert volatility(deduplicate(raw, PRICE_VALUES)).count() == 4 * 60
+
+
+@pytest.mark.parametrize("signal", [momentum, volatility])
+def test_signals_refuse_invalid_rows(spark, signal):
+    days = sessions(30)
+    good = [("A", d, 10.0 + i) for i, d in enumerate(days)]
+    saturday = date(2024, 1, 6)
+    assert saturday.weekday() == 5
+    for extra, rule in (
+        (("A", days[3], 99.0), "duplicate_key"),
+        (("A", saturday, 2.0), "off_calendar"),
+        (("A", days[3], float("nan")), "nonfinite_adjusted_close"),
+        (("B", days[3], -1.0), "nonpositive_adjusted_close"),
+        ((" ", days[3], 1.0), "blank_ticker"),
+    ):
+        frame = spark.createDataFrame([*good, extra], "ticker string, date date, adjusted_close double")
+        with pytest.raises(ContractError, match=rule):
+            signal(frame, price_range=(days[0], max(days[-1], extra[1])))
+    frame = spark.createDataFrame([*good, ("B", days[0], None)], "ticker string, date date, adjusted_close double")
+    assert signal(frame).count() == 60

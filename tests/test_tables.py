@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 from tests.helpers import AT, bar, later, panel, sessions, wave
 from tickerloom.operators import quality as ql
 from tickerloom.operators import vintages as vt
+from tickerloom.plans.publish import classify_runs, content_digest
 from tickerloom.schemas import PRICE_COLUMNS, PRICE_SCHEMA, PRICE_VALUES, SHARE_SCHEMA, ContractError, check_columns
+from tickerloom.sources import tables as tb
 
 DAY = date(2024, 1, 3)
 DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PRICE_SCHEMA)
@@ -173,3 +175,32 @@ def test_frame_difference_counts_copies(spark):
     b = spark.createDataFrame([(1, None), (2, [3])], "k int, v array<int>")
     assert [(r["k"], r["surplus"], r["only_in"]) for r in vt.frame_difference(a, b).collect()] == [(1, 1, "left")]
     assert vt.frame_difference(b, b).isEmpty()
+
+
+def test_long_numbers_are_not_cut(spark):
+    row = spark.range(1).select(
+        tb.desk_name(F.lit(50_000_001)), tb.desk_name(F.lit(7)), tb.supplier_name(F.lit(10_000_000_001))
+    ).first()
+    assert tuple(row) == ("DESK50000001", "DESK0000007", "SUP10000000001")
+
+
+def test_panel_counts_every_line(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    shipped = tb.shipped_lines(spark, "/root/testdata/sf0.001")
+    assert shipped.count() == lines.count() and shipped.where("date is null").isEmpty()
+
+
+def test_digest_sees_where_a_null_is(spark):
+    schema = "ticker string, open double, high double"
+    digests = [
+        content_digest(spark.createDataFrame([row], schema)).first()["digest"]
+        for row in (("A", None, 5.0), ("A", 5.0, None))
+    ]
+    assert digests[0] != digests[1]
+
+
+def test_folder_names(spark):
+    stem = "20240102T030405000006Z"
+    names = [stem, f".{stem}.tmp-1", f"{stem}.invalid-1", "note.tmp-1", f".{stem}.invalid-1.tmp-1", "x"]
+    rows = classify_runs(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert [r["kind"] for r in rows] == ["run", "temporary", "quarantined", "rejected", "temporary", "rejected"]

@@ -11,9 +11,6 @@ from tickerloom.schemas import DEPENDENCE_COLUMNS
 from tickerloom.sources.calendar import SessionCalendar
 
 MIN_PAIRS = 3
-# A session's list of included tickers is one cell; past this many instruments the
-# same facts are given as rows (session_members) and the cell stays null.
-LISTED_INSTRUMENTS = 10_000
 
 
 def paired_percentiles(momentum: DataFrame, volatility: DataFrame, universe: DataFrame) -> DataFrame:
@@ -127,19 +124,17 @@ def dependence_by_session(
     """Two rows per session of the range, with or without pairs.
 
     The universe is a configured dimension; its size is read once to compare each
-    session with it and to decide whether member lists fit into a cell.
+    session with it. A session's list of included tickers is published whole, whatever the
+    size of the universe; session_members gives the same facts as rows.
     """
     spark = pairs.sparkSession
     configured = universe.count()
     measured = correlations(pairs, "signal_date")
-    if configured <= LISTED_INSTRUMENTS:
-        members = pairs.groupBy("signal_date").agg(
-            F.sort_array(F.collect_list(F.struct("ord", "ticker")))["ticker"].alias("members")
-        )
-        measured = measured.join(members, "signal_date")
-        included = F.coalesce("members", F.expr("cast(array() as array<string>)"))
-    else:
-        included = F.lit(None).cast("array<string>")
+    members = pairs.groupBy("signal_date").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "ticker")))["ticker"].alias("members")
+    )
+    measured = measured.join(members, "signal_date")
+    included = F.coalesce("members", F.expr("cast(array() as array<string>)"))
     sessions = calendar.between(spark, first, last).select(F.col("session").alias("signal_date"))
     joined = sessions.join(measured, "signal_date", "left").withColumns(
         {

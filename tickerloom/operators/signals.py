@@ -16,15 +16,18 @@ from tickerloom.functions.numeric import (
     simple_return_status,
     with_simple_return,
 )
-from tickerloom.operators.spine import SignalBounds, dense_spine, signal_bounds
+from tickerloom.operators.quality import price_rules, require_none, violations
+from tickerloom.operators.spine import SignalBounds, dense_spine, off_calendar, signal_bounds
 from tickerloom.schemas import (
     ANNUAL_SESSIONS,
     MOMENTUM_COLUMNS,
     MOMENTUM_LAG,
+    PRICE_VALUES,
     REFERENCE_SPAN,
     VOLATILITY_COLUMNS,
     VOLATILITY_WINDOW,
 )
+from tickerloom.sources.calendar import SessionCalendar
 
 
 def _series():
@@ -238,16 +241,42 @@ def _empty(spark: SparkSession, columns: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField(c, kind(c)) for c in columns]))
 
 
+def input_violations(prices: DataFrame, calendar: SessionCalendar) -> DataFrame:
+    """Rows a signal must not be computed from: broken row rules, repeated keys, dates off the
+    calendar. Rules of price columns that the table does not have are left out."""
+    held = set(prices.columns)
+    absent = {c: F.lit(None) for c in (*PRICE_VALUES, "retrieved_at") if c not in held}
+    rules = [r for r in price_rules() if "retrieved_at" in held or r.name != "missing_retrieved_at"]
+    if absent:
+        market = "no_market_value"  # a null adjusted close is a valid gap in a narrow table
+        rules = [r for r in rules if r.name != market]
+        prices = prices.withColumns({c: v.cast("double") for c, v in absent.items()})
+    strays = off_calendar(prices.where("date is not null"), calendar).select(
+        F.lit(80).alias("priority"), F.lit("off_calendar").alias("rule"), "ticker", "date"
+    )
+    return violations(prices, rules).unionByName(strays)
+
+
+def require_valid(prices: DataFrame, calendar: SessionCalendar) -> None:
+    require_none(input_violations(prices, calendar), "price rows")
+
+
 def momentum(
     prices: DataFrame,
     start: date | None = None,
     end: date | None = None,
     price_range: tuple[date, date] | None = None,
+    validated: bool = False,
 ) -> DataFrame:
-    """Momentum rows of every ticker on every session in the evaluation range."""
+    """Momentum rows of every ticker on every session in the evaluation range.
+
+    Invalid input is an error; pass ``validated`` when the rows were checked already.
+    """
     bounds = signal_bounds(prices, start, end, price_range)
     if bounds is None:
         return _empty(prices.sparkSession, MOMENTUM_COLUMNS)
+    if not validated:
+        require_valid(prices, bounds.calendar)
     return signal_panel(prices, bounds, volatility=False).select(*momentum_columns())
 
 
@@ -256,11 +285,17 @@ def volatility(
     start: date | None = None,
     end: date | None = None,
     price_range: tuple[date, date] | None = None,
+    validated: bool = False,
 ) -> DataFrame:
-    """Volatility rows of every ticker on every session in the evaluation range."""
+    """Volatility rows of every ticker on every session in the evaluation range.
+
+    Invalid input is an error; pass ``validated`` when the rows were checked already.
+    """
     bounds = signal_bounds(prices, start, end, price_range)
     if bounds is None:
         return _empty(prices.sparkSession, VOLATILITY_COLUMNS)
+    if not validated:
+        require_valid(prices, bounds.calendar)
     return signal_panel(prices, bounds, momentum=False).select(*volatility_columns())
 
 

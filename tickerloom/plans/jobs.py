@@ -23,13 +23,14 @@ from tickerloom.operators.batches import (
 from tickerloom.operators.coverage import coverage, evaluation_calendar, evaluation_slice
 from tickerloom.operators.dependence import dependence
 from tickerloom.operators.quality import price_rules, share_rules
-from tickerloom.operators.signals import momentum, volatility
+from tickerloom.operators.signals import require_valid, stored_signals
+from tickerloom.operators.spine import signal_bounds
 from tickerloom.operators.vintages import grouped_copies
 from tickerloom.plans import verify
 from tickerloom.plans.evaluate import Evaluation, evaluate
 from tickerloom.plans.publish import artifact_violations, publish, read_run
 from tickerloom.schemas import HISTORY_START, PRICE_SCHEMA, PRICE_VALUES, SHARE_SCHEMA, SHARE_VALUES, ContractError
-from tickerloom.session import stored
+from tickerloom.session import new_folder, stored
 from tickerloom.sources.calendar import resolve_target
 from tickerloom.sources.payloads import chart_payloads, chart_rows, share_payloads, share_rows
 from tickerloom.sources.store import CanonicalStore, Persisted
@@ -115,8 +116,11 @@ def run_evaluation(
 def recompute(prices: DataFrame, universe: DataFrame, target, statuses: DataFrame | None = None) -> dict[str, DataFrame]:
     """The derived tables of a run, from its stored input alone."""
     first, last = target.request_start, target.target_session
-    m = stored(momentum(prices, end=last), "check-momentum")
-    v = stored(volatility(prices, end=last), "check-volatility")
+    bounds = signal_bounds(prices, end=last)
+    if bounds is None:
+        raise ContractError("the run holds no price rows")
+    require_valid(prices, bounds.calendar)
+    m, v = stored_signals(prices, bounds, new_folder(prices.sparkSession, "check-signals"))
     return {
         "input_prices": evaluation_slice(prices, universe, target),
         "momentum": m,

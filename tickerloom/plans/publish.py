@@ -22,9 +22,11 @@ def content_digest(df: DataFrame) -> DataFrame:
     """Row count and a digest that does not depend on row order.
 
     Row hashes are both summed and xor-ed: the sum notices repeated rows, and both
-    combine map-side, so the digest of any table is one tiny shuffle.
+    combine map-side, so the digest of any table is one tiny shuffle. The hash passes over
+    nulls, so it also takes which columns are null.
     """
-    row = F.xxhash64(*df.columns)
+    nulls = [F.when(F.col(f"`{c}`").isNull(), F.lit(i)).otherwise(-1) for i, c in enumerate(df.columns)]
+    row = F.xxhash64(*nulls, *(F.col(f"`{c}`") for c in df.columns))
     return df.select(row.alias("h")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.concat_ws(
@@ -193,12 +195,12 @@ def check_artifacts(spark: SparkSession, folder: str, manifest: dict) -> None:
 
 
 def classify_runs(names: DataFrame) -> DataFrame:
-    """Sort folder names into runs, temporary, quarantined and rejected ones, newest run first."""
+    """Tell runs, temporary, quarantined and rejected folder names apart."""
     name = F.col("name")
     kind = (
-        F.when(name.rlike(RUN_PATTERN), "run")
+        F.when(name.startswith(".") & name.contains(".tmp-"), "temporary")
         .when(name.contains(".invalid-"), "quarantined")
-        .when(name.contains(".tmp"), "temporary")
+        .when(name.rlike(RUN_PATTERN), "run")
         .otherwise("rejected")
     )
     return names.select("name", kind.alias("kind"))

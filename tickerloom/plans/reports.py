@@ -8,55 +8,15 @@ from pyspark.sql import functions as F
 from tickerloom.operators.vintages import signal_difference, vintage_actions, vintage_difference
 from tickerloom.schemas import PRICE_VALUES
 
-# The staleness measures and the status shown with each.
+# The staleness measures and the status shown with each.
 STALENESS = (
-    ("Price staleness", "price_staleness_sessions", "acquisition_status"),
-    ("Momentum raw staleness", "momentum_raw_staleness_sessions", "momentum_target_status"),
-    (
-        "Momentum normalized staleness",
-        "momentum_normalized_staleness_sessions",
-        "momentum_target_normalization_status",
-    ),
-    ("Volatility raw staleness", "volatility_raw_staleness_sessions", "volatility_target_status"),
-    (
-        "Volatility normalized staleness",
-        "volatility_normalized_staleness_sessions",
-        "volatility_target_normalization_status",
-    ),
-)
-
-MOMENTUM_DETAIL = (
-    ("Observation date", "signal_date"),
-    ("252-session endpoint start", "endpoint_start_date"),
-    ("252-session endpoint end", "endpoint_end_date"),
-    ("First prospective-use session", "first_prospective_session"),
-    ("Endpoint eligible", "endpoint_eligible"),
-    ("Endpoint status", "endpoint_status"),
-    ("Raw Momentum", "raw_momentum"),
-    ("Simple return", "simple_return_pct"),
-    ("Own-history percentile", "momentum_percentile"),
-    ("Normalization reference count", "normalization_reference_count"),
-    ("Interior missing rows", "interior_missing_row_count"),
-    ("Interior missing-row dates", "interior_missing_row_dates"),
-    ("Interior missing adjusted closes", "interior_missing_adjusted_close_count"),
-    ("Interior missing-adjusted-close dates", "interior_missing_adjusted_close_dates"),
-)
-VOLATILITY_DETAIL = (
-    ("Observation date", "signal_date"),
-    ("21-return window start", "window_start_date"),
-    ("21-return window end", "window_end_date"),
-    ("First prospective-use session", "first_prospective_session"),
-    ("Window eligible", "window_eligible"),
-    ("Window status", "window_status"),
-    ("Raw annualized Volatility", "raw_annualized_volatility"),
-    ("Annualized Volatility", "annualized_volatility_pct"),
-    ("Own-history percentile", "volatility_percentile"),
-    ("Normalization reference count", "normalization_reference_count"),
-    ("Missing rows in window", "missing_row_count"),
-    ("Missing-row dates", "missing_row_dates"),
-    ("Missing adjusted closes in window", "missing_adjusted_close_count"),
-    ("Missing-adjusted-close dates", "missing_adjusted_close_dates"),
+    ("price_staleness_sessions", "acquisition_status"),
+    ("momentum_raw_staleness_sessions", "momentum_target_status"),
+    ("momentum_normalized_staleness_sessions", "momentum_target_normalization_status"),
+    ("volatility_raw_staleness_sessions", "volatility_target_status"),
+    ("volatility_normalized_staleness_sessions", "volatility_target_normalization_status"),
 )
+MISSING = "missing"
 
 
 def overview(coverage: DataFrame, component: str) -> DataFrame:
@@ -112,11 +72,11 @@ def staleness_table(coverage: DataFrame) -> DataFrame:
     entries = F.array(
         *[
             F.struct(
-                F.lit(measure).alias("measure"),
+                F.lit(sessions).alias("measure"),
                 F.col(sessions).alias("sessions"),
                 F.col(status).alias("verified_status"),
             )
-            for measure, sessions, status in STALENESS
+            for sessions, status in STALENESS
         ]
     )
     return coverage.select("ord", "ticker", F.inline(entries)).withColumn(
@@ -134,15 +94,21 @@ def _shown(frame: DataFrame, column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def observation_detail(observations: DataFrame, fields: tuple[tuple[str, str], ...]) -> DataFrame:
-    """Field and value rows of each target observation."""
+def observation_detail(observations: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Field and value rows of each target observation.
+
+    An instrument without an observation has one row that says so.
+    """
+    rest = [c for c in columns if c not in ("ticker", "signal_date")]
     entries = F.array(
         *[
-            F.struct(F.lit(label).alias("field"), _shown(observations, column).alias("value"))
-            for label, column in fields
+            F.struct(F.lit(c).alias("field"), _shown(observations, c).alias("value"))
+            for c in ("signal_date", *rest)
         ]
     )
-    return observations.where("signal_date is not null").select("ticker", F.inline(entries))
+    absent = F.array(F.struct(F.lit("signal_date").alias("field"), F.lit(MISSING).alias("value")))
+    shown = F.when(F.col("signal_date").isNull(), absent).otherwise(entries)
+    return observations.select("ticker", F.inline(shown))
 
 
 def dependence_history(dependence: DataFrame, estimator: str) -> DataFrame:

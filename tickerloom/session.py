@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -34,11 +35,15 @@ def _test_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder.
+
+    Only a session whose executors are threads of the driver may go without the setting, as
+    tests do; its own folder is then shared by nature.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return _test_folder()
 

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.schemas import MOMENTUM_LAG, VOLATILITY_WINDOW
+from tickerloom.schemas import MOMENTUM_LAG, VOLATILITY_WINDOW, ContractError
 
 EXCHANGE_TZ = "America/New_York"
 
@@ -36,6 +36,8 @@ SPECIAL_CLOSURES = (
 # Unscheduled 13:00 closes.
 SPECIAL_EARLY_CLOSES = ("1997-12-26", "1999-12-31", "2003-12-26")
 
+# The days the closure rules below are complete for, and bounded enough to broadcast.
+FIRST_DAY, LAST_DAY = date(1985, 1, 1), date(2100, 12, 31)
 PAD_BACK_DAYS = 6 * 366
 PAD_AHEAD_DAYS = 370
 
@@ -62,7 +64,9 @@ def _nearest_weekday(day: date) -> date:
 
 
 def closures(year: int) -> list[date]:
-    """Full-day weekday closures of one year, from the holiday rules (1971 on)."""
+    """Full-day weekday closures of one year, from the holiday rules (1985 on)."""
+    if year < FIRST_DAY.year:
+        raise ContractError(f"closures before {FIRST_DAY.year} are not known")
     new_year = date(year, 1, 1)
     days = [
         new_year + timedelta(days=1) if new_year.weekday() == 6 else new_year,
@@ -105,8 +109,17 @@ class SessionCalendar:
 
     @classmethod
     def around(cls, start: date, end: date) -> SessionCalendar:
-        """Enough sessions before ``start`` for every lookback and some after ``end``."""
-        return cls(start - timedelta(days=PAD_BACK_DAYS), end + timedelta(days=PAD_AHEAD_DAYS))
+        """Enough sessions before ``start`` for every lookback and some after ``end``.
+
+        The padding stops at the first and last day the holiday rules are known for; a range
+        that itself lies outside is an error, because its sessions would be wrong.
+        """
+        if start < FIRST_DAY or end > LAST_DAY:
+            raise ContractError(f"sessions are known from {FIRST_DAY} to {LAST_DAY} only")
+        return cls(
+            max(FIRST_DAY, start - timedelta(days=PAD_BACK_DAYS)),
+            min(LAST_DAY, end + timedelta(days=PAD_AHEAD_DAYS)),
+        )
 
     @cached_property
     def weekday_closures(self) -> list[date]:
@@ -165,6 +178,13 @@ class SessionCalendar:
             )
         )
 
+    def days(self, spark: SparkSession) -> DataFrame:
+        """Every calendar day after the first session with the session on or after it."""
+        return self.frame(spark).where("next_session is not null").select(
+            F.explode(F.sequence(F.date_add("session", 1), "next_session")).alias("day"),
+            F.col("next_session").alias("session"),
+        )
+
     def with_closes(self, spark: SparkSession) -> DataFrame:
         """The session frame with the UTC close: 16:00 exchange time, 13:00 on early closes."""
         years = range(self.first.year, self.last.year + 1)

@@ -48,12 +48,18 @@ def panel_sessions(sf_dir: str) -> tuple[date, date]:
     return row[0], row[1]
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with zeros in front up to a width; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def desk_name(slot: Column) -> Column:
-    return F.concat(F.lit("DESK"), F.lpad(slot.cast("string"), 7, "0"))
+    return F.concat(F.lit("DESK"), padded(slot, 7))
 
 
 def supplier_name(slot: Column) -> Column:
-    return F.concat(F.lit("SUP"), F.lpad(slot.cast("string"), 9, "0"))
+    return F.concat(F.lit("SUP"), padded(slot, 9))
 
 
 def retrieved(hour: Column) -> Column:
@@ -61,10 +67,13 @@ def retrieved(hour: Column) -> Column:
 
 
 def shipped_lines(spark: SparkSession, sf_dir: str, per: int = SUPPLIERS_PER_DESK) -> DataFrame:
-    """Line items on sessions as trades in whole cents, so every sum is exact in any order."""
+    """All line items as trades in whole cents, so every sum is exact in any order.
+
+    A line belongs to the session on or after its ship date; one without a date keeps none.
+    """
     lines = read_table(spark, sf_dir, "lineitem").select(
         F.expr(f"l_suppkey div {per}").alias("slot"),
-        F.to_date("l_shipdate").alias("date"),
+        F.to_date("l_shipdate").alias("day"),
         F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.rint(F.col("l_discount") * 100).cast("bigint").alias("off"),
         F.col("l_quantity").cast("bigint").alias("units"),
@@ -72,8 +81,8 @@ def shipped_lines(spark: SparkSession, sf_dir: str, per: int = SUPPLIERS_PER_DES
         F.col("l_returnflag").alias("flag"),
         F.col("l_linenumber").alias("hour"),
     )
-    sessions = panel_calendar(sf_dir).frame(spark).select(F.col("session").alias("date"))
-    return lines.join(F.broadcast(sessions), "date", "left_semi")
+    days = panel_calendar(sf_dir).days(spark).select("day", F.col("session").alias("date"))
+    return lines.join(F.broadcast(days), "day", "left").drop("day")
 
 
 def bars(lines: DataFrame, name=desk_name) -> DataFrame:
@@ -197,7 +206,7 @@ def share_counts(spark: SparkSession, sf_dir: str, flag: str | None = None) -> D
         orders.join(customers, orders.o_custkey == customers.c_custkey)
         .groupBy(
             F.to_date("o_orderdate").alias("date"),
-            F.concat(F.lit("NATION"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0")).alias("ticker"),
+            F.concat(F.lit("NATION"), padded(F.col("c_nationkey"), 3)).alias("ticker"),
         )
         .agg(
             F.sum(
@@ -216,9 +225,11 @@ def share_counts(spark: SparkSession, sf_dir: str, flag: str | None = None) -> D
 
 def desk_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configured instruments: one index per region, which have no prices, then every desk."""
-    regions = read_table(spark, sf_dir, "region").select(
+    table = read_table(spark, sf_dir, "region")
+    indexes = table.agg(F.coalesce(F.max("r_regionkey") + 1, F.lit(0))).first()[0]
+    regions = table.select(
         (F.col("r_regionkey") + 1).cast("bigint").alias("ord"),
-        F.concat(F.lit("IDX"), F.lpad(F.col("r_regionkey").cast("string"), 3, "0")).alias("ticker"),
+        F.concat(F.lit("IDX"), padded(F.col("r_regionkey"), 3)).alias("ticker"),
         F.col("r_name").alias("name"),
         F.lit("Region index").alias("category"),
     )
@@ -228,7 +239,7 @@ def desk_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("s_suppkey").alias("s_suppkey"), F.min("s_nationkey").alias("n_nationkey"))
         .join(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
         .select(
-            (F.col("slot") + 6).cast("bigint").alias("ord"),
+            (F.col("slot") + 1 + indexes).cast("bigint").alias("ord"),
             desk_name(F.col("slot")).alias("ticker"),
             F.concat(F.lit("Suppliers from "), F.col("s_suppkey")).alias("name"),
             F.col("n_name").alias("category"),
@@ -305,7 +316,7 @@ def chart_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier, and the region indexes, for which nothing was landed."""
     suppliers = read_table(spark, sf_dir, "supplier").select(supplier_name(F.col("s_suppkey")).alias("ticker"))
     indexes = read_table(spark, sf_dir, "region").select(
-        F.concat(F.lit("IDX"), F.lpad(F.col("r_regionkey").cast("string"), 3, "0")).alias("ticker")
+        F.concat(F.lit("IDX"), padded(F.col("r_regionkey"), 3)).alias("ticker")
     )
     return suppliers.unionByName(indexes)
 
@@ -313,7 +324,7 @@ def chart_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One share payload per customer nation, some with a defect."""
     counts = share_counts(spark, sf_dir)
-    nation = F.substring("ticker", 7, 3).cast("int")
+    nation = F.expr("substring(ticker, 7)").cast("int")
     series = counts.groupBy("ticker").agg(
         F.sort_array(F.collect_list(F.struct("date", "shares_outstanding"))).alias("d")
     )
@@ -356,12 +367,13 @@ def region_name(slot: Column) -> Column:
 
 
 def wide_region_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per date with 'field|ticker' columns for the five regions."""
+    """One row per date with 'field|ticker' columns for every region."""
+    keys = sorted(r[0] for r in read_table(spark, sf_dir, "region").select("r_regionkey").collect())
     daily = bars(region_lines(spark, sf_dir), region_name)
     labels = {"open": "Open", "high": "High", "low": "Low", "close": "Close", "adjusted_close": "Adj Close", "volume": "Volume"}
     cells = [
         F.max(F.when(F.col("ticker") == f"REG{r}", F.col(field))).alias(f"{label}|REG{r}")
-        for r in range(5)
+        for r in keys
         for field, label in labels.items()
     ]
     return daily.groupBy("date").agg(*cells)

@@ -62,9 +62,9 @@ BLOCK = 10_000
 def universe_hash(universe: DataFrame) -> DataFrame:
     """SHA-256 of the definitions as JSON in configured order.
 
-    Up to ten thousand entries it is the hash of one JSON list. A longer list is cut
-    into blocks of that many entries and the hash is that of the block hashes in order,
-    so no task ever holds more than one block's text.
+    The list is cut into blocks of ten thousand entries, and the hash is that of the block
+    hashes in order, also of a single block, so no task holds more than one block's text;
+    the hashes themselves meet in one task.
     """
     entries = F.sort_array(F.collect_list(F.struct("ord", "category", "name", "ticker")))
     plain = F.transform(
@@ -77,5 +77,5 @@ def universe_hash(universe: DataFrame) -> DataFrame:
         F.sha2(F.to_json(plain), 256).alias("digest"), F.count(F.lit(1)).alias("entries")
     )
     digests = F.sort_array(F.collect_list(F.struct("block", "digest")))["digest"]
-    joined = F.when(F.count(F.lit(1)) > 1, F.sha2(F.array_join(digests, ""), 256)).otherwise(F.get(digests, F.lit(0)))
+    joined = F.sha2(F.array_join(digests, ""), 256)
     return blocks.agg(joined.alias("universe_sha256"), F.sum("entries").alias("instruments"))
