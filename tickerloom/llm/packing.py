@@ -6,7 +6,8 @@
    corpus; only it reaches the driver. `plan` enumerates combinations of at most three lengths
    that fill a window exactly, solves for non-negative repeat counts against the histogram,
    rounds them down, and packs what is left greedily, again as patterns with repeat counts. The
-   plan is bounded by the window too.
+   plan has at most the combinations (some 350,000 for 2048) and a few patterns per length, so
+   what the tasks get of it has a bound that no corpus moves.
 3. Pieces are numbered within their length. A length may be that of a third of all pieces, so the
    numbering counts hashed buckets of each length first and numbers inside them. The number of a
    piece gives its pattern, repetition and offset.

@@ -199,14 +199,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(x, np.array([r["y"] for r in rows], dtype=np.float64))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with score (0 to 1, higher for better texts); a column of that name is replaced.
+def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """docs with a score (0 to 1, higher for better texts); a column of its name is replaced.
 
     Only the text is an input. A null text counts as empty, which has a score too.
     """
     check_columns(docs, ("text",))
     workers_import(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != name]
     source = docs.select(
         *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), whole_text().alias("text")
     )
@@ -222,4 +222,5 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 )
 
     named = source.mapInArrow(scored, schema)
-    return named.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "score")
+    columns = (F.col(f"c{i}").alias(c) for i, c in enumerate(kept))
+    return named.select(*columns, F.col("score").alias(name))

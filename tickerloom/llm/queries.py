@@ -168,4 +168,85 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+_ASSIGN = (
+    r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+    r"""([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def _matches(order: int, kind: str, pattern: str, least: int) -> str:
+    return f"""
+SELECT rid, {order} AS ord, '{kind}' AS kind, {least} AS least,
+       unnest(range(len(m))) AS i, unnest(m) AS match, unnest(v) AS value, unnest(g[1:len(m)]) AS gap
+FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', 1) AS v,
+             string_split_regex(t, '{pattern}') AS g FROM d)"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_secret_ownership": f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, source, lang FROM documents
+),
+raw AS ({_matches(0, "assign", _ASSIGN, 6)}
+  UNION ALL {_matches(1, "access", "(AKIA[A-Z0-9]+)", 20)}
+  UNION ALL {_matches(2, "hex", "([0-9a-f]+)", 24)}
+),
+placed AS (
+  SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY rid, ord ORDER BY i) AS BIGINT) AS stop FROM raw
+),
+base AS MATERIALIZED (
+  SELECT rid, ord, kind, value, stop - length(match) AS start, stop, stop - length(value) AS value_start
+  FROM placed WHERE length(value) >= least
+),
+held AS (
+  SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM base JOIN d USING (rid) GROUP BY value
+),
+classed AS (
+  SELECT DISTINCT rid, value_start AS start, stop, value,
+    CASE WHEN owners >= 3 THEN 'example'
+         WHEN len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
+              AND regexp_matches(value, '[A-Za-z]')
+              AND NOT regexp_matches(value, '(?i)example|changeme|placeholder|your|dummy|sample|xxxx|test')
+         THEN 'live' ELSE 'weak' END AS class
+  FROM base JOIN held USING (value)
+),
+spans AS (
+  SELECT rid, start, ord, stop, kind FROM base
+  UNION ALL
+  SELECT DISTINCT rid, start, CASE class WHEN 'live' THEN 4 WHEN 'example' THEN 5 ELSE 6 END, stop, class FROM classed
+),
+texts AS (
+  SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) AS spans,
+    coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) FILTER (WHERE ord < 3), '') AS base
+  FROM spans GROUP BY rid
+),
+counts AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+    count(*) FILTER (WHERE kind = 'hex') AS n_hex FROM base GROUP BY rid
+),
+classes AS (
+  SELECT rid, count(*) FILTER (WHERE class = 'live') AS n_live, count(*) FILTER (WHERE class = 'example') AS n_example,
+    count(*) FILTER (WHERE class = 'weak') AS n_weak FROM classed GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_weak, 0) AS n_weak
+FROM d LEFT JOIN texts USING (rid) LEFT JOIN counts USING (rid) LEFT JOIN classes USING (rid)""",
+    "op4_embedding_near_dedup": """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+n AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) >= 0.9
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, coalesce(k.n_links, 0) AS n_links, least(vec_id, coalesce(m.low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m.low, vec_id)) AS kept
+FROM embeddings
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a) k USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) m USING (vec_id)""",
+}
