@@ -9,6 +9,7 @@ from tests.test_ingest import STAMPS, chart, landed, shares
 from tickerloom.plans import jobs
 from tickerloom.plans.publish import read_run
 from tickerloom.schemas import ContractError
+from tickerloom.sources import payloads as pl
 from tickerloom.streaming.updates import stream_updates
 
 DAYS = sessions(45)
@@ -150,3 +151,24 @@ def test_stream_merges_and_quarantines(spark, tmp_path):
     assert runs == [1, 2]
     drain()
     assert store.entries() == [1, 2]
+
+
+def test_whole_numbers_survive_or_fail_loudly(spark, store):
+    whole = vintage(spark).withColumn("volume", F.lit(2**53).cast("bigint"))
+    assert store.persist(whole).revised_rows == 0
+    assert {r["volume"] for r in store.read().collect()} == {float(2**53)}
+    with pytest.raises(Exception, match="cannot hold exactly"):
+        store.persist(vintage(spark, 1).withColumn("volume", F.lit(2**53 + 1).cast("bigint")))
+    assert {r["volume"] for r in store.read().collect()} == {float(2**53)}
+    flat = spark.range(1).selectExpr(
+        "date'2024-01-03' AS date", "1.0D AS Open", "1.0D AS High", "1.0D AS Low", "1.0D AS Close",
+        "9007199254740993L AS Volume",
+    )
+    with pytest.raises(Exception, match="cannot hold exactly"):
+        pl.normalize_flat(flat, "A", F.lit(AT)).collect()
+    wide = flat.select("date", *[F.col(c).alias(f"{c}|A") for c in flat.columns[1:]])
+    with pytest.raises(Exception, match="cannot hold exactly"):
+        pl.unpivot_wide(wide, ["A"], F.lit(AT)).collect()
+    series = spark.sql("SELECT '2024-01-03T00:00:00+00:00' AS stamp, 9007199254740993L AS value")
+    with pytest.raises(Exception, match="cannot hold exactly"):
+        pl.normalize_shares(series, "A", F.lit(AT)).collect()

@@ -67,6 +67,16 @@ def casts_losslessly(x: Column, source: str, target: str) -> Column:
     return x.try_cast(target).try_cast(source).eqNullSafe(x)
 
 
+def exact_double(x: Column, source: str, what: str) -> Column:
+    """x as a double; a value that a double cannot hold exactly ends the job with a message."""
+    if source != "bigint" and not source.startswith("decimal"):
+        return x.cast("double")
+    message = F.concat(F.lit(f"{what} has a value that double cannot hold exactly: "), x.cast("string"))
+    return F.when(casts_losslessly(x, source, "double"), x.cast("double")).otherwise(
+        F.raise_error(message).cast("double")
+    )
+
+
 def normalization_status(row_exists: Column, raw: Column, percentile: Column) -> Column:
     return (
         F.when(~row_exists, "ticker_unavailable")

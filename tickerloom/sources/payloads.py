@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.labels import PROVIDER_FIELDS, REQUIRED_FIELDS
-from tickerloom.functions.numeric import casts_losslessly
+from tickerloom.functions.numeric import casts_losslessly, exact_double
 from tickerloom.schemas import PRICE_COLUMNS, PRICE_VALUES, SHARE_COLUMNS, ContractError
 
 # Where a chart payload keeps its fields.
@@ -278,6 +278,10 @@ def _fields_by_label(labels: list[str], where: str) -> dict[str, str]:
     return fields
 
 
+def _exact(table: DataFrame, label: str) -> Column:
+    return exact_double(F.col(f"`{label}`"), table.schema[label].dataType.simpleString(), f"'{label}'")
+
+
 def normalize_flat(table: DataFrame, ticker: str | Column, retrieved_at: Column, day: str = "date") -> DataFrame:
     """One ticker's flat provider table to canonical rows; an absent adjusted close stays null."""
     fields = _fields_by_label([c for c in table.columns if c != day], "flat table")
@@ -286,7 +290,7 @@ def normalize_flat(table: DataFrame, ticker: str | Column, retrieved_at: Column,
         F.to_date(day).alias("date"),
         named.alias("ticker"),
         *[
-            (F.col(f"`{fields[c]}`").cast("double") if c in fields else F.lit(None).cast("double")).alias(c)
+            (_exact(table, fields[c]) if c in fields else F.lit(None).cast("double")).alias(c)
             for c in PRICE_VALUES
         ],
         retrieved_at.alias("retrieved_at"),
@@ -343,7 +347,7 @@ def unpivot_wide(table: DataFrame, tickers: list[str], retrieved_at: Column, day
         F.struct(
             F.lit(ticker).alias("ticker"),
             *[
-                (F.col(f"`{fields[c]}`").cast("double") if c in fields else F.lit(None).cast("double")).alias(c)
+                (_exact(table, fields[c]) if c in fields else F.lit(None).cast("double")).alias(c)
                 for c in PRICE_VALUES
             ],
         )
@@ -362,6 +366,6 @@ def normalize_shares(series: DataFrame, ticker: str | Column, retrieved_at: Colu
     return series.select(
         F.to_date(F.substring("stamp", 1, 10)).alias("date"),
         named.alias("ticker"),
-        F.col("value").cast("double").alias("shares_outstanding"),
+        _exact(series, "value").alias("shares_outstanding"),
         retrieved_at.alias("retrieved_at"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom.functions.numeric import exact_double
 from tickerloom.operators.batches import status_violations
 from tickerloom.operators.quality import Rule, require_none, row_violations
 from tickerloom.operators.vintages import (
@@ -101,7 +102,10 @@ class CanonicalStore:
     ) -> Persisted:
         """Merge one incoming vintage under the revision rules, all of it or nothing."""
         # One pass over the input; all checks and the merge read the written copy.
-        copies = stored(grouped_copies(check_columns(incoming, self.schema), self.values), "incoming")
+        incoming = check_columns(incoming, self.schema)
+        kinds = {c: incoming.schema[c].dataType.simpleString() for c in self.values}
+        incoming = incoming.withColumns({c: exact_double(F.col(c), kinds[c], f"'{c}'") for c in self.values})
+        copies = stored(grouped_copies(incoming, self.values), "incoming")
         conflicts = copies.where("in_conflict").select(
             F.lit(1).alias("priority"), F.lit("conflicting_duplicates").alias("rule"), *KEY
         )
