@@ -129,14 +129,12 @@ class CanonicalStore:
             # An update that died before its log entry; nothing refers to the folder.
             files.remove(self.spark, folder)
         actions = vintage_actions(existing, incoming, self.values)
-        # A month's rows spread over some hashed groups of tickers: as many files as
-        # shuffle partitions, none of them hot, and no sampling pass over the merge.
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        groups = max(1, partitions // len(months))
+        # Rows meet by month, and adaptive execution splits a month beyond its advisory size
+        # over several tasks and files, however many months an update touches.
         (
             actions.select(*[f.name for f in self.schema], "action")
             .withColumn("month", F.date_format("date", MONTH))
-            .repartition(partitions, "month", F.pmod(F.hash("ticker"), F.lit(groups)))
+            .hint("rebalance", "month")
             .sortWithinPartitions("month", "ticker", "date")
             .write.partitionBy("month")
             .parquet(folder)
