@@ -603,6 +603,32 @@ VALUES = ("open", "high", "low", "close", "adjusted_close", "volume")
 cte("merge_px", "px_first", "px_second")(_merge("px_first", "px_second", VALUES))
 cte("merge_sh", "shares_first", "shares_second")(_merge("shares_first", "shares_second", ("shares_outstanding",)))
 cte("merge_full", "px_first", "px")(_merge("px_first", "px", VALUES))
+cte("shares_later", "shares")("SELECT * REPLACE (retrieved_at + INTERVAL 12 HOURS AS retrieved_at) FROM shares")
+cte("persist_px", "px_first", "px_later")(_merge("px_first", "px_later", VALUES))
+cte("persist_sh", "shares_first", "shares_later")(_merge("shares_first", "shares_later", ("shares_outstanding",)))
+oracle("persist_prices", f"{PRICE_SELECT} persist_px", "persist_px")
+oracle(
+    "persist_revisions",
+    "SELECT ticker, count(*) AS revised_rows FROM persist_px WHERE action = 'revise' GROUP BY ticker",
+    "persist_px",
+)
+oracle("snapshot_rows", f"{PRICE_SELECT} px_first", "px_first")
+oracle(
+    "persist_shares",
+    f"SELECT ticker, {day('date')}, shares_outstanding, {instant('retrieved_at')} FROM persist_sh",
+    "persist_sh",
+)
+oracle(
+    "stream_updates",
+    f"""SELECT ticker, {day('date')}, adjusted_close, {instant('retrieved_at')}, 'held' AS outcome FROM merge_px
+UNION ALL SELECT ticker, CAST(date AS VARCHAR), NULL, NULL, action FROM merge_px WHERE action IN ('lose', 'stale', 'conflict')""",
+    "merge_px",
+)
+oracle(
+    "harmonise_vintages",
+    """SELECT o_orderkey, o_orderkey + 9007199254740992 AS units FROM orders
+UNION ALL SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) FROM orders""",
+)
 oracle("merge_actions", f"SELECT ticker, {day('date')}, action FROM merge_px", "merge_px")
 oracle("merge_prices", f"{PRICE_SELECT} merge_px", "merge_px")
 oracle(
@@ -831,16 +857,13 @@ UNION ALL
 SELECT 'duplicate_ticker', min(CASE WHEN p_type = 'ECONOMY' THEN upper(p_name) ELSE p_name END) FROM part
 GROUP BY lower(trim(p_name)) HAVING count(*) > 1""",
 )
-oracle(
-    "universe_hash",
-    """SELECT sha256(string_agg(digest, '' ORDER BY block)) AS universe_sha256,
+UNIVERSE_HASH = """SELECT sha256(string_agg(digest, '' ORDER BY block)) AS universe_sha256,
 CAST(sum(n) AS BIGINT) AS instruments FROM (
   SELECT (ord - 1) // 10000 AS block, count(*) AS n, sha256('[' || string_agg(
     '{"category":"' || category || '","name":"' || name || '","ticker":"' || ticker || '"}', ',' ORDER BY ord) || ']') AS digest
   FROM univ GROUP BY 1
-)""",
-    "univ",
-)
+)"""
+oracle("universe_hash", UNIVERSE_HASH, "univ")
 oracle(
     "default_end_date",
     """SELECT event_id, CAST(CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS default_end FROM events""",
@@ -1337,3 +1360,28 @@ def _detail(source: str, columns: tuple[str, ...]) -> str:
 oracle("observation_detail", _detail("mom", MOMENTUM_COLUMNS), "mom", "univ", "bounds")
 oracle("observation_detail_volatility", _detail("vol", VOLATILITY_COLUMNS), "vol", "univ", "bounds")
 oracle("verify_run", 'SELECT \'\' AS "check", \'\' AS rule, \'\' AS subject WHERE false')
+oracle(
+    "run_metadata",
+    f"""
+SELECT unnest(['run_id', 'target_session', 'captured_at', 'request_start', 'request_end_exclusive', 'mode', 'universe_sha256']) AS field,
+       unnest([strftime(hi, '%Y%m%d') || 'T230000000000Z', CAST(hi AS VARCHAR), CAST(hi AS VARCHAR) || 'T23:00:00.000000Z',
+               CAST(lo - 10 AS VARCHAR), CAST(hi + 1 AS VARCHAR), 'offline', universe_sha256]) AS value
+FROM bounds, ({UNIVERSE_HASH})""",
+    "bounds",
+    "univ",
+)
+oracle(
+    "verify_tampered_run",
+    """
+SELECT 'manifest' AS "check", 'differs_from_universe' AS rule, 'universe_sha256' AS subject
+UNION ALL SELECT * FROM (VALUES ('artifacts', 'row_count_differs', 'dependence'), ('artifacts', 'row_count_differs', 'volatility'),
+  ('artifacts', 'digest_differs', 'volatility'), ('artifacts', 'digest_differs', 'momentum'),
+  ('regeneration', 'left', 'momentum'), ('regeneration', 'right', 'momentum'), ('regeneration', 'right', 'volatility'))
+UNION ALL SELECT 'volatility_keys', 'incomplete_sessions', ticker FROM (SELECT DISTINCT ticker FROM px)
+UNION ALL SELECT 'volatility_input', 'row_missing', ticker FROM (SELECT DISTINCT ticker FROM px)
+UNION ALL SELECT 'momentum_contract', 'percentile_out_of_range', ticker FROM mom JOIN bounds ON signal_date = hi
+WHERE momentum_percentile IS NOT NULL""",
+    "px",
+    "mom",
+    "bounds",
+)

@@ -20,12 +20,14 @@ from tickerloom.operators import signals as sg
 from tickerloom.operators import spine as sp
 from tickerloom.operators import vintages as vt
 from tickerloom.plans import jobs, publish as pb, reports as rp, verify as vf
+from tickerloom.plans.evaluate import Evaluation
 from tickerloom.schemas import MOMENTUM_COLUMNS, PRICE_VALUES, SHARE_VALUES, VOLATILITY_COLUMNS
 from tickerloom.session import new_folder, stored
 from tickerloom.sources import payloads as pl
 from tickerloom.sources import tables as tb
 from tickerloom.sources import universe as un
 from tickerloom.sources.calendar import EvaluationTarget, SessionCalendar, resolve_targets
+from tickerloom.streaming import updates as up
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -465,6 +467,68 @@ def frame_diff(spark, sf_dir):
     return flat(vt.frame_difference(first.select(*columns), second.select(*columns)))
 
 
+# ---------------------------------------------------------------- the canonical store
+
+
+def price_store(spark):
+    return jobs.price_store(spark, new_folder(spark, "prices"))
+
+
+def revised_store(spark, sf_dir):
+    """A store that took the first vintage and then a full, later reading of all lines."""
+    store = price_store(spark)
+    store.persist(tb.first_vintage(spark, sf_dir))
+    return store, store.persist(tb.later_vintage(spark, sf_dir))
+
+
+@query
+def persist_prices(spark, sf_dir):
+    return flat(revised_store(spark, sf_dir)[0].read())
+
+
+@query
+def persist_revisions(spark, sf_dir):
+    return revised_store(spark, sf_dir)[1].revised_tickers
+
+
+@query
+def snapshot_rows(spark, sf_dir):
+    """The superseded table, read under the snapshot that the revision left."""
+    store, persisted = revised_store(spark, sf_dir)
+    return flat(store.read(number=store.snapshots()[persisted.snapshot]))
+
+
+@query
+def persist_shares(spark, sf_dir):
+    store = jobs.share_store(spark, new_folder(spark, "shares"))
+    full = tb.share_counts(spark, sf_dir)
+    store.persist(tb.share_counts(spark, sf_dir, "F"))
+    store.persist(full.withColumn("retrieved_at", F.col("retrieved_at") + F.expr("INTERVAL 12 HOURS")))
+    return flat(store.read())
+
+
+@query
+def stream_updates(spark, sf_dir):
+    """Two vintages land as files and a stream merges them: the held rows and the refused ones."""
+    store = price_store(spark)
+    landing, quarantine, checkpoint = (new_folder(spark, p) for p in ("landing", "quarantine", "stream"))
+    for vintage in vintages(spark, sf_dir):
+        vintage.write.mode("append").parquet(landing)
+        up.stream_updates(spark, landing, store, quarantine, checkpoint).awaitTermination()
+    held = store.read().select("ticker", "date", "adjusted_close", "retrieved_at", F.lit("held").alias("outcome"))
+    refused = spark.read.parquet(quarantine).select("ticker", "date", F.col("reason").alias("outcome"))
+    return flat(held.unionByName(refused, allowMissingColumns=True))
+
+
+@query
+def harmonise_vintages(spark, sf_dir):
+    """Whole numbers beyond 2^53 united with doubles: the type that holds both is found first."""
+    orders = tb.read_table(spark, sf_dir, "orders")
+    whole = orders.select("o_orderkey", (F.col("o_orderkey") + 9007199254740992).alias("units"))
+    real = orders.select("o_orderkey", F.floor("o_totalprice").cast("double").alias("units"))
+    return ql.union_losslessly([whole, real], ("units",))
+
+
 @query
 def vintage_diff(spark, sf_dir):
     old, new = stored(tb.first_vintage(spark, sf_dir), "prices"), stored(prices_of(spark, sf_dir), "prices")
@@ -954,12 +1018,43 @@ def observation_detail_volatility(spark, sf_dir):
     return rp.observation_detail(rows, VOLATILITY_COLUMNS)
 
 
+def evaluation_of(spark, sf_dir):
+    return Evaluation("offline", target_of(sf_dir), tb.desk_universe(spark, sf_dir), None, frames_of(spark, sf_dir))
+
+
+@query
+def run_metadata(spark, sf_dir):
+    """What the manifest of a run over the panel says of the run as a whole."""
+    target = target_of(sf_dir)
+    evaluation = Evaluation("offline", target, tb.desk_universe(spark, sf_dir), None, {})
+    head = pb.manifest_head(evaluation, target.captured_at)
+    fields = [f for f in vf.MANIFEST_FIELDS if f not in ("context", "artifacts")]
+    row = spark.createDataFrame([tuple(head[f] for f in fields)], ", ".join(f"{f} string" for f in fields))
+    return rp.run_metadata(row)
+
+
 @query
 def verify_run(spark, sf_dir):
     """Publish an evaluation of the panel and re-verify it from its files; no rows mean it holds."""
-    from tickerloom.plans.evaluate import Evaluation
+    evaluation = evaluation_of(spark, sf_dir)
+    folder = pb.publish(evaluation, new_folder(spark, "runs"), evaluation.target.captured_at)
+    return jobs.verify_run(spark, folder, evaluation.target.request_start)[1]
 
-    target = target_of(sf_dir)
-    evaluation = Evaluation("offline", target, tb.desk_universe(spark, sf_dir), None, frames_of(spark, sf_dir))
+
+@query
+def verify_tampered_run(spark, sf_dir):
+    """The same run with the target session's momentum percentiles, one session of volatility,
+    the universe hash and a row count changed after publication."""
+    evaluation = evaluation_of(spark, sf_dir)
+    target = evaluation.target
     folder = pb.publish(evaluation, new_folder(spark, "runs"), target.captured_at)
-    return jobs.verify_run(spark, folder)[1]
+    manifest, frames = pb.read_run(spark, folder)
+    manifest["universe_sha256"] = "0" * 64
+    manifest["artifacts"]["dependence"]["row_count"] += 1
+    last = F.col("signal_date") == F.lit(target.target_session)
+    percentile = F.col("momentum_percentile")
+    frames["momentum"] = frames["momentum"].withColumn(
+        "momentum_percentile", F.when(last, percentile + 200.0).otherwise(percentile)
+    )
+    frames["volatility"] = frames["volatility"].where(~last)
+    return jobs.run_violations(spark, manifest, frames, manifest["run_id"], target.request_start)

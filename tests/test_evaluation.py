@@ -149,6 +149,65 @@ def test_publish_and_verify(spark, evaluation, tmp_path):
     assert kinds == [("stray", "rejected"), ("20260102", "run"), ("20260101", "quarantined")]
 
 
+@pytest.fixture(scope="module")
+def manifest(evaluation):
+    at = evaluation.target.captured_at
+    rows = {r["artifact"]: r.asDict() for r in pb.manifest_rows(evaluation.frames).collect()}
+    return pb.manifest_head(evaluation, at, {"head": "abc"}) | {"artifacts": rows}
+
+
+def problems(spark, manifest, run, sha):
+    return set(vf.manifest_problems(spark, manifest, run, sha))
+
+
+@pytest.mark.parametrize(
+    "field, value, rules",
+    [
+        ("run_id", "20200101T000000000000Z", {"differs_from_folder", "differs_from_creation"}),
+        ("created_at", "2017-05-05T00:00:00.000000Z", {"differs_from_creation:run_id", "before_capture"}),
+        ("created_at", "yesterday", {"malformed"}),
+        ("mode", "online", {"unknown_value"}),
+        ("captured_at", "2018-13-01T00:00:00.000000Z", {"malformed"}),
+        ("captured_at", 5, {"malformed"}),
+        ("target_session", "2018-01-04", {"differs_from_capture"}),
+        ("request_start", "2018-01-02", {"differs_from_history_start"}),
+        ("request_end_exclusive", "2018-01-04", {"differs_from_capture"}),
+        ("universe_sha256", "0" * 64, {"differs_from_universe"}),
+        ("universe_sha256", "ABC", {"malformed"}),
+        ("notes", "more", {"field_unknown"}),
+    ],
+)
+def test_manifest_fields_are_checked(spark, manifest, field, value, rules):
+    run, sha = manifest["run_id"], manifest["universe_sha256"]
+    assert problems(spark, manifest, run, sha) == set()
+    found = problems(spark, manifest | {field: value}, run, sha)
+    assert found == {(r.split(":")[0], r.split(":")[1] if ":" in r else field) for r in rules}
+
+
+def test_manifest_without_fields_or_artifacts(spark, manifest, evaluation):
+    run, sha = manifest["run_id"], manifest["universe_sha256"]
+    for field in vf.MANIFEST_FIELDS:
+        less = {k: v for k, v in manifest.items() if k != field}
+        assert ("field_missing", field) in problems(spark, less, run, sha)
+    claims = manifest["artifacts"]
+
+    def changed(name, claim):
+        return problems(spark, manifest | {"artifacts": claims | {name: claim}}, run, sha)
+
+    momentum = claims["momentum"]
+    assert changed("extra", momentum) == {("artifact_unknown", "extra")}
+    assert changed("momentum", {"digest": "0"}) == {("artifact_fields_differ", "momentum")}
+    assert changed("momentum", momentum | {"filename": "x"}) == {("artifact_name_differs", "momentum")}
+    assert changed("momentum", momentum | {"row_count": -1}) == {("malformed_row_count", "momentum")}
+    assert problems(spark, manifest | {"artifacts": {}}, run, sha) == {("artifact_missing", a) for a in ARTIFACTS}
+    # Without a target nothing else can be judged, and nothing else is claimed.
+    frames = evaluation.frames | {
+        "ticker_metadata": pb.ticker_metadata(evaluation.universe, evaluation.frames["input_prices"], None)
+    }
+    rows = jobs.run_violations(spark, manifest | {"captured_at": None}, frames, run).collect()
+    assert [tuple(r) for r in rows] == [("manifest", "malformed", "captured_at")]
+
+
 def test_tampered_artifacts_are_noticed(spark, evaluation, prices, target):
     frames = dict(evaluation.frames)
     manifest = {"artifacts": {r["artifact"]: r.asDict() for r in pb.manifest_rows(frames).collect()}}

@@ -172,3 +172,14 @@ def test_whole_numbers_survive_or_fail_loudly(spark, store):
     series = spark.sql("SELECT '2024-01-03T00:00:00+00:00' AS stamp, 9007199254740993L AS value")
     with pytest.raises(Exception, match="cannot hold exactly"):
         pl.normalize_shares(series, "A", F.lit(AT)).collect()
+
+
+def test_broken_stored_rows_stop_a_merge(spark, store):
+    store.persist(vintage(spark))
+    folder = f"{store.root}/{store.current()['months']['2018-01']}"
+    held = spark.read.parquet(folder).withColumn("open", F.lit(-1.0)).collect()
+    schema = spark.read.parquet(folder).schema
+    spark.createDataFrame(held, schema).coalesce(1).write.mode("overwrite").parquet(folder)
+    with pytest.raises(ContractError, match="stored rows break rule 'nonpositive_open'"):
+        store.persist(vintage(spark, 1))
+    assert store.entries() == [1]

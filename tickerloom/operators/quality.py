@@ -150,10 +150,23 @@ def widen_losslessly(df: DataFrame, column: str, target: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast(target))
 
 
+WHOLE_AND_REAL = ("bigint", "decimal(20,0)", "double")
+
+
 def common_numeric_type(frames: list[DataFrame], column: str) -> str:
-    """The first type that holds every value of the column in all frames exactly."""
-    for target in ("bigint", "decimal(20,0)", "double"):
-        if all(lossy_casts(df, column, target).isEmpty() for df in frames):
+    """The first type that holds every value of the column in all frames exactly.
+
+    One aggregate per frame counts the values each type would change.
+    """
+    fits = set(WHOLE_AND_REAL)
+    for df in frames:
+        source = df.schema[column].dataType.simpleString()
+        value = F.col(column)
+        changed = [~value.try_cast(t).try_cast(source).eqNullSafe(value) for t in WHOLE_AND_REAL]
+        counts = df.agg(*(F.count_if(c) for c in changed)).first()
+        fits &= {t for t, n in zip(WHOLE_AND_REAL, counts, strict=True) if not n}
+    for target in WHOLE_AND_REAL:
+        if target in fits:
             return target
     raise ContractError(f"no common type holds every value of column '{column}' exactly")
 

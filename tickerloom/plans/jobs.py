@@ -29,12 +29,12 @@ from tickerloom.operators.vintages import grouped_copies
 from tickerloom.plans import verify
 from tickerloom.plans.evaluate import Evaluation, evaluate
 from tickerloom.plans.publish import artifact_violations, publish, read_run
-from tickerloom.schemas import HISTORY_START, PRICE_SCHEMA, PRICE_VALUES, SHARE_SCHEMA, SHARE_VALUES, ContractError
+from tickerloom.schemas import ARTIFACTS, HISTORY_START, PRICE_SCHEMA, PRICE_VALUES, SHARE_SCHEMA, SHARE_VALUES, ContractError
 from tickerloom.session import new_folder, stored
 from tickerloom.sources.calendar import resolve_target
 from tickerloom.sources.payloads import chart_payloads, chart_rows, share_payloads, share_rows
 from tickerloom.sources.store import CanonicalStore, Persisted
-from tickerloom.sources.universe import read_universe
+from tickerloom.sources.universe import read_universe, universe_hash
 
 LANDED_DDL = "ticker string, payload string, retrieved_at timestamp"
 
@@ -130,12 +130,33 @@ def recompute(prices: DataFrame, universe: DataFrame, target, statuses: DataFram
     }
 
 
-def verify_run(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+def verify_run(
+    spark: SparkSession, folder: str, history_start: date | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """Re-verify a published run; the second table is empty when everything holds."""
     manifest, frames = read_run(spark, folder)
+    return frames, run_violations(spark, manifest, frames, folder.rstrip("/").rsplit("/", 1)[-1], history_start)
+
+
+def run_violations(
+    spark: SparkSession, manifest: dict, frames: dict[str, DataFrame], run: str, history_start: date | None = None
+) -> DataFrame:
+    """check, rule and subject of all that does not hold in a run's manifest and tables.
+
+    A manifest that does not state its mode, target and artifacts leaves nothing to judge the
+    tables by; then only its own problems are returned.
+    """
+    hashed = universe_hash(frames["ticker_metadata"].select("ord", "ticker", "name", "category"))
+    problems = verify.manifest_problems(
+        spark, manifest, run, hashed.first()["universe_sha256"], history_start
+    )
+    claimed = spark.createDataFrame(
+        [("manifest", *p) for p in problems], "check string, rule string, subject string"
+    )
+    needed = {"mode", *verify.TARGET_FIELDS, *ARTIFACTS, "artifacts"}
+    if any(subject in needed for _, subject in problems):
+        return claimed
     target = verify.evaluation_target(manifest)
-    if resolve_target(spark, target.captured_at, target.request_start) != target:
-        raise ContractError("the manifest's target does not follow from its captured instant")
     metadata, prices = frames["ticker_metadata"], frames["input_prices"]
     universe = metadata.select("ord", "ticker", "name", "category")
     calendar = evaluation_calendar(target)
@@ -179,11 +200,9 @@ def verify_run(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame],
             frames, {name: again[name] for name in ("input_prices", "momentum", "volatility")}
         ),
     }
-    combined = None
     for check, found in results.items():
-        rows = tagged(check, found)
-        combined = rows if combined is None else combined.unionByName(rows)
-    return frames, combined
+        claimed = claimed.unionByName(tagged(check, found))
+    return claimed
 
 
 def main(argv: list[str] | None = None) -> None:

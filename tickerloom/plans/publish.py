@@ -111,6 +111,22 @@ def ticker_metadata(universe: DataFrame, prices: DataFrame, statuses: DataFrame
     )
 
 
+def manifest_head(evaluation: Evaluation, created_at: datetime, context: dict | None = None) -> dict:
+    """What a manifest says of the run as a whole."""
+    target = evaluation.target
+    return {
+        "run_id": created_at.strftime(RUN_STAMP),
+        "created_at": created_at.strftime("%Y-%m-%dT%H:%M:%S.%fZ"),
+        "mode": evaluation.mode,
+        "captured_at": target.captured_at.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"),
+        "target_session": target.target_session.isoformat(),
+        "request_start": target.request_start.isoformat(),
+        "request_end_exclusive": target.request_end.isoformat(),
+        "universe_sha256": universe_hash(evaluation.universe).first()["universe_sha256"],
+        "context": context or {},
+    }
+
+
 def publish(
     evaluation: Evaluation, root: str, created_at: datetime | None = None, context: dict | None = None
 ) -> str:
@@ -135,20 +151,7 @@ def publish(
     claims.write.parquet(f"{staging}/ticker_metadata.parquet")
 
     source = {r["artifact"]: r.asDict() for r in manifest_rows(expected).collect()}
-    target = evaluation.target
-    hashed = universe_hash(evaluation.universe).first()
-    manifest = {
-        "run_id": run,
-        "created_at": created_at.strftime("%Y-%m-%dT%H:%M:%S.%fZ"),
-        "mode": evaluation.mode,
-        "captured_at": target.captured_at.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"),
-        "target_session": target.target_session.isoformat(),
-        "request_start": target.request_start.isoformat(),
-        "request_end_exclusive": target.request_end.isoformat(),
-        "universe_sha256": hashed["universe_sha256"],
-        "context": context or {},
-        "artifacts": source,
-    }
+    manifest = manifest_head(evaluation, created_at, context) | {"artifacts": source}
     files.write_json(spark, f"{staging}/manifest.json", manifest)
     check_artifacts(spark, staging, manifest)
     files.rename(spark, staging, final)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import date
+import re
+from datetime import date, datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import is_finite
 from tickerloom.operators.vintages import frame_difference
-from tickerloom.schemas import MIN_REFERENCES, REFERENCE_SPAN
-from tickerloom.sources.calendar import EvaluationTarget, SessionCalendar
+from tickerloom.schemas import ARTIFACTS, HISTORY_START, MIN_REFERENCES, REFERENCE_SPAN
+from tickerloom.sources.calendar import EvaluationTarget, SessionCalendar, resolve_target
+from tickerloom.sources.store import RUN_STAMP
 
 MOMENTUM_ISSUES = (
     "missing_start_row",
@@ -369,9 +371,92 @@ def regeneration(stored: dict[str, DataFrame], recomputed: dict[str, DataFrame])
     return combined
 
 
-def evaluation_target(manifest: dict) -> EvaluationTarget:
-    from datetime import datetime
+MANIFEST_FIELDS = (
+    "run_id",
+    "created_at",
+    "mode",
+    "captured_at",
+    "target_session",
+    "request_start",
+    "request_end_exclusive",
+    "universe_sha256",
+    "context",
+    "artifacts",
+)
+ARTIFACT_FIELDS = ("artifact", "filename", "fields", "schema", "row_count", "digest")
+TARGET_FIELDS = ("captured_at", "target_session", "request_start", "request_end_exclusive")
+INSTANT = "%Y-%m-%dT%H:%M:%S.%fZ"
+
+
+def _parsed(text: object, read) -> object:
+    """What a manifest text stands for, or None where it is not of that form."""
+    try:
+        return read(text) if isinstance(text, str) else None
+    except ValueError:
+        return None
+
+
+def _instant(text: str) -> datetime:
+    return datetime.strptime(text, INSTANT).replace(tzinfo=timezone.utc)
 
+
+def manifest_problems(
+    spark: SparkSession, manifest: dict, run: str, universe_sha256: str, history_start: date | None = None
+) -> list[tuple[str, str]]:
+    """Rules the manifest of the folder `run` breaks, each with the field it concerns.
+
+    The manifest is one small document; the tables it describes are checked elsewhere. The
+    claims of one field are compared with the folder's name, with each other, and with what
+    follows from the captured instant.
+    """
+    found = [("field_missing", f) for f in MANIFEST_FIELDS if f not in manifest]
+    found += [("field_unknown", f) for f in manifest if f not in MANIFEST_FIELDS]
+    created = _parsed(manifest.get("created_at"), _instant)
+    captured = _parsed(manifest.get("captured_at"), _instant)
+    days = {f: _parsed(manifest.get(f), date.fromisoformat) for f in TARGET_FIELDS[1:]}
+    forms = {"created_at": created, "captured_at": captured, **days}
+    found += [("malformed", f) for f, value in forms.items() if f in manifest and value is None]
+    if manifest.get("run_id") != run:
+        found.append(("differs_from_folder", "run_id"))
+    if created and manifest.get("run_id") != created.strftime(RUN_STAMP):
+        found.append(("differs_from_creation", "run_id"))
+    if created and captured and created < captured:
+        found.append(("before_capture", "created_at"))
+    if manifest.get("mode") not in ("offline", "refresh"):
+        found.append(("unknown_value", "mode"))
+    if not re.fullmatch("[0-9a-f]{64}", str(manifest.get("universe_sha256"))):
+        found.append(("malformed", "universe_sha256"))
+    elif manifest["universe_sha256"] != universe_sha256:
+        found.append(("differs_from_universe", "universe_sha256"))
+    start = history_start or date.fromisoformat(HISTORY_START)
+    if days["request_start"] and days["request_start"] != start:
+        found.append(("differs_from_history_start", "request_start"))
+    if captured and all(days.values()):
+        try:
+            follows = resolve_target(spark, captured, start)
+        except ValueError:
+            found.append(("has_no_target", "captured_at"))
+        else:
+            if days["target_session"] != follows.target_session:
+                found.append(("differs_from_capture", "target_session"))
+            if days["request_end_exclusive"] != follows.request_end:
+                found.append(("differs_from_capture", "request_end_exclusive"))
+    artifacts = manifest.get("artifacts")
+    artifacts = artifacts if isinstance(artifacts, dict) else {}
+    found += [("artifact_missing", a) for a in ARTIFACTS if a not in artifacts]
+    for name, claims in artifacts.items():
+        if name not in ARTIFACTS:
+            found.append(("artifact_unknown", name))
+        elif not isinstance(claims, dict) or set(claims) != set(ARTIFACT_FIELDS):
+            found.append(("artifact_fields_differ", name))
+        elif claims["artifact"] != name or claims["filename"] != f"{name}.parquet":
+            found.append(("artifact_name_differs", name))
+        elif type(claims["row_count"]) is not int or claims["row_count"] < 0:
+            found.append(("malformed_row_count", name))
+    return found
+
+
+def evaluation_target(manifest: dict) -> EvaluationTarget:
     return EvaluationTarget(
         datetime.fromisoformat(manifest["captured_at"]),
         date.fromisoformat(manifest["target_session"]),

@@ -122,6 +122,8 @@ class CanonicalStore:
 
         before = self.current()
         existing = self.read(months) if before else self.spark.createDataFrame([], self.schema)
+        if before:
+            require_none(row_violations(existing, self.rules), "stored rows")
         number = (before["number"] if before else 0) + 1
         version = f"versions/{number:08d}"
         folder = f"{self.root}/{version}"
