@@ -25,7 +25,7 @@ def paired_percentiles(momentum: DataFrame, volatility: DataFrame, universe: Dat
 
 
 def average_ranks(pairs: DataFrame, group: str, value: str) -> DataFrame:
-    """Average rank of every distinct value within its group.
+    """Average rank of every distinct value within its session.
 
     A session's group grows with the instruments, so the ranks are made from counts
     of distinct values: they combine before the shuffle, and a percentile is a
@@ -42,6 +42,21 @@ def average_ranks(pairs: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def ticker_ranks(pairs: DataFrame) -> DataFrame:
+    """Pairs with the average ranks of both values within their ticker.
+
+    A ticker has at most one pair per session, so its windows are bounded by the calendar;
+    they and the aggregate after them share one partitioning.
+    """
+    for v in ("x", "y"):
+        place = F.rank().over(Window.partitionBy("ticker").orderBy(v))
+        pairs = pairs.withColumn(f"rank_{v}", place)
+    for v in ("x", "y"):
+        ties = F.count(F.lit(1)).over(Window.partitionBy("ticker", v))
+        pairs = pairs.withColumn(f"rank_{v}", F.col(f"rank_{v}") + (ties - 1) / 2.0)
+    return pairs
+
+
 def _guarded(x: str, y: str) -> Column:
     """Correlation, null instead of an error on a constant side."""
     spread = F.stddev_pop(x) * F.stddev_pop(y)
@@ -58,11 +73,13 @@ def _status(pairs: Column, flat_x: Column, flat_y: Column) -> Column:
 
 def correlations(pairs: DataFrame, group: str) -> DataFrame:
     """Pair count, date range, status and both estimates per group that has pairs."""
-    ranked = pairs.join(average_ranks(pairs, group, "x"), [group, "x"]).join(
-        average_ranks(pairs, group, "y"), [group, "y"]
-    )
     dates = []
-    if group != "signal_date":
+    if group == "signal_date":
+        ranked = pairs.join(average_ranks(pairs, group, "x"), [group, "x"]).join(
+            average_ranks(pairs, group, "y"), [group, "y"]
+        )
+    else:
+        ranked = ticker_ranks(pairs)
         dates = [
             F.min("signal_date").alias("first_signal_date"),
             F.max("signal_date").alias("last_signal_date"),

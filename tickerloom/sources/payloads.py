@@ -125,8 +125,8 @@ def chart_payloads(landed: DataFrame) -> DataFrame:
     """Parse price payloads: (ticker, payload, retrieved_at) → one row with lists or an error.
 
     A typed parse reads every payload once; only those with a value that does not fit
-    are read again as variants, to say which value it is. Write the result before
-    filtering on ``issue``: a filter pushed below the parse would repeat it.
+    are read again as variants, to say which value it is. Filter on ``issue`` only behind
+    a written result: a filter pushed below the parse would repeat it.
     """
     parsed = landed.withColumn(
         "c", F.from_json("payload", _CHART, {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
@@ -203,15 +203,24 @@ def market_date(stamp: Column, zone: Column) -> Column:
     return F.when(before_midnight, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
 
 
+def _unpacked(parsed: DataFrame, keep: tuple[str, ...], lists: Column) -> DataFrame:
+    """One row per entry of the lists of the payloads without an issue.
+
+    The parse is not followed by a filter that could be pushed below it and repeat it: lists
+    of other payloads become null, and the row that the outer form gives for them goes by its
+    missing stamp, which no entry lacks.
+    """
+    valid = F.when(F.col("issue").isNull(), lists)
+    return parsed.select(*keep, F.inline_outer(valid)).where("stamp is not null")
+
+
 def chart_rows(parsed: DataFrame) -> DataFrame:
     """Canonical price rows of the payloads without an issue; nothing is filled in."""
     empty = F.expr("cast(array() as array<double>)")
-    lists = ["stamp", *REQUIRED_FIELDS, "adjusted_close"]
-    rows = (
-        parsed.where("issue is null and size(stamp) > 0")
-        .withColumn("adjusted_close", F.coalesce("adjusted_close", empty))
-        .select("ticker", "retrieved_at", "zone", F.inline(F.arrays_zip(*lists)))
-    )
+    adjusted = F.coalesce("adjusted_close", empty).alias("adjusted_close")
+    lists = F.arrays_zip("stamp", *REQUIRED_FIELDS, adjusted)
+    # Without stamps there are no rows, whatever the other lists hold.
+    rows = _unpacked(parsed, ("ticker", "retrieved_at", "zone"), F.when(F.size("stamp") > 0, lists))
     return rows.withColumn("date", market_date(F.col("stamp"), F.col("zone"))).select(*PRICE_COLUMNS)
 
 
@@ -248,9 +257,8 @@ def share_payloads(landed: DataFrame) -> DataFrame:
 
 def share_rows(parsed: DataFrame) -> DataFrame:
     """Canonical share rows; the date is the UTC date of the epoch, and nulls are kept."""
-    rows = parsed.where("issue is null and size(stamp) > 0").select(
-        "ticker", "retrieved_at", F.inline(F.arrays_zip("stamp", "shares_outstanding"))
-    )
+    lists = F.when(F.size("stamp") > 0, F.arrays_zip("stamp", "shares_outstanding"))
+    rows = _unpacked(parsed, ("ticker", "retrieved_at"), lists)
     return rows.select(
         F.to_date(F.timestamp_seconds("stamp")).alias("date"),
         "ticker",
