@@ -9,6 +9,8 @@ from tests.test_ingest import STAMPS, chart, landed, shares
 from tickerloom.plans import jobs
 from tickerloom.plans.publish import read_run
 from tickerloom.schemas import ContractError
+from tickerloom.session import shared_folder
+from tickerloom.sources import files
 from tickerloom.sources import payloads as pl
 from tickerloom.streaming.updates import stream_updates
 
@@ -174,6 +176,16 @@ def test_whole_numbers_survive_or_fail_loudly(spark, store):
         pl.normalize_shares(series, "A", F.lit(AT)).collect()
 
 
+def test_a_merge_leaves_no_intermediate_folder(spark, store):
+    shared = f"{shared_folder(spark)}/tickerloom"
+    before = set(files.names(spark, shared))
+    store.persist(vintage(spark))
+    assert store.persist(vintage(spark)).revised_tickers.collect() == []
+    with pytest.raises(ContractError):
+        store.persist(vintage(spark, -1, 2.0))
+    assert set(files.names(spark, shared)) == before
+
+
 def test_broken_stored_rows_stop_a_merge(spark, store):
     store.persist(vintage(spark))
     folder = f"{store.root}/{store.current()['months']['2018-01']}"

@@ -53,8 +53,13 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/tickerloom/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored_in(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As `stored`, with the folder, for callers that remove it when they are done."""
     folder = new_folder(df.sparkSession, purpose)
     df.write.mode("errorifexists").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+    return stored_in(df, purpose)[0]

@@ -26,7 +26,7 @@ from tickerloom.operators.vintages import (
     vintage_actions,
 )
 from tickerloom.schemas import KEY, ContractError, check_columns
-from tickerloom.session import stored
+from tickerloom.session import stored_in
 from tickerloom.sources import files
 
 RUN_STAMP = "%Y%m%dT%H%M%S%fZ"
@@ -105,7 +105,13 @@ class CanonicalStore:
         incoming = check_columns(incoming, self.schema)
         kinds = {c: incoming.schema[c].dataType.simpleString() for c in self.values}
         incoming = incoming.withColumns({c: exact_double(F.col(c), kinds[c], f"'{c}'") for c in self.values})
-        copies = stored(grouped_copies(incoming, self.values), "incoming")
+        copies, scratch = stored_in(grouped_copies(incoming, self.values), "incoming")
+        try:
+            return self._merge(copies, statuses, snapshot_time)
+        finally:
+            files.remove(self.spark, scratch)
+
+    def _merge(self, copies: DataFrame, statuses: DataFrame | None, snapshot_time: datetime | None) -> Persisted:
         conflicts = copies.where("in_conflict").select(
             F.lit(1).alias("priority"), F.lit("conflicting_duplicates").alias("rule"), *KEY
         )
@@ -154,7 +160,8 @@ class CanonicalStore:
         if before and written.where(F.col("action").isin("new", "advance", "revise")).isEmpty():
             # A replayed vintage: the table already says all of it.
             files.remove(self.spark, folder)
-            return Persisted(before["number"], 0, revision_summary(actions.limit(0)), None)
+            none = self.spark.createDataFrame([], "ticker string, revised_rows bigint")
+            return Persisted(before["number"], 0, none, None)
         revised = revision_summary(written)
         count = revised.agg(F.coalesce(F.sum("revised_rows"), F.lit(0))).first()[0]
         snapshot = self._snapshot_name(snapshot_time) if count else None

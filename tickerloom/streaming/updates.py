@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tickerloom.operators.quality import row_violations
 from tickerloom.operators.vintages import REJECTED, deduplicate, duplicate_conflicts, vintage_actions
 from tickerloom.schemas import KEY
-from tickerloom.session import stored
+from tickerloom.session import stored_in
+from tickerloom.sources import files
 from tickerloom.sources.store import CanonicalStore
 
 
@@ -43,16 +44,23 @@ def apply_vintage(store: CanonicalStore, quarantine: str) -> Callable[[DataFrame
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = stored(batch, "batch")
-        if rows.isEmpty():
-            return
-        accepted, refused = split_vintage(store, rows)
-        accepted = stored(accepted, "accepted")
-        refused.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{quarantine}/batch={batch_id}"
-        )
-        if not accepted.isEmpty():
-            store.persist(accepted)
+        spark = batch.sparkSession
+        rows, scratch = stored_in(batch, "batch")
+        folders = [scratch]
+        try:
+            if rows.isEmpty():
+                return
+            accepted, refused = split_vintage(store, rows)
+            accepted, scratch = stored_in(accepted, "accepted")
+            folders.append(scratch)
+            refused.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+                f"{quarantine}/batch={batch_id}"
+            )
+            if not accepted.isEmpty():
+                store.persist(accepted)
+        finally:
+            for folder in folders:
+                files.remove(spark, folder)
 
     return run
 
