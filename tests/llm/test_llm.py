@@ -19,6 +19,7 @@ from tickerloom.llm import (
     bpe,
     components,
     html,
+    minhash,
     mpegts,
     packing,
     pii,
@@ -298,6 +299,34 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert pstable.near_duplicates(frame.where("false")).isEmpty()
 
 
+def plain_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_texts_against_brute_force(spark, docs, none):
+    r = random.Random(9)
+    texts = []
+    for words in (12, 60, 300):
+        for _ in range(6):
+            original = [f"w{r.randrange(4000)}" for _ in range(words)]
+            for edits in range(0, max(2, words // 25), 1 + words // 150):
+                copy = list(original)
+                for at in r.sample(range(words), edits):
+                    copy[at] = f"x{r.randrange(10**6)}"
+                texts.append(" ".join(copy))
+    texts += ["", " ", "Two Words", "two words", "two words more", texts[0].upper()]
+    sets = [plain_set(t) for t in texts]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1
+    label = component_of(len(texts), lambda i, j: share(i, j) >= 0.8)
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    kept = sorted(row["doc_id"] for row in stage(spark, frame, SF).collect())
+    assert kept == sorted(set(label)) and len(kept) < len(texts) - 20
+    assert sorted(row["doc_id"] for row in minhash.deduplicated(docs).collect()) == [1, 2, 3, 4, 5, 6]
+    assert minhash.deduplicated(none).isEmpty() and minhash.deduplicated(docs).columns == docs.columns
+
+
 # ---------------------------------------------------------------- personal data and secrets
 
 

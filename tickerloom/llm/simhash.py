@@ -32,20 +32,26 @@ BUCKET = 2048
 _BITS = 64
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash over shingles of lower-cased words; 0 where there are no words."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of lower-cased words, in order; a shorter text is one shingle."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII white spaces
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: n - 1]]
     digest = xxhash.xxh64_intdigest
     last = ends[min(shingle, len(words)) - 1 :]
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a : b - 1], 42) for a, b in zip(starts, last, strict=True)), np.uint64, n
     )
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash over shingles of lower-cased words; 0 where there are no words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     counts = np.zeros(_BITS, dtype=np.int64)
     for i in range(0, n, 65_536):
         part = np.ascontiguousarray(hashes[i : i + 65_536]).astype("<u8").view(np.uint8)
