@@ -370,6 +370,24 @@ def test_surrogates_that_clash_are_drawn_again(spark, monkeypatch):
     assert not {r["surrogate"] for r in rows} & {v for _, v in values}
 
 
+def test_names_without_title_follow_the_titled_ones(spark):
+    rows = [
+        (1, "Dr Anna Kowalski called. Kowalski said that KOWALSKI and Anna left in Anna Kowalski's car; Kowalskis, Berlin."),
+        (2, "Kowalski, Anna. Call 8.8.8.8"),
+        (3, "O'Neil's first, then Mr. Al-assad’s; O'Neil again, said Mrs. O'Neil. Al-assad"),
+    ]
+    found = by_id(pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    m = re.fullmatch(
+        r"Dr (\w+) (\w+) called\. (\w+) said that (\w+) and (\w+) left in (\w+) (\w+)'s car; Kowalskis, Berlin\.",
+        found[1]["text"],
+    )
+    assert m and m[2] == m[3] == m[7] and m[4] == m[2].upper() and m[1] == m[5] == m[6]
+    assert m[1] != "Anna" and m[2] != "Kowalski" and found[1]["n_replaced"] == 7
+    assert found[2]["text"].startswith("Kowalski, Anna. Call ") and found[2]["n_replaced"] == 1
+    m = re.fullmatch(r"(\w+)'s first, then Mr\. (\w+)’s; (\w+) again, said Mrs\. (\w+)\. (\w+)", found[3]["text"])
+    assert m and m[1] == m[3] == m[4] and m[2] == m[5] and found[3]["n_replaced"] == 5
+
+
 def plain_spans(text):
     found = []
     pattern = r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""

@@ -3,7 +3,8 @@
 Each mention is split into components: an address, a number, or the given name and surname that
 follow a title. A component's surrogate depends on the key, its kind and its normalised value
 alone, so that one entity has one surrogate in the whole corpus, also when only its surname is
-mentioned, or its number is written in another format. Kinds carry gender (from the title) and
+mentioned, or its number is written in another format. A name that a title introduces is
+also replaced where its words return in that text without one. Kinds carry gender (from the title) and
 script; the surrogate is drawn in that script and gender and shown in the format of the mention.
 
 Distinct components are few and narrow. Their surrogates are checked against each other and
@@ -24,7 +25,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MALE = r"Mr|Herr|Monsieur|Señor|Sr|Г-н|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|г-жа"
 _NEUTRAL = r"Dr|Prof"
-_NAME_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
+#: Hyphens and apostrophes stand between letters; a possessive s is not part of the name.
+_NAME_WORD = r"\p{Lu}(?:(?!['’]s(?!\p{L}))['’-]?\p{L}){1,40}"
 
 _EMAIL = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@"
@@ -45,6 +47,8 @@ _PHONE = (
 _NAME = (
     rf"(?<!\p{{L}})(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? {_NAME_WORD}(?: {_NAME_WORD})?(?!\p{{L}})"
 )
+#: A word that may repeat a name found after a title.
+_WORD = rf"(?<![\p{{L}}\p{{N}}]){_NAME_WORD}(?!\p{{L}})"
 #: kind, pattern; the first that fits where a mention starts.
 PATTERNS = (
     ("email", _EMAIL),
@@ -152,6 +156,66 @@ def mentions(text: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), both)
 
 
+def with_words(found: Column) -> Column:
+    """found with the capitalised words between mentions as components of kind word.
+
+    Only a text with a titled name gets them; `pseudonymised` replaces those that repeat one.
+    """
+
+    def words(gap: Column) -> Column:
+        raws = F.regexp_extract_all(gap, F.lit(f"({_WORD})"), F.lit(1))
+        return let(
+            F.struct(raws.alias("raws"), F.split(gap, _WORD, -1).alias("gaps")),
+            lambda z: F.struct(
+                F.zip_with(
+                    F.slice(z["gaps"], F.lit(1), F.size(z["raws"])),
+                    z["raws"],
+                    lambda before, raw: F.struct(
+                        before.alias("before"),
+                        F.lit("word").alias("kind"),
+                        raw.alias("raw"),
+                        F.lower(raw).alias("value"),
+                    ),
+                ).alias("components"),
+                F.element_at(z["gaps"], -1).alias("tail"),
+            ),
+        )
+
+    def split(c: Column) -> Column:
+        return let(
+            words(c["before"]),
+            lambda w: F.concat(
+                w["components"],
+                F.array(
+                    F.struct(
+                        w["tail"].alias("before"),
+                        c["kind"].alias("kind"),
+                        c["raw"].alias("raw"),
+                        c["value"].alias("value"),
+                    )
+                ),
+            ),
+        )
+
+    def whole(m: Column) -> Column:
+        return let(
+            words(m["tail"]),
+            lambda w: F.struct(
+                F.concat(F.flatten(F.transform(m["components"], split)), w["components"]).alias("components"),
+                w["tail"].alias("tail"),
+            ),
+        )
+
+    return let(
+        found,
+        lambda m: F.when(F.exists(m["components"], lambda c: _is_name(c["kind"])), whole(m)).otherwise(m),
+    )
+
+
+def _is_name(kind: Column) -> Column:
+    return kind.startswith("given_") | kind.startswith("surname_")
+
+
 def _number(seed: Column, i: Column | int) -> Column:
     """A keyed number below 2^28 for the i-th character."""
     i = F.lit(i) if isinstance(i, int) else i
@@ -315,25 +379,36 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         docs.where(hint).select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
-            mentions(whole_text()).alias("m"),
+            with_words(mentions(whole_text())).alias("m"),
         ),
         "mentions",
     )
     each = found.select("row", F.posexplode("m.components").alias("at", "c")).select(
         "row", "at", F.col("c.kind").alias("kind"), F.col("c.value").alias("value"), F.col("c.raw").alias("raw")
     )
-    mapped = each.join(surrogates(each, key), ["kind", "value"])
+    titled = each.where(F.col("kind") != "word")
+    # A word of the text that repeats a name found in it is that name.
+    names = titled.where(_is_name(F.col("kind"))).groupBy("row", "value").agg(F.min("kind").alias("kind"))
+    words = each.where(F.col("kind") == "word").drop("kind").join(names, ["row", "value"], "left")
+    mapped = titled.unionByName(words).join(surrogates(titled, key), ["kind", "value"], "left")
     mapped = mapped.select(
-        "row", "at", shown(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("shown")
+        "row",
+        "at",
+        F.col("kind").isNotNull().cast("long").alias("real"),
+        F.when(F.col("kind").isNull(), F.col("raw"))
+        .otherwise(shown(F.col("kind"), F.col("raw"), F.col("surrogate")))
+        .alias("shown"),
+    )
+    lists = mapped.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("at", "shown"))).alias("new"), F.sum("real").alias("real")
     )
-    lists = mapped.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "shown"))).alias("new"))
     pieces = F.zip_with("m.components", "new", lambda c, n: F.concat(c["before"], n["shown"]))
     replaced = found.join(lists, "row", "left").select(
         "doc_id",
         F.concat(
             F.coalesce(F.array_join(pieces, ""), F.lit("")), F.col("m.tail")
         ).alias("text"),
-        F.size("m.components").cast("long").alias("n_replaced"),
+        F.coalesce("real", F.lit(0).cast("long")).alias("n_replaced"),
     )
     rest = docs.where(~hint).select("doc_id", "text", F.lit(0).cast("long").alias("n_replaced"))
     return rest.unionByName(replaced)
