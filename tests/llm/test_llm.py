@@ -388,6 +388,25 @@ def test_names_without_title_follow_the_titled_ones(spark):
     assert m and m[1] == m[3] == m[4] and m[2] == m[5] and found[3]["n_replaced"] == 5
 
 
+def test_surrogates_keep_their_format_in_full_spaces(spark, monkeypatch):
+    names = [("surname_latin", a + b + c + d) for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz" for d in "abcdefghijklmnopqrst"]
+    addresses = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(0, 256, 2)]
+    mail = [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz0123456789" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = pii.surrogates(spark.createDataFrame(names + addresses + mail, "kind string, value string"), "k").collect()
+    assert len(rows) == len({(r["kind"], r["surrogate"]) for r in rows}) == len(names + addresses + mail)
+    assert not {(r["kind"], r["surrogate"]) for r in rows} & set(names + addresses + mail)
+    shape = {"surname_latin": "[a-z]+", "ip": r"(192\.168|10\.\d+)\.\d+\.\d+", "email": r"[a-z0-9]+@[a-z0-9]\.example"}
+    assert all(re.fullmatch(shape[r["kind"]], r["surrogate"]) for r in rows)
+    monkeypatch.setattr(pii, "_number", lambda seed, i: F.conv(F.substring(seed, 1, 1), 16, 10).cast("long"))
+    values = [("social", f"{i:09}") for i in range(30)] + [("ip", f"192.168.0.{i}") for i in range(60)]
+    values += [("phone", f"{i:07}") for i in range(30)]
+    rows = pii.surrogates(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    assert len({(r["kind"], r["surrogate"]) for r in rows}) == 120
+    assert not {(r["kind"], r["surrogate"]) for r in rows} & set(values)
+    shape = {"social": r"\d{9}", "phone": r"\d{7}", "ip": r"\d+\.\d+\.\d+\.\d+"}
+    assert all(re.fullmatch(shape[r["kind"]], r["surrogate"]) for r in rows)
+
+
 def plain_spans(text):
     found = []
     pattern = r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""

@@ -13,12 +13,15 @@ against all originals; those that clash are drawn again, and the check is repeat
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import check_columns, let, whole_text, written
 
-#: Draws in the format of the kind; what still clashes then gets an opaque surrogate.
+#: Draws in the format of the kind, from spaces that grow with the draw where the format allows it.
+#: What still clashes gets a free value by rank, and an opaque surrogate only where none is left.
 DRAWS = 12
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -262,21 +265,31 @@ def _card(value: Column, seed: Column) -> Column:
     return F.concat(body, check.cast("string"))
 
 
-def _ip(value: Column, seed: Column) -> Column:
-    """An address of the same network class: private and loopback prefixes stay."""
-    kept = F.regexp_extract(
+def _ip(value: Column, seed: Column, draw: Column) -> Column:
+    """An address of the same network class: private and loopback prefixes stay.
+
+    Later draws take all octets, and then the largest private network for the smaller ones.
+    """
+    own = F.regexp_extract(
         value, r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)", 0
     )
-    octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(seed, i) % 223 + 1).cast("string"))
+    kept = F.when((draw >= DRAWS // 2) & own.rlike("^1[79]"), "10.").otherwise(own)
+    octets = F.transform(
+        F.sequence(F.lit(0), F.lit(3)),
+        lambda i: F.when((draw == 0) | (kept == ""), _number(seed, i) % 223 + 1)
+        .otherwise(_number(seed, i) % 256)
+        .cast("string"),
+    )
     left = 4 - (F.length(kept) - F.length(F.replace(kept, F.lit("."))))
     return F.concat(kept, F.array_join(F.slice(octets, F.lit(1), left), "."))
 
 
-def _name(kind: Column, value: Column, seed: Column) -> Column:
-    """Syllables of the script; given names end as names of the gender do."""
+def _name(kind: Column, value: Column, seed: Column, draw: Column) -> Column:
+    """Syllables of the script, more in later draws; given names end as names of the gender do."""
 
     def syllables(onsets: str, vowels: str) -> Column:
         count = (F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.length(value) / 2)))).cast("int")
+        count = count + F.floor(draw / 3).cast("int")
         return F.array_join(
             F.transform(
                 F.sequence(F.lit(0), count - 1),
@@ -302,21 +315,62 @@ def drawn(kind: Column, value: Column, draw: Column, key: str) -> Column:
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, value, draw.cast("string")), 256)
     at = F.instr(value, "@")
     address = F.concat(
-        _like(F.substring(value, F.lit(1), at), seed),
+        _like(F.substring(value, F.lit(1), at - 1), seed),
+        _like(F.repeat(F.lit("a"), draw), F.concat(seed, F.lit("+"))),  # longer in later draws
+        F.lit("@"),
         _like(F.regexp_extract(value, r"@(.*)\.[a-z]+$", 1), F.reverse(seed)),
         F.lit(".example"),  # reserved: never somebody's address
     )
     surrogate = (
         F.when(kind == "email", address)
         .when(kind == "card", _card(value, seed))
-        .when(kind == "ip", _ip(value, seed))
+        .when(kind == "ip", _ip(value, seed, draw))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), _like(F.substring(value, 3, 40), seed)))
         .when(kind.isin("phone", "social"), _like(value, seed))
-        .otherwise(_name(kind, value, seed))
+        .otherwise(_name(kind, value, seed, draw))
     )
     return F.when(draw < DRAWS, surrogate).otherwise(F.concat(F.lit("~"), F.substring(seed, 1, 24)))
 
 
+def _by_rank(now: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """now with free values, by rank, for what no draw gave a value in its format.
+
+    Numbers take free numbers of their length; addresses take reserved ones, 240.0.0.0 and up. Of
+    as many values as are taken and asked for, enough are free, so no more are looked at.
+    """
+    rank = F.when(F.col("kind") == "ip", 0).otherwise(F.length("value"))
+    full = (F.col("draw") >= DRAWS) & F.col("kind").isin("phone", "social", "ip")
+    left = now.where(full).withColumn("shape", rank)
+    groups = left.groupBy("kind", "shape").count().collect()
+    if not groups:
+        return now
+    used = taken.select("family", "surrogate").unionByName(now.select("family", "surrogate"))
+    used = used.groupBy("family").count().collect()
+    used = {r["family"]: r["count"] for r in used}
+    given = None
+    for kind, shape, wanted in groups:
+        space = 10**shape if shape else 1 << 28
+        digest = hashlib.sha256(f"{key}|{kind}|{shape}".encode()).digest()
+        start = int.from_bytes(digest[:4], "big") % space
+        numbers = now.sparkSession.range(min(space, used[kind] + wanted)).select(
+            F.col("id").alias("i"), ((F.col("id") * 387_420_489 + start) % space).alias("v")  # 3^18
+        )
+        octets = [F.shiftright("v", 24) + 240, *(F.shiftright("v", b) % 256 for b in (16, 8, 0))]
+        value = F.lpad(F.col("v").cast("string"), shape, "0") if shape else F.concat_ws(".", *octets)
+        values = numbers.select("i", value.alias("surrogate"))
+        for others in (taken, now):
+            own = others.where(F.col("family") == kind).select("surrogate")
+            values = values.join(own, "surrogate", "left_anti")
+        values = values.orderBy("i").limit(wanted)
+        values = values.select(F.col("surrogate").alias("free"), F.row_number().over(Window.orderBy("i")).alias("r"))
+        asked = left.where((F.col("kind") == kind) & (F.col("shape") == shape))
+        asked = asked.select("kind", "value", F.row_number().over(Window.orderBy("value")).alias("r"))
+        pairs = asked.join(values, "r").drop("r")
+        given = pairs if given is None else given.unionByName(pairs)
+    given, _ = written(given, "ranked")
+    return now.join(given, ["kind", "value"], "left").withColumn("surrogate", F.coalesce("free", "surrogate"))
+
+
 def surrogates(components: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate of each distinct component (kind, value).
 
@@ -339,7 +393,7 @@ def surrogates(components: DataFrame, key: str) -> DataFrame:
             now.withColumn("clash", (F.col("place") > 1) | F.col("real").isNotNull()), "surrogates"
         )
         if now.where("clash").isEmpty():
-            return now.select("kind", "value", "surrogate")
+            return _by_rank(now, taken, key).select("kind", "value", "surrogate")
         current = now.select(
             "kind", "value", "family", (F.col("draw") + F.col("clash").cast("int")).alias("draw")
         )
