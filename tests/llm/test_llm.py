@@ -407,6 +407,25 @@ def test_surrogates_keep_their_format_in_full_spaces(spark, monkeypatch):
     assert all(re.fullmatch(shape[r["kind"]], r["surrogate"]) for r in rows)
 
 
+def test_account_numbers_of_every_length(spark):
+    rows = []
+    for n in range(15, 35):
+        plain = "NO93" + "8601B11Q794ZX70CD81EF92GH03IJ1"[: n - 4]
+        grouped = " ".join(plain[i : i + 4] for i in range(0, n, 4))
+        rows += [(n, f"to {plain}."), (100 + n, f"to {grouped}, now")]
+    rows += [(1, "to NO93 8601 1117 94."), (2, "NO93 8601 1117 947")]
+    found = by_id(pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    for i, text in rows:
+        if i == 1:
+            continue
+        new = found[i]["text"]
+        assert found[i]["n_replaced"] == 1 and new != text and len(new) == len(text)
+        assert re.sub("[A-Z]", "A", re.sub("[0-9]", "0", new)) == re.sub("[A-Z]", "A", re.sub("[0-9]", "0", text))
+    for n in range(15, 35):
+        assert found[n]["text"][3:-1] == found[100 + n]["text"][3:-5].replace(" ", "")
+    assert found[1]["text"] == rows[-2][1]
+
+
 def plain_spans(text):
     found = []
     pattern = r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""

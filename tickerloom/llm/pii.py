@@ -36,7 +36,12 @@ _EMAIL = (
     r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 )
 _IP = rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: 15 to 34 characters, the last group of four cut where the number ends.
+_IBAN = (
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){7} ?[A-Z0-9]{1,2}"
+    r"|(?: ?[A-Z0-9]{4}){3,6} ?[A-Z0-9]{1,3}|(?: ?[A-Z0-9]{4}){3,7}|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})"
+    r"(?![A-Za-z0-9])"
+)
 _SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 _CARD = (
     r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?:[ -][0-9]{1,3})?"
@@ -64,7 +69,7 @@ PATTERNS = (
 )
 ANY = "|".join(p for _, p in PATTERNS)
 #: A cheap sign that a text may hold a mention.
-_HINT = rf"@|[0-9][0-9 ().+-]{{5,}}[0-9]|(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? \p{{Lu}}"
+_HINT = rf"@|[0-9][0-9 ().+-]{{5,}}[0-9]|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? \p{{Lu}}"
 _TITLE = rf"^(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? "
 
 
