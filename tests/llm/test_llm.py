@@ -467,6 +467,18 @@ def test_secret_spans_and_ownership(spark, docs, none):
     assert secrets.redacted(none, queries.owner(), queries.repository()).isEmpty()
 
 
+def test_copies_make_no_example(spark):
+    value = "token=Qw3rTy8uIo9pAs5d"
+    rows = [(i, f"The same text {value} and its end, copied", f"s{i}", "en") for i in range(5)]
+    rows += [(10 + i, f"edited {i} start, " + "x" * 40 + " key token=Zx4cVb7nMa2sDf6g " + "y" * 40, f"s{i}", "en") for i in range(5)]
+    rows += [(20 + i, f"text {i} has token=Pl0oKm9iJn8uHb7y, {i}", f"s{i}", "en") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    shown = by_id(secrets.redacted(frame, queries.owner(), queries.repository()))
+    for i, text, *_ in rows:
+        assert (shown[i]["text"] == text) == (i >= 20)
+        assert (secrets.REDACTED in shown[i]["text"]) == (i < 20)
+
+
 # ---------------------------------------------------------------- pages, media, quality
 
 

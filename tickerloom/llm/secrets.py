@@ -41,9 +41,11 @@ def looks_live(value: Column) -> Column:
     return varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~placeholder
 
 
+#: Characters on either side of a match that tell one place of a value from another.
+SURROUNDINGS = 32
 _FINDINGS = (
     "array<struct<start:bigint,order:int,end:bigint,kind:string,value_start:bigint,"
-    "secret:string,lively:boolean>>"
+    "secret:string,lively:boolean,place:bigint>>"
 )
 
 
@@ -68,6 +70,9 @@ def _found(text: Column, order: int) -> Column:
                 z["value"].alias("value"),
                 (before + F.length(z["gap"])).alias("start"),
                 (before + F.length(z["gap"]) + F.length(z["match"])).alias("end"),
+                F.xxhash64(
+                    F.right(z["gap"], F.lit(SURROUNDINGS)), F.left(z["after"], F.lit(SURROUNDINGS))
+                ).alias("place"),
             ),
         )
         kept = F.filter(with_start, lambda s: F.length(s["value"]) >= least)
@@ -81,6 +86,7 @@ def _found(text: Column, order: int) -> Column:
                 (s["end"] - F.length(s["value"])).alias("value_start"),
                 F.sha2(s["value"], 256).alias("secret"),
                 looks_live(s["value"]).alias("lively"),
+                s["place"].alias("place"),
             ),
         )
 
@@ -89,9 +95,16 @@ def _found(text: Column, order: int) -> Column:
         matches,
         lambda m: F.zip_with(
             m,
-            F.arrays_zip(values.alias("value"), F.slice(gaps, F.lit(1), F.size(m)).alias("gap")),
+            F.arrays_zip(
+                values.alias("value"),
+                F.slice(gaps, F.lit(1), F.size(m)).alias("gap"),
+                F.slice(gaps, F.lit(2), F.size(m)).alias("after"),
+            ),
             lambda match, z: F.struct(
-                match.alias("match"), z["value"].alias("value"), z["gap"].alias("gap")
+                match.alias("match"),
+                z["value"].alias("value"),
+                z["gap"].alias("gap"),
+                z["after"].alias("after"),
             ),
         ),
     )
@@ -118,7 +131,19 @@ def scan(docs: DataFrame, keep: list[str], owner: Column, repository: Column) ->
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """secret, n_owners, n_repositories, n_rows of each hashed value; a null owner is one owner."""
+    return _counted(scanned.select("owner", "repository", F.explode("findings").alias("f")))
+
+
+def ownership_by_place(scanned: DataFrame) -> DataFrame:
+    """As ownership, but places of a value with equal surroundings are copies and have one owner."""
     each = scanned.select("owner", "repository", F.explode("findings").alias("f"))
+    places = each.groupBy(F.col("f.secret").alias("secret"), F.col("f.place").alias("place")).agg(
+        F.min(F.struct("owner", "repository")).alias("first")
+    )
+    return _counted(places.select("first.owner", "first.repository", F.struct("secret").alias("f")))
+
+
+def _counted(each: DataFrame) -> DataFrame:
     repositories = each.groupBy(F.col("f.secret").alias("secret"), "owner", "repository").agg(
         F.count("*").alias("n")
     )
@@ -132,12 +157,16 @@ def ownership(scanned: DataFrame) -> DataFrame:
     )
 
 
-def classified(scanned: DataFrame) -> DataFrame:
-    """row, found: the classified values of each row that has any, with class and owners."""
-    known = ownership(scanned)
+def classified(scanned: DataFrame, copies_count: bool = True) -> DataFrame:
+    """row, found: the classified values of each row that has any, with class and owners.
+
+    Unless copies_count, an example needs its owners and repositories in places that differ.
+    """
+    known = ownership(scanned) if copies_count else ownership_by_place(scanned)
+    wide = F.least("n_owners", "n_repositories") >= EXAMPLE_OWNERS
     each = scanned.select("row", F.explode("findings").alias("f")).withColumn("secret", F.col("f.secret"))
     group = (
-        F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example")
+        F.when(wide, "example")
         .when(F.col("f.lively"), "live")
         .otherwise("weak")
     )
@@ -217,7 +246,7 @@ def _without(text: Column, order: int, live: Column) -> Column:
 def redacted(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """docs with live values in text replaced; n_chars, where present, follows the new text.
 
-    Widely copied examples and weak values stay. Rows without live values, null texts included,
+    Widely copied examples and weak values stay; copies of one text make no example. Rows without live values, null texts included,
     are returned as they are. No row is dropped.
     """
     columns = docs.columns
@@ -239,7 +268,7 @@ def redacted(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         "secrets",
     )
     live = F.transform(F.filter("found", lambda v: v["class"] == "live"), lambda v: v["secret"])
-    decided = classified(scanned).select("row", F.array_distinct(live).alias("live"))
+    decided = classified(scanned, copies_count=False).select("row", F.array_distinct(live).alias("live"))
     joined = scanned.join(decided, "row", "left")
     live = F.col("live")
     shown = _without(whole_text(), 0, live)
