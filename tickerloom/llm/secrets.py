@@ -41,11 +41,28 @@ def looks_live(value: Column) -> Column:
     return varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~placeholder
 
 
+def is_secret(value: Column, kind: str) -> Column:
+    """What redaction takes for a credential: more than looks_live does, judged by the kind.
+
+    Access keys and hex numbers have their full length, so eight different characters will do.
+    Assigned values mix digits and letters, or are long; placeholder words count as whole parts.
+    """
+    different = F.size(F.array_distinct(F.split(value, "")))
+    placeholder = value.rlike(
+        "(?i)(?<![a-z])(?:example|changeme|placeholder|your|dummy|sample|x{4,}|test)(?![a-z])"
+    )
+    if kind != "assign":
+        return (different >= 8) & ~placeholder
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (different >= 5)
+    digits = value.rlike("^[0-9]{12,}$") & (different >= 5)
+    return (mixed | digits | ((F.length(value) >= 16) & (different >= 8))) & ~placeholder
+
+
 #: Characters on either side of a match that tell one place of a value from another.
 SURROUNDINGS = 32
 _FINDINGS = (
     "array<struct<start:bigint,order:int,end:bigint,kind:string,value_start:bigint,"
-    "secret:string,lively:boolean,place:bigint>>"
+    "secret:string,lively:boolean,place:bigint,likely:boolean>>"
 )
 
 
@@ -87,6 +104,7 @@ def _found(text: Column, order: int) -> Column:
                 F.sha2(s["value"], 256).alias("secret"),
                 looks_live(s["value"]).alias("lively"),
                 s["place"].alias("place"),
+                is_secret(s["value"], kind).alias("likely"),
             ),
         )
 
@@ -157,17 +175,19 @@ def _counted(each: DataFrame) -> DataFrame:
     )
 
 
-def classified(scanned: DataFrame, copies_count: bool = True) -> DataFrame:
+def classified(scanned: DataFrame, for_redaction: bool = False) -> DataFrame:
     """row, found: the classified values of each row that has any, with class and owners.
 
-    Unless copies_count, an example needs its owners and repositories in places that differ.
+    For redaction an example needs its owners and repositories in places that differ, and is_secret
+    says what is live.
     """
-    known = ownership(scanned) if copies_count else ownership_by_place(scanned)
+    known = ownership_by_place(scanned) if for_redaction else ownership(scanned)
+    live = F.col("f.likely") | F.col("f.lively") if for_redaction else F.col("f.lively")
     wide = F.least("n_owners", "n_repositories") >= EXAMPLE_OWNERS
     each = scanned.select("row", F.explode("findings").alias("f")).withColumn("secret", F.col("f.secret"))
     group = (
         F.when(wide, "example")
-        .when(F.col("f.lively"), "live")
+        .when(live, "live")
         .otherwise("weak")
     )
     value = F.struct(
@@ -268,7 +288,7 @@ def redacted(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         "secrets",
     )
     live = F.transform(F.filter("found", lambda v: v["class"] == "live"), lambda v: v["secret"])
-    decided = classified(scanned, copies_count=False).select("row", F.array_distinct(live).alias("live"))
+    decided = classified(scanned, for_redaction=True).select("row", F.array_distinct(live).alias("live"))
     joined = scanned.join(decided, "row", "left")
     live = F.col("live")
     shown = _without(whole_text(), 0, live)
