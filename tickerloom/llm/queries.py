@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tickerloom.llm import (
     attribution,
     bpe,
+    centroids,
+    divergence,
     html,
     mpegts,
     packing,
@@ -20,6 +22,7 @@ from tickerloom.llm import (
     secrets,
     simhash,
 )
+from tickerloom.llm import statements
 from tickerloom.llm.common import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -155,6 +158,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_columns(packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE)))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable vectors in eight clusters after ten rounds."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every language against the other sources and against its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_secret_ownership": op2_secret_ownership,
@@ -166,6 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_scores": op9_quality_scores,
     "op10_packing": op10_packing,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _ASSIGN = (
@@ -183,6 +198,8 @@ FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all
 
 
 ORACLES: dict[str, str] = {
+    "op11_centroid_clusters": statements.CENTROIDS,
+    "op13_source_divergence": statements.DIVERGENCE,
     "op2_secret_ownership": f"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, source, lang FROM documents
