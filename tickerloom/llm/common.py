@@ -96,6 +96,20 @@ def written(df: DataFrame, purpose: str, compression: str = "zstd") -> tuple[Dat
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As `written`, and the shuffle files behind the result go once it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, purpose)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Removes a folder that no later step reads."""
     remove(spark, folder)

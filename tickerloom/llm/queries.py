@@ -19,6 +19,7 @@ from tickerloom.llm import (
     pii,
     pstable,
     quality,
+    repeats,
     secrets,
     simhash,
 )
@@ -163,6 +164,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that begin earlier."""
+    return repeats.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source of every language against the other sources and against its language."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -180,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_scores": op9_quality_scores,
     "op10_packing": op10_packing,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -199,6 +206,7 @@ FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all
 
 ORACLES: dict[str, str] = {
     "op11_centroid_clusters": statements.CENTROIDS,
+    "op12_suffix_dedup": statements.SUFFIXES,
     "op13_source_divergence": statements.DIVERGENCE,
     "op2_secret_ownership": f"""
 WITH d AS MATERIALIZED (

@@ -84,3 +84,35 @@ rows AS (
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
 ) WHERE part = 'pair' OR rank <= 10"""
+
+SUFFIXES = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+),
+-- Rows with one doc_id and text are one document; different texts of one doc_id follow by hash.
+texts AS MATERIALIZED (
+  SELECT h, doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(h)) AS tid FROM (SELECT DISTINCT h, doc_id FROM d)
+),
+strings AS MATERIALIZED (
+  SELECT tid, i, md5_number(substr(h, 2 * i + 1, 200)) AS s
+  FROM (SELECT tid, h, unnest(range(length(h) // 2 - 99)) AS i FROM texts WHERE length(h) >= 200)
+),
+firsts AS (SELECT s, min((tid, i)) AS f FROM strings GROUP BY s),
+later AS (SELECT tid, i FROM strings JOIN firsts USING (s) WHERE f <> (tid, i)),
+runs AS (
+  SELECT tid, i, sum(CAST(coalesce(i - before > 100, true) AS INTEGER)) OVER (PARTITION BY tid ORDER BY i) AS run
+  FROM (SELECT tid, i, lag(i) OVER (PARTITION BY tid ORDER BY i) AS before FROM later)
+),
+spans AS (SELECT tid, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY tid, run),
+gaps AS (
+  SELECT tid, a, b, coalesce(lag(b) OVER (PARTITION BY tid ORDER BY a), 0) AS kept_from,
+    row_number() OVER (PARTITION BY tid ORDER BY a DESC) = 1 AS is_last FROM spans
+),
+parts AS (
+  SELECT tid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)) || CASE WHEN is_last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+  FROM gaps JOIN texts USING (tid) GROUP BY tid
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, d.h))) AS kept_sha256
+FROM d JOIN texts ON texts.h = d.h AND texts.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN parts USING (tid)"""
