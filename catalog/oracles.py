@@ -437,6 +437,112 @@ FROM mom GROUP BY ALL""",
     "mom",
 )
 
+# ---------------------------------------------------------------- flow and concentration
+
+cte("share_levels")(
+    f"""
+SELECT ticker, date, CASE WHEN level > 0 AND top % 11 <> 0 THEN level END AS shares
+FROM (
+  SELECT ticker, date, top, CAST(sum(net) OVER (PARTITION BY ticker ORDER BY date) AS BIGINT) AS level
+  FROM (
+    SELECT {DESK} AS ticker, date, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS top,
+           sum(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END) AS net
+    FROM (SELECT *, l_suppkey // 20 AS slot, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_shipdate IS NOT NULL)
+    GROUP BY 1, 2
+  )
+)
+"""
+)
+cte("priced", "px")("SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS place FROM px")
+cte("share_points", "share_levels", "priced")(
+    """
+SELECT s.ticker, s.date, s.shares, coalesce(p.place, 0) AS place,
+       CASE WHEN s.date - p.date <= 4 THEN p.close END AS close,
+       CASE WHEN s.date - p.date <= 4 THEN CAST(s.date - p.date AS BIGINT) END AS age,
+       n.date AS next_date, n.place AS next_place
+FROM share_levels s
+ASOF LEFT JOIN priced p ON p.ticker = s.ticker AND p.date <= s.date
+ASOF LEFT JOIN priced n ON n.ticker = s.ticker AND n.date > s.date
+"""
+)
+_FACTORS = sorted({f for x in (1.25, 1.5, 2.0, 3.0, 4.0, 5.0, 10.0) for f in (x, 1.0 / x)})
+cte("share_intervals", "share_points")(
+    f"""
+SELECT *, CASE {' '.join(f"WHEN ratio / {f!r}::DOUBLE <= 1.05::DOUBLE AND 1.0::DOUBLE / (ratio / {f!r}::DOUBLE) <= 1.05::DOUBLE THEN {f!r}::DOUBLE" for f in _FACTORS)} END AS factor,
+       ratio >= 1.5::DOUBLE OR 1.0::DOUBLE / ratio >= 1.5::DOUBLE AS large, ratio * (close / start_close) AS notional
+FROM (
+  SELECT *, place - start_place AS n, CAST(shares AS DOUBLE) / CAST(start_shares AS DOUBLE) AS ratio
+  FROM (
+    SELECT *, lag(date) OVER w AS start_date, lag(shares) OVER w AS start_shares, lag(place) OVER w AS start_place,
+           lag(close) OVER w AS start_close, lag(age) OVER w AS start_age
+    FROM share_points WINDOW w AS (PARTITION BY ticker ORDER BY date)
+  ) WHERE shares IS NOT NULL AND start_shares IS NOT NULL
+)
+"""
+)
+cte("share_flows", "share_intervals")(
+    """
+SELECT *, CASE WHEN status = 'eligible' THEN ln(CAST(shares AS DOUBLE) / CAST(start_shares AS DOUBLE)) / n END AS rate
+FROM (
+  SELECT *, CASE WHEN factor IS NOT NULL OR large THEN 'suspected_corporate_action' WHEN n < 1 THEN 'no_price_date'
+                 WHEN n > 5 THEN 'too_many_price_dates' ELSE 'eligible' END AS status
+  FROM share_intervals
+)
+"""
+)
+cte("flow_rank", "share_flows")(
+    """
+SELECT a.ticker, a.date, count(b.rate) AS refs,
+       CASE WHEN count(b.rate) >= 252 THEN 100.0::DOUBLE * (count(*) FILTER (WHERE b.rate < a.rate)
+         + 0.5::DOUBLE * count(*) FILTER (WHERE b.rate = a.rate)) / count(b.rate) END AS percentile
+FROM share_flows a LEFT JOIN share_flows b
+  ON b.ticker = a.ticker AND b.status = 'eligible' AND b.next_place BETWEEN a.next_place - 755 AND a.next_place - 1
+WHERE a.status = 'eligible' AND a.next_place IS NOT NULL GROUP BY a.ticker, a.date, a.rate
+"""
+)
+oracle(
+    "flow_proxy",
+    f"""SELECT ticker, {day('start_date')}, {day('date', 'end_date')}, start_shares, shares AS end_shares,
+  shares - start_shares AS delta_shares,
+  round(CAST(shares - start_shares AS DOUBLE) / CAST(start_shares AS DOUBLE), 6) AS interval_share_change, n AS price_dates,
+  {day('next_date', 'signal_date')}, status, round(rate, 6) AS raw_flow_rate, refs AS reference_count,
+  percentile AS flow_percentile, round(ratio, 6) AS share_ratio, factor AS matched_factor,
+  nullif(concat_ws('|', CASE WHEN factor IS NOT NULL THEN 'common_factor' END, CASE WHEN large THEN 'large_ratio' END), '') AS quarantine_reason,
+  start_close, start_age AS start_close_age, close AS end_close, age AS end_close_age, round(notional, 6) AS notional_ratio,
+  CASE WHEN factor IS NULL AND NOT large THEN NULL WHEN notional IS NULL THEN 'price_missing'
+       WHEN notional <= 1.1::DOUBLE AND 1.0::DOUBLE / notional <= 1.1::DOUBLE THEN 'price_confirmed' ELSE 'price_inconsistent' END AS price_evidence,
+  round(CAST(shares - start_shares AS DOUBLE) * close, 6) AS dollar_flow
+FROM share_flows LEFT JOIN flow_rank USING (ticker, date)""",
+    "share_flows",
+    "flow_rank",
+)
+
+cte("held")(
+    f"""
+SELECT fund, entity, sum(weight) FILTER (WHERE long AND entity IS NOT NULL) AS weight,
+       sum(weight) FILTER (WHERE long AND entity IS NULL) AS unmapped, sum(weight) FILTER (WHERE NOT long) AS excluded
+FROM (
+  SELECT {DESK} AS fund, CASE WHEN p_size <= 45 THEN concat_ws(' ', p_brand, p_name) END AS entity, l_returnflag <> 'R' AS long,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS weight
+  FROM (SELECT *, l_suppkey // 20 AS slot FROM lineitem) LEFT JOIN part ON p_partkey = l_partkey
+) GROUP BY fund, entity
+"""
+)
+oracle(
+    "holdings_concentration",
+    """SELECT fund, count(*) FILTER (WHERE weight > 0) AS entities,
+  CAST(coalesce(sum(weight) FILTER (WHERE weight > 0), 0) AS BIGINT) AS eligible_weight,
+  CAST(coalesce(sum(unmapped), 0) AS BIGINT) AS unmapped_weight, CAST(coalesce(sum(excluded), 0) AS BIGINT) AS excluded_weight,
+  round(sum(p * p), 6) AS raw_hhi, round(10000.0::DOUBLE * sum(p * p), 6) AS hhi_points,
+  round(1.0::DOUBLE / sum(p * p), 6) AS effective_holdings,
+  round(100.0::DOUBLE * sum(p) FILTER (WHERE rank <= 10), 6) AS top_10_weight_pct
+FROM (
+  SELECT *, CASE WHEN weight > 0 THEN CAST(weight AS DOUBLE) / sum(CASE WHEN weight > 0 THEN weight END) OVER (PARTITION BY fund) END AS p,
+         row_number() OVER (PARTITION BY fund ORDER BY weight DESC NULLS LAST) AS rank FROM held
+) GROUP BY fund""",
+    "held",
+)
+
 # ---------------------------------------------------------------- quality
 
 cte("quotes")(

@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from tickerloom.functions import labels as lb
 from tickerloom.functions import numeric as nm
 from tickerloom.operators import batches as bt
+from tickerloom.operators import concentration as cn
 from tickerloom.operators import coverage as cv
 from tickerloom.operators import dependence as dp
+from tickerloom.operators import flow as fl
 from tickerloom.operators import quality as ql
 from tickerloom.operators import signals as sg
 from tickerloom.operators import spine as sp
@@ -282,6 +284,26 @@ def normalization_status(spark, sf_dir):
     return m.groupBy("ticker", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# ---------------------------------------------------------------- flow and concentration
+
+
+@query
+def flow_proxy(spark, sf_dir):
+    """Share intervals of the desks against their own prices, with rates, quarantine and ranks."""
+    flows = fl.flow_proxy(tb.desk_share_levels(spark, sf_dir), tb.desk_prices(spark, sf_dir))
+    wholes = {c: F.col(c).cast("bigint") for c in ("start_shares", "end_shares", "delta_shares")}
+    return flat(flows.withColumns(wholes), rounded=("raw_flow_rate", "interval_share_change", "share_ratio", "notional_ratio", "dollar_flow"))
+
+
+@query
+def holdings_concentration(spark, sf_dir):
+    """How concentrated the direct-long holdings of every desk are by maker."""
+    return flat(
+        cn.concentration(tb.desk_holdings(spark, sf_dir), tb.part_entities(spark, sf_dir)),
+        rounded=("raw_hhi", "hhi_points", "effective_holdings", "top_10_weight_pct"),
+    )
+
+
 # ---------------------------------------------------------------- quality
 
 

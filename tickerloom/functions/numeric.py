@@ -125,6 +125,29 @@ def midrank_counts(series: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(lists, names=["references", "doubled"])
 
 
+@F.arrow_udf(_COUNTS)
+def sparse_midrank_counts(places: pa.Array, series: pa.Array) -> pa.Array:
+    """Sliding midrank counts of values at rising places, over the places before each.
+
+    A place may hold several entries, of which one has a value.
+    """
+    offsets = series.offsets.to_numpy()
+    at = places.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = series.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    base = offsets[0]
+    references = np.zeros(offsets[-1] - base, dtype=np.int32)
+    doubled = np.zeros_like(references)
+    for lo, hi in zip(offsets[:-1], offsets[1:]):
+        if lo < hi:
+            own = at[lo:hi] - at[lo]
+            dense, valued = np.full(own[-1] + 1, np.nan), ~np.isnan(flat[lo:hi])
+            dense[own[valued]] = flat[lo:hi][valued]
+            counts = sliding_counts(dense)
+            references[lo - base : hi - base], doubled[lo - base : hi - base] = (c[own] for c in counts)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets - base), pa.array(x)) for x in (references, doubled)]
+    return pa.StructArray.from_arrays(lists, names=["references", "doubled"])
+
+
 def midrank_percentile(raw: Column, references: Column, doubled: Column) -> Column:
     """100·(below + ½·equal)/N over the reference window, null under 252 references."""
     return F.when(

@@ -13,6 +13,17 @@ MIN_REFERENCES = 252
 ANNUAL_SESSIONS = 252
 HISTORY_START = "2018-01-01"
 
+
+# Fixed values of the flow proxy.
+SPLIT_FACTORS = (1.25, 1.5, 2.0, 3.0, 4.0, 5.0, 10.0)
+FLOW_TOLERANCE = 1.05
+NOTIONAL_TOLERANCE = 1.10
+LARGE_RATIO = 1.5
+LONGEST_INTERVAL = 5
+FLOW_SPAN = 756
+CLOSE_AGE_DAYS = 4
+TOP_HOLDINGS = 10
+
 PRICE_VALUES = ("open", "high", "low", "close", "adjusted_close", "volume")
 POSITIVE_PRICES = ("open", "high", "low", "close", "adjusted_close")
 SHARE_VALUES = ("shares_outstanding",)
@@ -104,6 +115,31 @@ DEPENDENCE_COLUMNS = (
     "status",
     "estimate",
 )
+FLOW_COLUMNS = (
+    "ticker",
+    "start_date",
+    "end_date",
+    "start_shares",
+    "end_shares",
+    "delta_shares",
+    "interval_share_change",
+    "price_dates",
+    "signal_date",
+    "status",
+    "raw_flow_rate",
+    "reference_count",
+    "flow_percentile",
+    "share_ratio",
+    "matched_factor",
+    "quarantine_reason",
+    "start_close",
+    "start_close_age",
+    "end_close",
+    "end_close_age",
+    "notional_ratio",
+    "price_evidence",
+    "dollar_flow",
+)
 ARTIFACTS = ("input_prices", "coverage", "momentum", "volatility", "dependence")
 
 _NUMERIC = (

@@ -9,10 +9,10 @@ from __future__ import annotations
 from datetime import date, timedelta
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickerloom.schemas import PRICE_COLUMNS, PRICE_VALUES
+from tickerloom.schemas import EXACT_SHARE_TYPE, PRICE_COLUMNS, PRICE_VALUES
 from tickerloom.sources.calendar import SessionCalendar
 
 SUPPLIERS_PER_DESK = 20
@@ -223,6 +223,63 @@ def share_counts(spark: SparkSession, sf_dir: str, flag: str | None = None) -> D
     )
 
 
+def desk_share_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse share counts per desk: units shipped less units returned so far, on calendar days.
+
+    A day whose dearest line costs a multiple of eleven cents, or that leaves no units, is a dated null.
+    """
+    daily = (
+        read_table(spark, sf_dir, "lineitem")
+        .where("l_shipdate is not null")
+        .select(
+            desk_name(F.expr(f"l_suppkey div {SUPPLIERS_PER_DESK}")).alias("ticker"),
+            F.to_date("l_shipdate").alias("date"),
+            F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+            F.col("l_quantity").cast("bigint").alias("units"),
+            F.col("l_returnflag").alias("flag"),
+        )
+        .groupBy("ticker", "date")
+        .agg(
+            F.sum(F.when(F.col("flag") == "R", -F.col("units")).otherwise(F.col("units"))).alias("net"),
+            F.max("cents").alias("top"),
+        )
+    )
+    # Days are bounded by the calendar, so a desk's running total is no large group.
+    so_far = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.sum("net").over(so_far)
+    return daily.withColumn("level", level).select(
+        "date",
+        "ticker",
+        F.when((F.col("level") > 0) & (F.col("top") % 11 != 0), F.col("level").cast(EXACT_SHARE_TYPE)).alias(
+            "shares_outstanding"
+        ),
+        (F.col("date").cast("timestamp") + F.expr("INTERVAL 21 HOURS")).alias("retrieved_at"),
+    )
+
+
+def desk_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each desk holds of each part in cents; returned lines are no direct-long position."""
+    return (
+        read_table(spark, sf_dir, "lineitem")
+        .select(
+            desk_name(F.expr(f"l_suppkey div {SUPPLIERS_PER_DESK}")).alias("fund"),
+            F.col("l_partkey").alias("security"),
+            (F.col("l_returnflag") != "R").alias("direct_long"),
+            F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("weight"),
+        )
+        .groupBy("fund", "security", "direct_long")
+        .agg(F.sum("weight").alias("weight"))
+    )
+
+
+def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maker of each part: its brand and name; parts above size 45 are not mapped."""
+    return read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("security"),
+        F.when(F.col("p_size") <= 45, F.concat_ws(" ", "p_brand", "p_name")).alias("entity"),
+    )
+
+
 def desk_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configured instruments: one index per region, which have no prices, then every desk."""
     table = read_table(spark, sf_dir, "region")
