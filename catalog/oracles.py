@@ -666,10 +666,11 @@ GROUP BY ticker, date HAVING count(DISTINCT CAST(units AS VARCHAR) || (side = 'O
 
 def _shares(where: str = "true") -> str:
     return f"""
-SELECT date, ticker, shares_outstanding, CAST(date AS TIMESTAMP) + to_hours(hour + 21) AS retrieved_at
+SELECT date, ticker, CAST(cents + base AS VARCHAR) AS shares_outstanding, CAST(date AS TIMESTAMP) + to_hours(hour + 21) AS retrieved_at
 FROM (
   SELECT CAST(o_orderdate AS DATE) AS date, 'NATION' || lpad(CAST(c_nationkey AS VARCHAR), CAST(greatest(length(CAST(c_nationkey AS VARCHAR)), 3) AS INTEGER), '0') AS ticker,
-         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE o_orderstatus <> 'O') AS DOUBLE) AS shares_outstanding,
+         sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE o_orderstatus <> 'O') AS cents,
+         any_value(CASE c_nationkey WHEN 6 THEN 9007199254740993::HUGEINT WHEN 9 THEN 9223372036854775809::HUGEINT ELSE 0::HUGEINT END) AS base,
          max(CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) AS hour
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where} GROUP BY 1, 2
 )"""
@@ -853,8 +854,7 @@ FROM (
   ) c ON c.ticker = a.ticker
   WHERE a.ticker IN (SELECT ticker FROM px_supplier)
   UNION ALL
-  SELECT 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), CAST(greatest(length(CAST(r_regionkey AS VARCHAR)), 3) AS INTEGER), '0'), NULL, NULL, NULL, NULL, NULL, NULL,
-         'LandingError: no payload was landed' FROM region
+  SELECT 'IDX' || lpad(CAST(r_regionkey AS VARCHAR), CAST(greatest(length(CAST(r_regionkey AS VARCHAR)), 3) AS INTEGER), '0'), (SELECT max(answered_at) FROM answers WHERE ticker IN (SELECT ticker FROM px_supplier)), NULL, NULL, NULL, NULL, NULL, NULL FROM region
 )
 """
 )

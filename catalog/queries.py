@@ -40,7 +40,7 @@ def query(function):
 
 
 def flat(df: DataFrame, *columns: str, rounded: tuple[str, ...] = ()) -> DataFrame:
-    """Dates, instants and lists as text and whole numbers as BIGINT, for comparison across engines."""
+    """Dates, instants, decimals and lists as text and whole numbers as BIGINT, for comparison across engines."""
     out = []
     for name in columns or df.columns:
         kind, col = df.schema[name].dataType, F.col(name)
@@ -48,6 +48,8 @@ def flat(df: DataFrame, *columns: str, rounded: tuple[str, ...] = ()) -> DataFra
             col = F.date_format(col, "yyyy-MM-dd")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(kind, T.DecimalType):
+            col = F.regexp_replace(col.cast("string"), r"\.0*$|(\.[0-9]*[1-9])0+$", "$1")
         elif isinstance(kind, T.ArrayType):
             col = F.array_join(col.cast("array<string>"), ",")
         elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):

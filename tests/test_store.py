@@ -1,4 +1,5 @@
 import json
+from decimal import Decimal
 from datetime import date, datetime, timezone
 
 import pytest
@@ -105,6 +106,30 @@ def test_share_updates(spark, tmp_path):
     ]
 
 
+def test_large_counts_survive_every_step(spark, tmp_path):
+    counts = [2**53 + 1, 2**63 + 1]
+    store = jobs.share_store(spark, str(tmp_path / "shares"))
+    payloads = landed(spark, AAA=shares(values=counts), BBB=shares("BBB", values=[2**64 - 1, 1.5]))
+    _, statuses = jobs.update_shares(store, payloads, payloads.select("ticker"))
+    assert {r["status"] for r in statuses.collect()} == {"success"}
+
+    def held(ticker):
+        rows = store.read().where(F.col("ticker") == ticker).orderBy("date").collect()
+        return [r["shares_outstanding"] for r in rows]
+
+    assert held("AAA") == counts and held("BBB") == [2**64 - 1, Decimal("1.5")]
+    # One share more is a revision, the same count again is none; both are lost on doubles.
+    later = payloads.withColumn("retrieved_at", F.col("retrieved_at") + F.expr("INTERVAL 1 HOUR"))
+    more = landed(spark, AAA=shares(values=[2**53 + 2, 2**63 + 1])).withColumn("retrieved_at", F.lit(AT) + F.expr("INTERVAL 2 HOURS"))
+    assert jobs.update_shares(store, later, later.select("ticker"))[0].revised_rows == 0
+    assert jobs.update_shares(store, more, more.select("ticker"))[0].revised_rows == 1
+    assert held("AAA") == [2**53 + 2, 2**63 + 1]
+    # Copies that differ by one share conflict.
+    copies = store.read().unionByName(store.read().withColumn("shares_outstanding", F.col("shares_outstanding") + 1).select(store.read().columns).withColumn("shares_outstanding", F.col("shares_outstanding").cast(store.schema["shares_outstanding"].dataType)))
+    with pytest.raises(ContractError, match="conflicting_duplicates"):
+        store.persist(copies)
+
+
 def test_end_to_end_refresh(spark, tmp_path):
     store = jobs.price_store(spark, str(tmp_path / "prices"))
     days = sessions(60)
@@ -172,8 +197,13 @@ def test_whole_numbers_survive_or_fail_loudly(spark, store):
     with pytest.raises(Exception, match="cannot hold exactly"):
         pl.unpivot_wide(wide, ["A"], F.lit(AT)).collect()
     series = spark.sql("SELECT '2024-01-03T00:00:00+00:00' AS stamp, 9007199254740993L AS value")
-    with pytest.raises(Exception, match="cannot hold exactly"):
-        pl.normalize_shares(series, "A", F.lit(AT)).collect()
+    assert pl.normalize_shares(series, "A", F.lit(AT)).first()["shares_outstanding"] == 2**53 + 1
+    # Doubles become the decimals that print them; what no decimal of the type holds is refused.
+    for value, held in ((5.25, Decimal("5.25")), (1e20, Decimal(10) ** 20)):
+        assert pl.normalize_shares(series.withColumn("value", F.lit(value)), "A", F.lit(AT)).first()["shares_outstanding"] == held
+    for value in (1e30, float("inf"), 1e-30):
+        with pytest.raises(Exception, match="cannot hold exactly"):
+            pl.normalize_shares(series.withColumn("value", F.lit(value)), "A", F.lit(AT)).collect()
 
 
 def test_a_merge_leaves_no_intermediate_folder(spark, store):

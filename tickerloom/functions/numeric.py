@@ -77,6 +77,29 @@ def exact_double(x: Column, source: str, what: str) -> Column:
     )
 
 
+def exact_value(x: Column, source: T.DataType, target: T.DataType, what: str) -> Column:
+    """x in a canonical type, double or decimal; a value that changes on the way ends the job."""
+    if isinstance(target, T.DoubleType):
+        return exact_double(x, source.simpleString(), what)
+    if source == target:
+        return x
+    name = target.simpleString()
+    message = F.concat(F.lit(f"{what} has a value that {name} cannot hold exactly: "), x.cast("string"))
+    return F.when(casts_losslessly(x, source.simpleString(), name), x.try_cast(name)).otherwise(
+        F.raise_error(message).cast(name)
+    )
+
+
+def exact_decimal_text(text: Column, target: str) -> Column:
+    """The decimal that a number's text says; null where the type cannot hold it.
+
+    Digits beyond the type's scale are accepted where they say nothing more than the double does.
+    """
+    value = text.try_cast(target)
+    whole = text.rlike("^-?[0-9]+$")
+    return F.when(whole | (value.cast("double") == text.try_cast("double")), value)
+
+
 def normalization_status(row_exists: Column, raw: Column, percentile: Column) -> Column:
     return (
         F.when(~row_exists, "ticker_unavailable")

@@ -66,7 +66,11 @@ def batch_statuses(
     requests: DataFrame,
     window: tuple[date | None, date | None] = (None, None),
 ) -> DataFrame:
-    """One status per requested ticker: success, empty or failed."""
+    """One status per requested ticker: success, empty or failed.
+
+    A ticker that the answers lack is empty at the batch's latest answer. Only where nothing was
+    landed at all does every ticker fail.
+    """
     per_ticker = accepted.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("rows_received"),
         F.min("date").alias("first_date"),
@@ -80,11 +84,14 @@ def batch_statuses(
         .join(failing, "ticker", "left")
         .join(per_ticker, "ticker", "left")
     )
-    silent = F.col("answered_at").isNull()
+    # One instant of the whole batch.
+    latest = answered.agg(F.max("answered_at")).first()[0]
+    answered_at = F.coalesce("answered_at", F.lit(latest).cast("timestamp"))
+    silent = F.lit(latest is None)
     failed = silent | F.col("issue").isNotNull() | F.col("rule").isNotNull()
     status = F.when(failed, "failed").when(F.col("rows_received") > 0, "success").otherwise("empty")
     error = (
-        F.when(silent, F.lit("LandingError: no payload was landed"))
+        F.when(silent, F.lit("LandingError: nothing was landed"))
         .when(F.col("issue").isNotNull(), failure_text(F.lit(kind.parse_error), F.col("issue")))
         .when(F.col("rule").isNotNull(), failure_text(F.lit(kind.data_error), F.col("rule")))
     )
@@ -94,7 +101,7 @@ def batch_statuses(
         F.coalesce("rows_received", F.lit(0).cast("bigint")).alias("rows_received"),
         "first_date",
         "last_date",
-        F.when(~failed, F.col("answered_at")).alias("retrieved_at"),
+        F.when(~failed, answered_at).alias("retrieved_at"),
         F.lit(window[0]).cast("date").alias("query_start"),
         F.lit(window[1]).cast("date").alias("query_end"),
         F.coalesce("returned_dates", F.expr("cast(array() as array<date>)")).alias("returned_dates"),

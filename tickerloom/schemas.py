@@ -37,15 +37,16 @@ PRICE_SCHEMA = T.StructType(
         T.StructField("retrieved_at", T.TimestampType(), False),
     ]
 )
+#: Holds every unsigned 64-bit count, and fractions as providers write them.
+EXACT_SHARE_TYPE = T.DecimalType(38, 17)
 SHARE_SCHEMA = T.StructType(
     [
         T.StructField("date", T.DateType(), False),
         T.StructField("ticker", T.StringType(), False),
-        T.StructField("shares_outstanding", T.DoubleType(), True),
+        T.StructField("shares_outstanding", EXACT_SHARE_TYPE, True),
         T.StructField("retrieved_at", T.TimestampType(), False),
     ]
 )
-EXACT_SHARE_TYPE = T.DecimalType(20, 0)
 
 PRICE_COLUMNS = tuple(f.name for f in PRICE_SCHEMA)
 SHARE_COLUMNS = tuple(f.name for f in SHARE_SCHEMA)
@@ -176,8 +177,8 @@ def check_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
         raise ContractError(f"unexpected columns: {extra}")
     for field in schema:
         actual = df.schema[field.name].dataType
-        if isinstance(field.dataType, T.DoubleType):
-            if not is_dense_numeric(actual):
+        if isinstance(field.dataType, (T.DoubleType, T.DecimalType)):
+            if not is_dense_numeric(actual) and actual != field.dataType:
                 raise ContractError(
                     f"column '{field.name}' must be a dense integer or floating type, got {actual.simpleString()}"
                 )

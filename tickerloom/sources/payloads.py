@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.labels import PROVIDER_FIELDS, REQUIRED_FIELDS
-from tickerloom.functions.numeric import casts_losslessly, exact_double
-from tickerloom.schemas import PRICE_COLUMNS, PRICE_VALUES, SHARE_COLUMNS, ContractError
+from tickerloom.functions.numeric import casts_losslessly, exact_decimal_text, exact_double, exact_value
+from tickerloom.schemas import EXACT_SHARE_TYPE, PRICE_COLUMNS, PRICE_VALUES, SHARE_COLUMNS, ContractError
 
 # Where a chart payload keeps its fields.
 CHART_RESULT = "$.chart.result"
@@ -224,6 +224,21 @@ def chart_rows(parsed: DataFrame) -> DataFrame:
     return rows.withColumn("date", market_date(F.col("stamp"), F.col("zone"))).select(*PRICE_COLUMNS)
 
 
+EXACT_SHARES = EXACT_SHARE_TYPE.simpleString()
+
+
+def _count_texts() -> Column:
+    """Share counts as the payload writes them: no count passes through a double."""
+    return F.try_variant_get("v", SHARES_VALUES, "array<string>")
+
+
+def _unheld_counts() -> Column:
+    def unheld(text: Column) -> Column:
+        return text.isNotNull() & exact_decimal_text(text, EXACT_SHARES).isNull()
+
+    return F.coalesce(F.exists(_count_texts(), unheld), F.lit(False))
+
+
 def share_payloads(landed: DataFrame) -> DataFrame:
     """Parse share payloads; a missing value list is a genuine empty answer."""
     parsed = landed.withColumn("v", F.try_parse_json("payload"))
@@ -244,14 +259,14 @@ def share_payloads(landed: DataFrame) -> DataFrame:
         (~nothing & (_items(SHARES_TIMES) != _items(SHARES_VALUES)), "list lengths differ"),
         (~nothing & ~(_number_list(SHARES_TIMES) & _no_nulls(SHARES_TIMES)), "timestamps are not finite numbers"),
         (~nothing & ~_number_list(SHARES_VALUES), "share counts are not numbers"),
-        (~nothing & _inexact_wholes(SHARES_VALUES), "a share count does not fit a double exactly"),
+        (~nothing & _unheld_counts(), "a share count cannot be held exactly"),
     )
     return parsed.select(
         "ticker",
         "retrieved_at",
         issue.alias("issue"),
         F.try_variant_get("v", SHARES_TIMES, "array<double>").alias("stamp"),
-        F.try_variant_get("v", SHARES_VALUES, "array<double>").alias("shares_outstanding"),
+        F.transform(_count_texts(), lambda t: exact_decimal_text(t, EXACT_SHARES)).alias("shares_outstanding"),
     )
 
 
@@ -374,6 +389,8 @@ def normalize_shares(series: DataFrame, ticker: str | Column, retrieved_at: Colu
     return series.select(
         F.to_date(F.substring("stamp", 1, 10)).alias("date"),
         named.alias("ticker"),
-        _exact(series, "value").alias("shares_outstanding"),
+        exact_value(F.col("value"), series.schema["value"].dataType, EXACT_SHARE_TYPE, "'value'").alias(
+            "shares_outstanding"
+        ),
         retrieved_at.alias("retrieved_at"),
     )

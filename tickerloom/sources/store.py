@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickerloom.functions.numeric import exact_double
+from tickerloom.functions.numeric import exact_value
 from tickerloom.operators.batches import status_violations
 from tickerloom.operators.quality import Rule, require_none, row_violations
 from tickerloom.operators.vintages import (
@@ -103,8 +103,10 @@ class CanonicalStore:
         """Merge one incoming vintage under the revision rules, all of it or nothing."""
         # One pass over the input; all checks and the merge read the written copy.
         incoming = check_columns(incoming, self.schema)
-        kinds = {c: incoming.schema[c].dataType.simpleString() for c in self.values}
-        incoming = incoming.withColumns({c: exact_double(F.col(c), kinds[c], f"'{c}'") for c in self.values})
+        given = incoming.schema
+        incoming = incoming.withColumns(
+            {c: exact_value(F.col(c), given[c].dataType, self.schema[c].dataType, f"'{c}'") for c in self.values}
+        )
         copies, scratch = stored_in(grouped_copies(incoming, self.values), "incoming")
         try:
             return self._merge(copies, statuses, snapshot_time)

@@ -196,8 +196,20 @@ def copied_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.join(sends, ["ticker", "date"]).select(*PRICE_COLUMNS)
 
 
+#: Nations whose counts lie beyond what a double, or a signed 64-bit number, holds.
+BEYOND_DOUBLE, BEYOND_LONG = 6, 9
+
+
 def share_counts(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
-    """Sparse share counts per nation: cents ordered by its customers on one day, null for open orders."""
+    """Sparse share counts per nation: cents ordered by its customers on one day, null for open orders.
+
+    Two nations have 2^53 + 1 and 2^63 + 1 shares on top.
+    """
+    base = (
+        F.when(F.col("c_nationkey") == BEYOND_DOUBLE, F.lit(2**53 + 1).cast("decimal(20,0)"))
+        .when(F.col("c_nationkey") == BEYOND_LONG, F.lit(str(2**63 + 1)).cast("decimal(20,0)"))
+        .otherwise(F.lit(0).cast("decimal(20,0)"))
+    )
     orders = read_table(spark, sf_dir, "orders")
     customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     if flag:
@@ -207,17 +219,18 @@ def share_counts(spark: SparkSession, sf_dir: str, flag: str | None = None) -> D
         .groupBy(
             F.to_date("o_orderdate").alias("date"),
             F.concat(F.lit("NATION"), padded(F.col("c_nationkey"), 3)).alias("ticker"),
+            base.alias("base"),
         )
         .agg(
             F.sum(
                 F.when(F.col("o_orderstatus") != "O", F.rint(F.col("o_totalprice") * 100).cast("bigint"))
-            ).cast("double").alias("shares_outstanding"),
+            ).alias("cents"),
             F.max(F.substring("o_orderpriority", 1, 1).cast("int")).alias("hour"),
         )
         .select(
             "date",
             "ticker",
-            "shares_outstanding",
+            (F.col("base") + F.col("cents")).cast(EXACT_SHARE_TYPE).alias("shares_outstanding"),
             retrieved(F.col("hour")).alias("retrieved_at"),
         )
     )
@@ -385,7 +398,9 @@ def landed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = counts.groupBy("ticker").agg(
         F.sort_array(F.collect_list(F.struct("date", "shares_outstanding"))).alias("d")
     )
-    values = F.when(nation != NO_SHARES, F.col("d.shares_outstanding"))
+    # Whole counts, written with all their digits.
+    counts = F.transform("d", lambda x: x["shares_outstanding"].cast("decimal(20,0)"))
+    values = F.when(nation != NO_SHARES, counts)
     values = F.when(nation == UNEVEN_SHARES, F.slice(values, 2, F.size("d"))).otherwise(values)
     body = F.struct(
         F.struct(
