@@ -1491,3 +1491,24 @@ WHERE momentum_percentile IS NOT NULL""",
     "mom",
     "bounds",
 )
+
+
+# ---------------------------------------------------------------- incremental evaluation
+
+cte("px_stale", "trades")(_bars(DESK, "trades", "NOT (slot % 2 = 0 AND flag = 'R' AND date >= DATE '2000-06-01')"))
+cte("changed_px", "px", "px_stale", "cal")(
+    f"""
+SELECT n.ticker, pos FROM px n JOIN cal ON session = n.date LEFT JOIN px_stale o ON o.ticker = n.ticker AND o.date = n.date
+WHERE o.ticker IS NULL OR {' OR '.join(f"o.{c} IS DISTINCT FROM n.{c}" for c in VALUES)}
+"""
+)
+oracle("incremental_momentum", MOMENTUM_SELECT, "mom")
+oracle("incremental_volatility", VOLATILITY_SELECT, "vol")
+oracle(
+    "incremental_reach",
+    """SELECT ticker, count(DISTINCT place) AS recomputed_rows
+FROM (SELECT ticker, unnest(generate_series(pos, least(pos + 1007, (SELECT hi_pos FROM bounds)))) AS place FROM changed_px)
+GROUP BY ticker""",
+    "changed_px",
+    "bounds",
+)

@@ -17,6 +17,7 @@ from tickerloom.operators import concentration as cn
 from tickerloom.operators import coverage as cv
 from tickerloom.operators import dependence as dp
 from tickerloom.operators import flow as fl
+from tickerloom.operators import incremental as ic
 from tickerloom.operators import quality as ql
 from tickerloom.operators import signals as sg
 from tickerloom.operators import spine as sp
@@ -568,6 +569,36 @@ def vintage_diff(spark, sf_dir):
     )
 
 
+def refreshed(spark, sf_dir):
+    """Signals of a stale table, brought up to date after the revision that the store took."""
+    store = price_store(spark)
+    before = store.persist(tb.stale_vintage(spark, sf_dir)).entry
+    stale = store.read()
+    bounds = sp.signal_bounds(stale)
+    m, v = sg.stored_signals(stale, bounds, new_folder(spark, "signals"))
+    store.persist(tb.later_vintage(spark, sf_dir))
+    prices = store.read()
+    return ic.refresh_signals(m, v, prices, store.changes(before), sp.signal_bounds(prices), new_folder(spark, "refreshed"))
+
+
+@query
+def incremental_momentum(spark, sf_dir):
+    return flat(refreshed(spark, sf_dir).momentum, rounded=RAW_MOMENTUM)
+
+
+@query
+def incremental_volatility(spark, sf_dir):
+    return flat(refreshed(spark, sf_dir).volatility, rounded=RAW_VOLATILITY)
+
+
+@query
+def incremental_reach(spark, sf_dir):
+    """How many sessions of each desk a late revision made the refresh compute again."""
+    return refreshed(spark, sf_dir).islands.groupBy("ticker").agg(
+        F.sum(F.col("hi") - F.col("lo") + 1).cast("bigint").alias("recomputed_rows")
+    )
+
+
 # ---------------------------------------------------------------- sources
 
 

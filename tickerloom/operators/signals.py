@@ -148,12 +148,21 @@ def signal_panel(prices: DataFrame, bounds: SignalBounds, momentum: bool = True,
     # Before the panel's first date there are no values, only missing rows, and no
     # diagnostic reaches further back than one lag.
     spine = session_spine(prices, bounds, min(REFERENCE_SPAN + reach, bounds.first - bounds.origin + reach + 1))
+    return panel_of_spine(spine, momentum, volatility, bounds.first)
+
+
+def panel_of_spine(
+    spine: DataFrame, momentum: bool = True, volatility: bool = True, first: int | None = None
+) -> DataFrame:
+    """The ranked signals of a session spine, from place `first` on where it is given."""
     raw: tuple[str, ...] = ()
     if momentum:
         spine, raw = with_raw_momentum(spine), raw + ("raw_momentum",)
     if volatility:
         spine, raw = with_raw_volatility(spine), raw + ("raw_volatility",)
-    panel = _counted(spine, raw).where(F.col("pos") >= bounds.first)
+    panel = _counted(spine, raw)
+    if first is not None:
+        panel = panel.where(F.col("pos") >= first)
     if momentum:
         panel = with_simple_return(panel, "start_adjusted_close", "adjusted_close", "raw_momentum", "simple_return_pct")
     return panel

@@ -77,7 +77,6 @@ def dense_spine(prices: DataFrame, bounds: SignalBounds, lookback: int) -> DataF
     days = bounds.calendar.sessions
     base = max(0, bounds.first - lookback)
     sessions = bounds.calendar.frame(spark)
-    window = Window.partitionBy("ticker").orderBy("pos")
 
     rows = prices.where(F.col("date") <= F.lit(bounds.end_day)).select("ticker", "date", "adjusted_close")
     observed = (
@@ -96,16 +95,25 @@ def dense_spine(prices: DataFrame, bounds: SignalBounds, lookback: int) -> DataF
                 F.lit(False).alias("observed"),
             )
         )
+    return filled_spine(observed.withColumns({"base": F.lit(base), "last": F.lit(bounds.last)}))
+
+
+def filled_spine(observed: DataFrame) -> DataFrame:
+    """Every session place from `base` to `last` of each ticker, from its observed rows.
+
+    observed has ticker (any key), pos, adjusted_close, observed, base and last.
+    """
+    window = Window.partitionBy("ticker").orderBy("pos")
     # The exploded rows and the ranking weigh far more than the shuffled ones, so the
     # configured number of partitions is kept: adaptive coalescing sees only the latter.
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reach = observed.repartition(partitions, "ticker").select(
         "ticker",
         "pos",
         "adjusted_close",
         "observed",
-        F.when(F.lag("pos").over(window).isNull(), F.lit(base)).otherwise(F.col("pos")).alias("from_pos"),
-        F.coalesce(F.lead("pos").over(window) - 1, F.lit(bounds.last)).alias("to_pos"),
+        F.when(F.lag("pos").over(window).isNull(), F.col("base")).otherwise(F.col("pos")).alias("from_pos"),
+        F.coalesce(F.lead("pos").over(window) - 1, F.col("last")).alias("to_pos"),
     ).where(F.col("from_pos") <= F.col("to_pos"))
     own = F.col("observed") & (F.col("at") == F.col("pos"))
     return reach.select(

@@ -75,6 +75,16 @@ class CanonicalStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def changes(self, after: int, until: int | None = None) -> DataFrame:
+        """ticker, date of the rows that the entries behind `after` added or revised."""
+        keys = [F.col(c) for c in KEY]
+        found = self.spark.createDataFrame([], "ticker string, date date")
+        for number in self.entries():
+            if after < number <= (until or number):
+                rows = self.spark.read.parquet(f"{self.root}/versions/{number:08d}")
+                found = found.unionByName(rows.where(F.col("action").isin("new", "revise")).select(*keys))
+        return found.distinct()
+
     def _months(self, df: DataFrame, *bounds: str) -> list[str]:
         # At most twelve names per year of history, however many rows there are.
         named = [F.date_format(b, MONTH) for b in bounds or ("date",)]

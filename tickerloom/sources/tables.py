@@ -129,6 +129,16 @@ def second_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(shipped_lines(spark, sf_dir).where(F.col("flag") != "A"))
 
 
+#: Fixed value: the day from which every second desk's earlier reading lacks the returned lines.
+STALE_FROM = date(2000, 6, 1)
+
+
+def stale_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price table before a late revision of every second desk."""
+    late = (F.col("slot") % 2 == 0) & (F.col("flag") == "R") & (F.col("date") >= F.lit(STALE_FROM))
+    return bars(shipped_lines(spark, sf_dir).where(~late))
+
+
 def later_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full reading of all lines, retrieved twelve hours after the last one: a clean revision."""
     full = desk_prices(spark, sf_dir)

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickerloom.operators.incremental import refresh_signals
 from tickerloom.operators.quality import row_violations
+from tickerloom.operators.signals import stored_signals
+from tickerloom.operators.spine import signal_bounds
 from tickerloom.operators.vintages import REJECTED, deduplicate, duplicate_conflicts, vintage_actions
 from tickerloom.schemas import KEY
 from tickerloom.session import stored_in
@@ -65,6 +68,50 @@ def apply_vintage(store: CanonicalStore, quarantine: str) -> Callable[[DataFrame
     return run
 
 
+def signal_refresher(store: CanonicalStore, root: str) -> Callable[[], None]:
+    """An ``after`` step that keeps both signals below ``root`` up to date with the store.
+
+    The first run computes them in full; later ones compute only what the entries behind the last
+    run can reach, from bounded history. `current.json` names the tables of the last run and is
+    written last, so a run that died changes nothing. A run without new entries does nothing.
+    """
+    spark = store.spark
+
+    def run() -> None:
+        entry = store.current()
+        pointer = f"{root}/current.json"
+        state = files.read_json(spark, pointer) if files.exists(spark, pointer) else None
+        if entry is None or (state and state["entry"] == entry["number"]):
+            return
+        prices = store.read()
+        bounds = signal_bounds(prices)
+        folder = f"{root}/{entry['number']:08d}"
+        if files.exists(spark, folder):
+            files.remove(spark, folder)
+        moved = state and state["first"] != str(bounds.calendar.sessions[bounds.first])
+        recomputed = None
+        if state is None or moved:
+            momentum, volatility = stored_signals(prices, bounds, f"{folder}/full")
+        else:
+            held = [spark.read.parquet(f"{root}/{state['entry']:08d}/{name}") for name in ("momentum", "volatility")]
+            fresh = refresh_signals(*held, prices, store.changes(state["entry"]), bounds, f"{folder}/work")
+            momentum, volatility = fresh.momentum, fresh.volatility
+            recomputed = fresh.islands.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
+        momentum.write.parquet(f"{folder}/momentum")
+        volatility.write.parquet(f"{folder}/volatility")
+        for scratch in ("full", "work"):
+            if files.exists(spark, f"{folder}/{scratch}"):
+                files.remove(spark, f"{folder}/{scratch}")
+        first = str(bounds.calendar.sessions[bounds.first])
+        if files.exists(spark, pointer):
+            files.remove(spark, pointer)
+        files.write_json(spark, pointer, {"entry": entry["number"], "first": first, "recomputed_rows": recomputed})
+        if state:
+            files.remove(spark, f"{root}/{state['entry']:08d}")
+
+    return run
+
+
 def stream_updates(
     spark: SparkSession,
     landing: str,
