@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from tickerloom.functions import digests as dg
 from tickerloom.functions import labels as lb
 from tickerloom.functions import numeric as nm
 from tickerloom.operators import batches as bt
@@ -860,15 +861,13 @@ def publish_manifest(spark, sf_dir):
 
 @query
 def artifact_inventory(spark, sf_dir):
-    """Fields of the input and of both signal artifacts, as the manifest lists them."""
-    m, v = signals_of(spark, sf_dir)
-    manifest = pb.manifest_rows({"input_prices": prices_of(spark, sf_dir), "momentum": m, "volatility": v})
-    return flat(pb.inventory_rows(manifest))
+    """Fields of the five artifacts, as the manifest lists them."""
+    return flat(pb.inventory_rows(pb.manifest_rows(frames_of(spark, sf_dir))))
 
 
 @query
 def artifact_digest(spark, sf_dir):
-    return flat(pb.content_digest(prices_of(spark, sf_dir)))
+    return flat(dg.content_digest(prices_of(spark, sf_dir)))
 
 
 @query
@@ -959,6 +958,15 @@ def verify_regeneration(spark, sf_dir):
     return vf.regeneration({"momentum": m1, "volatility": v1}, {"momentum": m2, "volatility": v2})
 
 
+@query
+def verify_untouched(spark, sf_dir):
+    """A tampered percentile in one month of a copy: only the rows of its digest nodes are compared."""
+    m, v = signals_of(spark, sf_dir)
+    odd = (F.col("ticker") == F.lit("DESK0000001")) & (F.date_format("signal_date", "yyyy-MM") == "2001-03")
+    changed = m.withColumn("momentum_percentile", F.when(odd, F.lit(-1.0)).otherwise(F.col("momentum_percentile")))
+    return vf.regeneration({"momentum": changed, "volatility": v}, {"momentum": m, "volatility": v})
+
+
 @query
 def verify_coverage_counts(spark, sf_dir):
     rows = coverage_of(spark, sf_dir)[0]

@@ -226,3 +226,16 @@ def test_signals_refuse_invalid_rows(spark, signal):
             signal(frame, price_range=(days[0], max(days[-1], extra[1])))
     frame = spark.createDataFrame([*good, ("B", days[0], None)], "ticker string, date date, adjusted_close double")
     assert signal(frame).count() == 60
+
+
+def test_sorted_window_by_brute_force():
+    r = np.random.default_rng(3)
+    for size, span in ((0, 5), (1, 5), (400, 1), (400, 37), (1200, 755)):
+        values = np.round(r.random(size), 2)
+        values[r.random(size) < 0.2] = np.nan
+        references, doubled = nm.sliding_counts(values, span)
+        for i in range(size):
+            window = values[max(0, i - span) : i]
+            assert references[i] == np.count_nonzero(~np.isnan(window))
+            if not np.isnan(values[i]):
+                assert doubled[i] == np.sum(window < values[i]) + np.sum(window <= values[i])

@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 from tests.helpers import AT, bar, later, panel, sessions, wave
 from tickerloom.operators import quality as ql
 from tickerloom.operators import vintages as vt
-from tickerloom.plans.publish import classify_runs, content_digest
+from tickerloom.functions.digests import content_digest
+from tickerloom.plans.publish import classify_runs
 from tickerloom.schemas import PRICE_COLUMNS, PRICE_SCHEMA, PRICE_VALUES, SHARE_SCHEMA, ContractError, check_columns
 from tickerloom.sources import tables as tb
 

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.functions.digests import content_digest
 from tickerloom.plans.evaluate import Evaluation
 from tickerloom.schemas import ARTIFACTS, ContractError
 from tickerloom.sources import files
@@ -18,25 +19,6 @@ from tickerloom.sources.universe import universe_hash
 RUN_PATTERN = r"^[0-9]{8}T[0-9]{12}Z$"
 
 
-def content_digest(df: DataFrame) -> DataFrame:
-    """Row count and a digest that does not depend on row order.
-
-    Row hashes are both summed and xor-ed: the sum notices repeated rows, and both
-    combine map-side, so the digest of any table is one tiny shuffle. The hash passes over
-    nulls, so it also takes which columns are null.
-    """
-    nulls = [F.when(F.col(f"`{c}`").isNull(), F.lit(i)).otherwise(-1) for i, c in enumerate(df.columns)]
-    row = F.xxhash64(*nulls, *(F.col(f"`{c}`") for c in df.columns))
-    return df.select(row.alias("h")).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.concat_ws(
-            ":",
-            F.lower(F.hex(F.coalesce(F.bit_xor("h"), F.lit(0)))),
-            F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string"),
-        ).alias("digest"),
-    )
-
-
 def manifest_rows(frames: dict[str, DataFrame]) -> DataFrame:
     """One row per artifact: file name, field count, schema, row count and digest."""
     rows = [

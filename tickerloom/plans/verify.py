@@ -8,6 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.functions.digests import differing_nodes, in_nodes
 from tickerloom.functions.numeric import is_finite
 from tickerloom.operators.vintages import frame_difference
 from tickerloom.schemas import ARTIFACTS, HISTORY_START, MIN_REFERENCES, REFERENCE_SPAN
@@ -356,10 +357,28 @@ def metadata_contract(metadata: DataFrame, mode: str, start: date, end: date) ->
     return _broken(metadata, rules, "ticker")
 
 
+REGENERATION_KEYS = ("scope", "estimator", "ticker", "date", "signal_date")
+
+
 def regeneration(stored: dict[str, DataFrame], recomputed: dict[str, DataFrame]) -> DataFrame:
-    """Per artifact: rows that only the stored or only the recomputed table has."""
+    """Per artifact: rows that only the stored or only the recomputed table has.
+
+    Digests of key ranges are compared first, and rows only where those differ.
+    """
+
+    def differing(name: str) -> DataFrame:
+        fresh = recomputed[name]
+        held = stored[name].select(*fresh.columns)
+        key = [c for c in REGENERATION_KEYS if c in fresh.columns]
+        if [f.dataType for f in held.schema] == [f.dataType for f in fresh.schema]:
+            nodes = differing_nodes(held, fresh, key)
+            if nodes is None:
+                return frame_difference(held.limit(0), fresh.limit(0))
+            held, fresh = in_nodes(held, key, nodes), in_nodes(fresh, key, nodes)
+        return frame_difference(held, fresh)
+
     parts = [
-        frame_difference(stored[name].select(*recomputed[name].columns), recomputed[name])
+        differing(name)
         .groupBy("only_in")
         .agg(F.sum(F.abs("surplus")).alias("rows"))
         .select(F.lit(name).alias("artifact"), "only_in", "rows")
