@@ -30,6 +30,8 @@ from tickerloom.llm import (
     simhash,
 )
 from tickerloom.llm.common import prefix_sums
+from tickerloom.session import shared_folder
+from tickerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
 LONG = "Erin ther, ont\n" * 4000 + "aeiouth" * 3000 + " 9" * 500 + " ü–中" * 900
@@ -304,6 +306,10 @@ def plain_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def similar(x, y):
+    return 9 * len(x & y) >= 4 * (len(x) + len(y))
+
+
 def test_similar_texts_against_brute_force(spark, docs, none):
     r = random.Random(9)
     texts = []
@@ -317,8 +323,7 @@ def test_similar_texts_against_brute_force(spark, docs, none):
                 texts.append(" ".join(copy))
     texts += ["", " ", "Two Words", "two words", "two words more", texts[0].upper()]
     sets = [plain_set(t) for t in texts]
-    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1
-    label = component_of(len(texts), lambda i, j: share(i, j) >= 0.8)
+    label = component_of(len(texts), lambda i, j: similar(sets[i], sets[j]))
     frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     kept = sorted(row["doc_id"] for row in stage(spark, frame, SF).collect())
@@ -600,12 +605,17 @@ def test_linear_time_identity():
 
 
 def test_pipeline_against_its_stages(spark, corpus):
+    shared = f"{shared_folder(spark)}/tickerloom"
+    before = set(files.names(spark, shared))
     rows = corpus_pipeline.run(spark, SF).collect()
+    # Nothing is left of the stages but the last result.
+    assert [n.startswith("stage-packing") for n in set(files.names(spark, shared)) - before] == [True]
     predicted = {r["doc_id"] for r in queries.op9_quality_scores(spark, SF).where("predicted = 1").collect()}
     ids = sorted(i for i in corpus if i in predicted)
-    fps = [plain_fingerprint(corpus[i]) for i in ids]
-    label = component_of(len(ids), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    sets = [plain_set(corpus[i]) for i in ids]
+    label = component_of(len(ids), lambda i, j: similar(sets[i], sets[j]))
     kept = sorted({ids[k] for k in label})
+    assert len(kept) < len(ids)
     frame = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id").isin(kept))
     shown = by_id(secrets.redacted(frame, queries.owner(), queries.repository()))
     check_packing([(i, shown[i]["text"]) for i in kept], rows)
@@ -617,4 +627,7 @@ def test_pipeline_stages_with_hostile_rows(spark, docs, none):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         assert out.count() <= len(HOSTILE) and stage(spark, none, SF).isEmpty()
+    pack = corpus_pipeline.STAGES[-1][1]
+    check_packing([(i, t or "") for i, t, *_ in HOSTILE], pack(spark, docs, SF).collect())
+    assert pack(spark, none, SF).isEmpty()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "secrets", "packing"]

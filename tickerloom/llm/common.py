@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,9 +90,24 @@ def check_columns(df: DataFrame, wanted: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted_folders() -> Iterator[list[str]]:
+    """The folders written within, for a caller that removes them once their reader is done."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
 def written(df: DataFrame, purpose: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """df written to the shared folder and read back, and the folder, for `discard`."""
     folder = new_folder(df.sparkSession, purpose)
+    for folders in _noted:
+        folders.append(folder)
     df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 

@@ -7,6 +7,8 @@ written to the shared folder, and the folder of the round before is removed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Repeated edges, both directions and loops are allowed; loops alone give their node no row.
     The number of rounds grows with the logarithm of the longest path.
     """
+    return labelled(edges, written)[0]
+
+
+def labelled(edges: DataFrame, written: Callable[[DataFrame, str], tuple[DataFrame, str]]) -> tuple[DataFrame, str]:
+    """As `connected_components`, and the folder that holds the result, to be discarded after use."""
     spark = edges.sparkSession
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     stars, folder = written(pairs.distinct(), "edges")
@@ -43,7 +50,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         total = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
         row = stars.agg(F.count("*").alias("n"), total.alias("t")).first()
         if (row["n"], row["t"]) == sign:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
+            labels = stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
                 stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
+            return labels, folder
         sign = (row["n"], row["t"])

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.bpe import encoder
-from tickerloom.llm.common import check_columns, slices, whole_text, workers_import
-from tickerloom.session import stored
+from tickerloom.llm.common import check_columns, slices, whole_text, workers_import, written
 
 WINDOW = 2048
 #: Id that ends each document.
@@ -81,7 +80,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                 )
 
     cut_docs = docs.mapInArrow(cut, _PIECES)
-    return stored(cut_docs.select(F.monotonically_increasing_id().alias("piece"), "*"), "pieces")
+    return written(cut_docs.select(F.monotonically_increasing_id().alias("piece"), "*"), "pieces")[0]
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
