@@ -1578,3 +1578,11 @@ oracle(
 WHERE ticker = 'DESK0000001' AND strftime(signal_date, '%Y-%m') = '2001-03' GROUP BY side""",
     "mom",
 )
+
+ORACLES["evaluation_coverage"] = ORACLES["coverage"]
+oracle(
+    "evaluation_validated",
+    """SELECT 'coverage' AS artifact, side AS only_in, CAST(count(*) AS BIGINT) AS rows FROM univ, (VALUES ('left'), ('right')) AS t (side)
+WHERE category = 'NATION_1' GROUP BY side""",
+    "univ",
+)

@@ -24,7 +24,7 @@ from tickerloom.operators import signals as sg
 from tickerloom.operators import spine as sp
 from tickerloom.operators import vintages as vt
 from tickerloom.plans import jobs, publish as pb, reports as rp, verify as vf
-from tickerloom.plans.evaluate import Evaluation
+from tickerloom.plans.evaluate import Evaluation, evaluate
 from tickerloom.schemas import MOMENTUM_COLUMNS, PRICE_VALUES, SHARE_VALUES, VOLATILITY_COLUMNS
 from tickerloom.session import new_folder, stored
 from tickerloom.sources import payloads as pl
@@ -781,6 +781,28 @@ def coverage(spark, sf_dir):
     return flat(coverage_of(spark, sf_dir)[0], rounded=RAW_COVERAGE)
 
 
+def evaluation_of(spark, sf_dir):
+    """An offline evaluation of the desks, by the public entry point."""
+    return evaluate(prices_of(spark, sf_dir), tb.desk_universe(spark, sf_dir), target_of(sf_dir))
+
+
+@query
+def evaluation_coverage(spark, sf_dir):
+    return flat(evaluation_of(spark, sf_dir).frames["coverage"], rounded=RAW_COVERAGE)
+
+
+@query
+def evaluation_validated(spark, sf_dir):
+    """An evaluation whose coverage was changed for one nation, against its recomputation."""
+    held = evaluation_of(spark, sf_dir)
+    fresh = jobs.recompute(held.frames["input_prices"], held.universe, held.target)
+    coverage = held.frames["coverage"]
+    odd = F.when(F.col("category") == "NATION_1", F.lit(99)).otherwise(F.col("missing_canonical_count"))
+    frames = held.frames | {"coverage": coverage.withColumn("missing_canonical_count", odd.cast("bigint"))}
+    names = ("input_prices", "momentum", "volatility", "coverage")
+    return vf.regeneration({n: frames[n] for n in names}, {n: fresh[n] for n in names})
+
+
 @query
 def dependence_pearson(spark, sf_dir):
     rows = dp.correlations(pairs_of(spark, sf_dir), "ticker")
