@@ -1586,3 +1586,9 @@ oracle(
 WHERE category = 'NATION_1' GROUP BY side""",
     "univ",
 )
+oracle(
+    "verify_order",
+    """SELECT 'reversed' AS artifact, 'rows_out_of_order' AS rule, count(*) - 1 AS found FROM mom
+UNION ALL SELECT 'swapped', 'file_begins_too_early', 1""",
+    "mom",
+)

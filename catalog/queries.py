@@ -23,7 +23,7 @@ from tickerloom.operators import quality as ql
 from tickerloom.operators import signals as sg
 from tickerloom.operators import spine as sp
 from tickerloom.operators import vintages as vt
-from tickerloom.plans import jobs, publish as pb, reports as rp, verify as vf
+from tickerloom.plans import jobs, ordering as od, publish as pb, reports as rp, verify as vf
 from tickerloom.plans.evaluate import Evaluation, evaluate
 from tickerloom.schemas import MOMENTUM_COLUMNS, PRICE_VALUES, SHARE_VALUES, VOLATILITY_COLUMNS
 from tickerloom.session import new_folder, stored
@@ -892,6 +892,19 @@ def artifact_digest(spark, sf_dir):
     return flat(dg.content_digest(prices_of(spark, sf_dir)))
 
 
+@query
+def verify_order(spark, sf_dir):
+    """Momentum written in order, with its rows turned round, and with two files in the wrong order."""
+    m, key = signals_of(spark, sf_dir)[0], ["ticker", "signal_date"]
+    folders = {case: new_folder(spark, f"order-{case}") for case in ("sorted", "reversed", "swapped")}
+    od.write_sorted(m, folders["sorted"], key)
+    m.coalesce(1).sortWithinPartitions(*[F.desc(c) for c in key]).write.parquet(folders["reversed"])
+    halves = m.repartitionByRange(2, *[F.desc(c) for c in key])
+    halves.sortWithinPartitions(*key).write.parquet(folders["swapped"])
+    found = [od.order_violations(spark, folder, key).withColumn("artifact", F.lit(case)) for case, folder in folders.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("artifact", "rule").agg(F.sum("found").alias("found"))
+
+
 @query
 def verify_row_counts(spark, sf_dir):
     """Artifact row counts against the counts that the population rules demand."""

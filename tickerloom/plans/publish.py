@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.digests import content_digest
 from tickerloom.plans.evaluate import Evaluation
+from tickerloom.plans.ordering import write_sorted
 from tickerloom.schemas import ARTIFACTS, ContractError
 from tickerloom.sources import files
 from tickerloom.sources.store import RUN_STAMP
@@ -126,8 +127,7 @@ def publish(
     expected = {}
     for name in ARTIFACTS:
         frame = evaluation.frames[name]
-        order = [c for c in ("ticker", "date", "signal_date", "scope") if c in frame.columns]
-        frame.sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{staging}/{name}.parquet")
+        write_sorted(frame, f"{staging}/{name}.parquet")
         expected[name] = frame
     claims = ticker_metadata(evaluation.universe, evaluation.frames["input_prices"], evaluation.statuses)
     claims.write.parquet(f"{staging}/ticker_metadata.parquet")
