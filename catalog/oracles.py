@@ -1012,7 +1012,8 @@ oracle(
     "resolve_target",
     """SELECT event_id, CAST(max(session) AS VARCHAR) AS target_session, '2018-01-01' AS request_start,
 CAST(max(session) + 1 AS VARCHAR) AS request_end, 'resolved' AS target_status
-FROM events JOIN event_cal ON close_utc <= ts AND session >= CAST(ts AS DATE) - 15 GROUP BY event_id""",
+FROM events JOIN event_cal ON close_utc <= ts AND session >= CAST(ts AS DATE) - 15 WHERE event_type <> 'error' GROUP BY event_id
+UNION ALL SELECT event_id, NULL, '2018-01-01', NULL, 'outside_known_calendar' FROM events WHERE event_type = 'error'""",
     "event_cal",
 )
 RUN = "strftime(ts, '%Y%m%dT%H%M%S%fZ')"

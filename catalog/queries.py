@@ -30,7 +30,7 @@ from tickerloom.session import new_folder, stored
 from tickerloom.sources import payloads as pl
 from tickerloom.sources import tables as tb
 from tickerloom.sources import universe as un
-from tickerloom.sources.calendar import EvaluationTarget, SessionCalendar, resolve_targets
+from tickerloom.sources.calendar import EvaluationTarget, SessionCalendar, resolve_instants
 from tickerloom.streaming import updates as up
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -717,11 +717,10 @@ def shares_query_window(spark, sf_dir):
 
 @query
 def resolve_target(spark, sf_dir):
+    # Instants of errors are shown a century early, before any session rule is known.
+    shown = F.when(F.col("event_type") == "error", F.col("ts") - F.expr("INTERVAL 100 YEARS")).otherwise(F.col("ts"))
     events = tb.read_table(spark, sf_dir, "events")
-    low, high = events.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
-    instants = events.select("event_id", F.col("ts").cast("timestamp").alias("captured_at"))
-    calendar = SessionCalendar(low - timedelta(days=370), high + timedelta(days=370))
-    rows = resolve_targets(instants, calendar, date(2018, 1, 1))
+    rows = resolve_instants(events.select("event_id", shown.cast("timestamp").alias("captured_at")), date(2018, 1, 1))
     return flat(rows, "event_id", "target_session", "request_start", "request_end", "target_status")
 
 

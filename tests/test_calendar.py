@@ -1,10 +1,10 @@
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 import pytest
 
 from tests.helpers import CALENDAR
 from tickerloom.schemas import ContractError
-from tickerloom.sources.calendar import SessionCalendar, closures, resolve_target
+from tickerloom.sources.calendar import SessionCalendar, closures, resolve_instants, resolve_target
 
 
 @pytest.mark.parametrize(
@@ -64,3 +64,17 @@ def test_every_day_has_the_session_on_or_after_it(spark):
     days = {r["day"]: r["session"] for r in CALENDAR.days(spark).collect()}
     assert days[date(2023, 7, 1)] == date(2023, 7, 3) and days[date(2023, 7, 4)] == date(2023, 7, 5)
     assert all(days[s] == s for s in CALENDAR.sessions[1:])
+
+
+def test_instants_outside_the_known_years_have_a_status(spark):
+    at = lambda y, m=6, d=3: datetime(y, m, d, 12, tzinfo=timezone.utc)
+    instants = [(1, at(1900)), (2, at(2024)), (3, None), (4, at(2500)), (5, at(2020))]
+    frame = spark.createDataFrame(instants, "k long, captured_at timestamp")
+    rows = {r["k"]: r for r in resolve_instants(frame, date(2018, 1, 1)).collect()}
+    assert {k: r["target_status"] for k, r in rows.items()} == {
+        1: "outside_known_calendar", 2: "resolved", 3: "outside_known_calendar", 4: "outside_known_calendar", 5: "resolved"
+    }
+    assert rows[2]["target_session"] == date(2024, 5, 31) and rows[1]["target_session"] is None
+    only = resolve_instants(frame.where("k = 1"), date(2018, 1, 1)).collect()
+    assert [r["target_status"] for r in only] == ["outside_known_calendar"]
+    assert resolve_instants(frame.where("false"), date(2018, 1, 1)).isEmpty()

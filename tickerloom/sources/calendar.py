@@ -248,6 +248,30 @@ def resolve_targets(instants: DataFrame, calendar: SessionCalendar, history_star
     )
 
 
+def resolve_instants(instants: DataFrame, history_start: date) -> DataFrame:
+    """As `resolve_targets`, over the calendar that the instants need.
+
+    An instant that is null, or outside the years the session rules are known for, has a status of
+    its own and no session; it changes nothing for the others.
+    """
+    known = F.coalesce(
+        F.year(F.from_utc_timestamp("captured_at", EXCHANGE_TZ)).between(FIRST_DAY.year, LAST_DAY.year), F.lit(False)
+    )
+    inside = instants.where(known)
+    low, high = inside.agg(F.to_date(F.min("captured_at")), F.to_date(F.max("captured_at"))).first()
+    low, high = low or history_start, high or history_start
+    margin = timedelta(days=370)
+    calendar = SessionCalendar(max(low - margin, FIRST_DAY), min(high + margin, LAST_DAY))
+    unknown = instants.where(~known).select(
+        "*",
+        F.lit(None).cast("date").alias("target_session"),
+        F.lit(history_start).alias("request_start"),
+        F.lit(None).cast("date").alias("request_end"),
+        F.lit("outside_known_calendar").alias("target_status"),
+    )
+    return resolve_targets(inside, calendar, history_start).unionByName(unknown)
+
+
 def resolve_target(
     spark: SparkSession, captured_at: datetime, history_start: date = date(2018, 1, 1)
 ) -> EvaluationTarget:
