@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from html import unescape
 
@@ -533,6 +534,44 @@ def test_pages_that_are_odd(spark):
     assert html.extract(frame.where("false"), trees).isEmpty()
 
 
+@pytest.mark.parametrize("unit", ["<a b=c ", "<a '", "<a'", "</b>", "<b><h1>", "<!", "<?", "<b></i>", "<a class='", "<script "])
+def test_broken_markup_takes_linear_time(unit):
+    page = (unit * (1_000_000 // len(unit) + 1))[:1_000_000]
+    start = time.process_time()
+    nodes = html.parse(page)
+    assert time.process_time() - start < 20  # a second or two; a quadratic scan takes hours
+    html.main_text(page, nodes, [True] * len(nodes))
+
+
+def plain_tag_end(page, place):
+    quote = ""
+    for i in range(place, len(page)):
+        if quote:
+            quote = "" if page[i] == quote else quote
+        elif page[i] in "\"'":
+            quote = page[i]
+        elif page[i] == ">":
+            return i + 1
+    return -1
+
+
+def test_tag_ends_by_a_plain_scan():
+    rng = random.Random(5)
+    for _ in range(300):
+        page = "".join(rng.choice("ab =<>\"'") for _ in range(rng.randint(0, 60)))
+        ends = html._TagEnds(page)
+        assert [ends.after(i) for i in range(len(page))] == [plain_tag_end(page, i) for i in range(len(page))]
+    far = "<p title='" + ">" * 1000 + "'>text</p>"  # beyond the near look
+    assert html.main_text(far, html.parse(far), [True, True]) == "text"
+
+
+def test_copies_of_a_page_are_learnt_from_once(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    once, thrice = (html.learn(p, most=5, page_nodes=50) for p in (pages, pages.union(pages).union(pages)))
+    x = html.features(*(lambda h: (html.parse(h), len(h)))(pages.first()["html"]))
+    assert np.array_equal(once.log_odds(x), thrice.log_odds(x))
+
+
 def test_decoding_keeps_ancestors():
     nodes = html.parse("<div><p>aaaa</p><div><p>bbbb</p></div></div>")
     odds = np.array([1.0, 5.0, 5.0, -50.0, 8.0])

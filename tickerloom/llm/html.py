@@ -16,6 +16,8 @@ nothing about themselves are read by densities and places. The trees are fitted
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import check_columns, whole_text, workers_import
 
 TRAIN_PAGES = 400
-#: Most training nodes of one page.
+#: Most training nodes of one page; like TRAIN_PAGES it bounds the fitting alone.
 PAGE_NODES = 400
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
 
@@ -56,10 +58,12 @@ _CLOSES = {
 _WALLS = frozenset("html body article section main div ul ol dl table td th header footer nav aside".split())
 _NO_P = _BLOCK - {"html", "body", "head", "title", "script", "style", "noscript", "template", "button", "select"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<|[^<]+",
-    re.S,
-)
+_TAG_NAME = re.compile(r"</?+([A-Za-z][^\s/<>\"']*+)")
+#: The attributes of a tag and its end; a quoted value may hold any character.
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+#: Characters in which the end of a tag is looked for before the ends of the whole page are laid out.
+_NEAR = 256
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -99,6 +103,116 @@ class Node:
     at: int = 0
 
 
+class _TagEnds:
+    """The place after the tag whose attributes start at a given place, -1 where it never ends.
+
+    A mark's answer follows from marks to its right, so one backward pass settles all of them.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.marks = array("q", (m.start() for m in _MARK.finditer(page)))
+        count = len(self.marks)
+        self.ends = array("q", [-1]) * (count + 1)
+        following = {'"': count, "'": count}
+        for i in range(count - 1, -1, -1):
+            mark = page[self.marks[i]]
+            if mark == ">":
+                self.ends[i] = self.marks[i] + 1
+                continue
+            closing = following[mark]
+            self.ends[i] = self.ends[closing + 1] if closing < count else -1
+            following[mark] = i
+
+    def after(self, place: int) -> int:
+        return self.ends[bisect_left(self.marks, place)]
+
+
+def _tokens(page: str) -> Iterator[tuple[int, str, str | None, str]]:
+    """(end, text, tag, attributes) from left to right; the tag is None for text.
+
+    Takes back the place it is sent, if it is sent one. Every character is looked at a bounded
+    number of times, whatever is left open: a `<` that begins nothing which ends is text.
+    """
+    at, size = 0, len(page)
+    ends: _TagEnds | None = None
+    closable = True
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            at = (yield end, page[at:end], None, "") or end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        name = _TAG_NAME.match(page, at)
+        if name or page.startswith(("<!", "<?"), at):
+            start = name.end() if name else at + 2
+            near = _REST.match(page, start, start + _NEAR) if name and not ends else None
+            if near:
+                end = near.end()
+            elif name:
+                ends = ends or _TagEnds(page)
+                end = ends.after(start)
+            else:
+                end = page.find(">", start) + 1 if closable else 0
+                closable = end > 0  # where none follows, none follows any later place
+                end = end or -1
+            if end >= 0:
+                if name:
+                    closes = page[at + 1] == "/"
+                    at = (yield end, "/" if closes else "", name[1].lower(), page[start : end - 1]) or end
+                else:
+                    at = end
+                continue
+        at = (yield at + 1, "<", None, "") or at + 1
+
+
+class _Open:
+    """The open elements, each with its block, and where elements of a tag and walls lie among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("root", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.walls = [0]
+        self.links = 0
+
+    @property
+    def block(self) -> int:
+        return self.stack[-1][1]
+
+    def push(self, tag: str, block: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _WALLS:
+            self.walls.append(len(self.stack))
+        self.links += tag == "a"
+        self.stack.append((tag, block))
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all in it."""
+        while len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in _WALLS:
+                self.walls.pop()
+            self.links -= tag == "a"
+
+    def end(self, tag: str) -> bool:
+        """Closes the innermost element of the tag; whether there is one."""
+        places = self.places.get(tag)
+        if places:
+            self.cut(places[-1])
+            return True
+        return False
+
+    def close(self, tags: set[str]) -> None:
+        """Closes the innermost element of the tags if no wall lies in it."""
+        place = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if place and place >= self.walls[-1]:
+            self.cut(place)
+
+
 def parse(page: str) -> list[Node]:
     """The block elements of a page in page order, parents before children; 0 is the root.
 
@@ -106,45 +220,38 @@ def parse(page: str) -> list[Node]:
     kept in the block that holds it, with a break (None) where a child block stands between.
     """
     nodes = [Node("root", -1, 0, frozenset())]
-    stack: list[tuple[str, int]] = [("root", 0)]  # open elements and the block each belongs to
-    link = 0
-    end, size = 0, len(page)
-    while end < size:
-        found = _TOKEN.match(page, end)
-        end = found.end()
-        tag = found[2]
-        block = stack[-1][1]
+    opened = _Open()
+    size = len(page)
+    tokens = _tokens(page)
+    skip = None  # where to go on after an element whose content is not markup
+    while True:
+        try:
+            end, text, tag, attributes = tokens.send(skip)
+        except StopIteration:
+            break
+        skip = None
         if tag is None:
-            text = found[0]
-            if text[0] != "<" or text == "<":
-                node = nodes[block]
-                node.texts.append(text)
-                if link:
-                    node.links += len(text)
+            node = nodes[opened.block]
+            node.texts.append(text)
+            if opened.links:
+                node.links += len(text)
             continue
-        tag = tag.lower()
-        if found[1]:
-            if any(t == tag for t, _ in reversed(stack[1:])):
-                while stack[-1][0] != tag:
-                    link -= stack.pop()[0] == "a"
-                link -= tag == "a"
-                stack.pop()
-                if tag == "br":
-                    nodes[stack[-1][1]].texts.append(" ")
+        if text == "/":
+            opened.end(tag)
             continue
         if tag == "p" or tag in _NO_P:
-            link -= _close(stack, {"p"})
+            opened.close({"p"})
         if tag in _CLOSES:
-            link -= _close(stack, _CLOSES[tag])
-        block = stack[-1][1]
+            opened.close(_CLOSES[tag])
+        block = opened.block
         nodes[block].marks += 1
-        if tag in _VOID or found[3].endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
             if tag in ("br", "hr", "wbr"):
                 nodes[block].texts.append("" if tag == "wbr" else "\n")
             continue
         if tag in _BLOCK:
             words = set()
-            for kind, *values in _ATTRIBUTE.findall(found[3]):
+            for kind, *values in _ATTRIBUTE.findall(attributes):
                 words.update(_WORDS.findall(next(filter(None, values), "").lower()))
             parent = nodes[block]
             parent.texts.append(None)
@@ -154,13 +261,12 @@ def parse(page: str) -> list[Node]:
             parent.children.append(len(nodes) - 1)
             block = len(nodes) - 1
         if tag in _RAW:
-            closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
+            closing = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, end)
             if tag in ("title", "textarea"):
                 nodes[block].texts.append(page[end : closing.start() if closing else size])
-            end = closing.end() if closing else size
+            skip = closing.end() if closing else size
             continue
-        link += tag == "a"
-        stack.append((tag, block))
+        opened.push(tag, block)
     for node in nodes:
         node.siblings = len(nodes[node.parent].children) if node.parent >= 0 else 1
         own = sum(len(t) for t in node.texts if t)
@@ -174,19 +280,6 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def _close(stack: list[tuple[str, int]], tags: set[str]) -> int:
-    """Closes an open element of the tags up to the next wall; the number of links closed."""
-    links = 0
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in tags:
-            links = sum(t == "a" for t, _ in stack[i:])
-            del stack[i:]
-            break
-        if stack[i][0] in _WALLS:
-            break
-    return links
-
-
 _TAG_GROUPS = ("p", "h1", "h2", "h3", "li", "td", "div", "section", "article", "main", "header")
 FEATURES = 19 + len(_TAG_GROUPS) + 4
 #: Groups of inputs: own text, subtree, place, words.
@@ -363,34 +456,44 @@ def main_text(page: str, nodes: list[Node], kept: np.ndarray) -> str:
     return "\n\n".join(out)
 
 
-def learn(pages: DataFrame, most: int = TRAIN_PAGES) -> Trees:
-    """Fits on at most `most` pages, which state the roles of some of their parts."""
+def learn(pages: DataFrame, most: int = TRAIN_PAGES, page_nodes: int = PAGE_NODES) -> Trees:
+    """Fits on at most `most` different pages, which state the roles of some of their parts.
+
+    The pages are chosen by hashes alone; only what is learnt from the chosen ones leaves their
+    tasks, so that whole pages never meet. Of a page at most `page_nodes` nodes are used, evenly spread.
+    """
     check_columns(pages, ("url", "html"))
     workers_import(pages.sparkSession)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page in batch.column("html").to_pylist():
+            for place, sign, page in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 nodes = parse(page)
                 role, x = stated_roles(nodes), features(nodes, len(page))
                 at = np.flatnonzero(role >= 0)
-                if len(at) > PAGE_NODES:
-                    at = at[np.linspace(0, len(at) - 1, PAGE_NODES).astype(np.int64)]
+                if len(at) > page_nodes:
+                    at = at[np.linspace(0, len(at) - 1, page_nodes).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array([place], pa.int64()),
+                        pa.array([sign], pa.int64()),
                         pa.array([x[at].tobytes()], pa.binary()),
                         pa.array([role[at].astype(np.int8).tobytes()], pa.binary()),
                     ],
-                    names=["x", "y"],
+                    names=["place", "sign", "x", "y"],
                 )
 
-    few = (
-        pages.where("html is not null")
-        .select("url", "html")
-        .orderBy(F.xxhash64("url"), "url", F.xxhash64("html"))
-        .limit(most)
+    signed = pages.where("html is not null").select(
+        F.xxhash64("url").alias("place"), F.xxhash64("html").alias("sign"), F.col("html").cast("string")
+    )
+    chosen = signed.select("place", "sign").distinct().orderBy("place", "sign").limit(most)
+    learnt = (
+        signed.join(F.broadcast(chosen), ["place", "sign"], "left_semi")  # `most` rows of two numbers
+        .mapInArrow(prepare, "place long, sign long, x binary, y binary")
+        .groupBy("place", "sign")  # copies of a page count once
+        .agg(F.min("x").alias("x"), F.min("y").alias("y"))
     )
-    rows = sorted(few.mapInArrow(prepare, "x binary, y binary").collect())
+    rows = sorted(learnt.select("x", "y").collect())
     x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(-1, FEATURES)
     y = np.frombuffer(b"".join(r["y"] for r in rows), dtype=np.int8).astype(np.float64)
     uses = [x]
