@@ -49,7 +49,7 @@ def repository() -> Column:
 
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents, their values classified by how many owners hold them."""
+    """Secrets of all documents, their values classified by the owners and repositories that hold them."""
     found = secrets.report(table(spark, sf_dir, "documents"), owner(), repository())
     base = F.transform(
         "findings", lambda s: F.struct(s["start"], s["order"], s["end"], s["kind"])
@@ -199,7 +199,8 @@ _ASSIGN = (
 def _matches(order: int, kind: str, pattern: str, least: int) -> str:
     return f"""
 SELECT rid, {order} AS ord, '{kind}' AS kind, {least} AS least,
-       unnest(range(len(m))) AS i, unnest(m) AS match, unnest(v) AS value, unnest(g[1:len(m)]) AS gap
+       unnest(range(len(m))) AS i, unnest(m) AS match, unnest(v) AS value, unnest(g[1:len(m)]) AS gap,
+       unnest(g[2:len(m) + 1]) AS after
 FROM (SELECT rid, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', 1) AS v,
              string_split_regex(t, '{pattern}') AS g FROM d)"""
 
@@ -220,15 +221,22 @@ placed AS (
   SELECT *, CAST(sum(length(gap) + length(match)) OVER (PARTITION BY rid, ord ORDER BY i) AS BIGINT) AS stop FROM raw
 ),
 base AS MATERIALIZED (
-  SELECT rid, ord, kind, value, stop - length(match) AS start, stop, stop - length(value) AS value_start
+  SELECT rid, ord, kind, value, stop - length(match) AS start, stop, stop - length(value) AS value_start,
+    right(gap, 32) AS ahead, left(after, 32) AS behind
   FROM placed WHERE length(value) >= least
 ),
+places AS (
+  SELECT value, source, lang FROM base JOIN d USING (rid)
+  QUALIFY row_number() OVER (PARTITION BY value, ahead, behind ORDER BY source NULLS FIRST, lang NULLS FIRST) = 1
+),
 held AS (
-  SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM base JOIN d USING (rid) GROUP BY value
+  SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners,
+    count(DISTINCT coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1))) AS repositories
+  FROM places GROUP BY value
 ),
 classed AS (
   SELECT DISTINCT rid, value_start AS start, stop, value,
-    CASE WHEN owners >= 3 THEN 'example'
+    CASE WHEN owners >= 3 OR owners >= 2 AND repositories >= 6 THEN 'example'
          WHEN len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
               AND regexp_matches(value, '[A-Za-z]')
               AND NOT regexp_matches(value, '(?i)example|changeme|placeholder|your|dummy|sample|xxxx|test')

@@ -1,10 +1,12 @@
 """Secret scans with corpus-wide ownership: who holds a candidate, and how widely it is copied.
 
 Spans come from SQL regular expressions: the parts between matches and the matches themselves
-give their positions. Each candidate value is hashed, and the hashes are counted over distinct
-owners and repositories in three aggregates that combine map-side, so that neither a common value
-nor a large owner meets in one task as rows. A value in `EXAMPLE_OWNERS` or more owners is a
-widely copied example; any other that looks like a real credential is live; the rest is weak.
+give their positions. Each candidate value is hashed. Places of a value with equal surroundings are
+copies of one another and count for one owner, so that copying a text makes nothing an example; over
+these, owners and repositories are counted in aggregates that combine map-side, so that neither a
+common value nor a large owner meets in one task as rows. A value in `EXAMPLE_OWNERS` or more owners,
+or in `EXAMPLE_REPOSITORIES` or more repositories of at least two owners, is a widely copied example;
+any other that looks like a real credential is live; the rest is weak.
 Everything here is DataFrame functions.
 """
 
@@ -30,6 +32,8 @@ _CANDIDATE = (
 )
 #: Distinct owners from which a value counts as a widely copied example.
 EXAMPLE_OWNERS = 3
+#: Distinct repositories from which it does if two owners share them; one owner's are its own affair.
+EXAMPLE_REPOSITORIES = 6
 CLASSES = ("live", "example", "weak")
 REDACTED = "[REDACTED]"
 
@@ -148,23 +152,17 @@ def scan(docs: DataFrame, keep: list[str], owner: Column, repository: Column) ->
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """secret, n_owners, n_repositories, n_rows of each hashed value; a null owner is one owner."""
-    return _counted(scanned.select("owner", "repository", F.explode("findings").alias("f")))
+    """secret, n_owners, n_repositories, n_rows of each hashed value; a null owner is one owner.
 
-
-def ownership_by_place(scanned: DataFrame) -> DataFrame:
-    """As ownership, but places of a value with equal surroundings are copies and have one owner."""
+    Places with equal surroundings are copies: all count for the smallest owner among them.
+    """
     each = scanned.select("owner", "repository", F.explode("findings").alias("f"))
     places = each.groupBy(F.col("f.secret").alias("secret"), F.col("f.place").alias("place")).agg(
-        F.min(F.struct("owner", "repository")).alias("first")
-    )
-    return _counted(places.select("first.owner", "first.repository", F.struct("secret").alias("f")))
-
-
-def _counted(each: DataFrame) -> DataFrame:
-    repositories = each.groupBy(F.col("f.secret").alias("secret"), "owner", "repository").agg(
-        F.count("*").alias("n")
+        F.min(F.struct("owner", "repository")).alias("first"), F.count("*").alias("n")
     )
+    repositories = places.groupBy(
+        "secret", F.col("first.owner").alias("owner"), F.col("first.repository").alias("repository")
+    ).agg(F.sum("n").alias("n"))
     owners = repositories.groupBy("secret", "owner").agg(
         F.count("*").alias("repositories"), F.sum("n").alias("n")
     )
@@ -178,12 +176,12 @@ def _counted(each: DataFrame) -> DataFrame:
 def classified(scanned: DataFrame, for_redaction: bool = False) -> DataFrame:
     """row, found: the classified values of each row that has any, with class and owners.
 
-    For redaction an example needs its owners and repositories in places that differ, and is_secret
-    says what is live.
+    For redaction is_secret says what is live.
     """
-    known = ownership_by_place(scanned) if for_redaction else ownership(scanned)
+    known = ownership(scanned)
     live = F.col("f.likely") | F.col("f.lively") if for_redaction else F.col("f.lively")
-    wide = F.least("n_owners", "n_repositories") >= EXAMPLE_OWNERS
+    forked = (F.col("n_repositories") >= EXAMPLE_REPOSITORIES) & (F.col("n_owners") >= 2)
+    wide = (F.col("n_owners") >= EXAMPLE_OWNERS) | forked
     each = scanned.select("row", F.explode("findings").alias("f")).withColumn("secret", F.col("f.secret"))
     group = (
         F.when(wide, "example")
@@ -204,8 +202,9 @@ def classified(scanned: DataFrame, for_redaction: bool = False) -> DataFrame:
 def report(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """One row per row of docs: doc_id, findings (base spans) and found (classified values).
 
-    A null text counts as empty and has neither. Repeated rows are each reported and count as
-    one owner if their owner is the same. Other columns of docs are ignored.
+    A null text counts as empty and has neither; an empty table gives no rows. Repeated rows and
+    copies are each reported and count as one owner. Texts of any length are read whole. Other
+    columns of docs are ignored, whatever their names.
     """
     source = docs.select("doc_id", "text", owner.alias("__owner"), repository.alias("__repository"))
     scanned, _ = written(
