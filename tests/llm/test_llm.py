@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 import time
@@ -390,7 +391,7 @@ def test_names_without_title_follow_the_titled_ones(spark):
     assert m and m[2] == m[3] == m[7] and m[4] == m[2].upper() and m[1] == m[5] == m[6]
     assert m[1] != "Anna" and m[2] != "Kowalski" and found[1]["n_replaced"] == 7
     assert found[2]["text"].startswith("Kowalski, Anna. Call ") and found[2]["n_replaced"] == 1
-    m = re.fullmatch(r"(\w+)'s first, then Mr\. (\w+)’s; (\w+) again, said Mrs\. (\w+)\. (\w+)", found[3]["text"])
+    m = re.fullmatch(r"(\w+)'s first, then Mr\. (\w+-\w+)’s; (\w+) again, said Mrs\. (\w+)\. (\w+-\w+)", found[3]["text"])
     assert m and m[1] == m[3] == m[4] and m[2] == m[5] and found[3]["n_replaced"] == 5
 
 
@@ -413,6 +414,75 @@ def test_surrogates_keep_their_format_in_full_spaces(spark, monkeypatch):
     assert all(re.fullmatch(shape[r["kind"]], r["surrogate"]) for r in rows)
 
 
+def spelled(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def with_check_digits(country, body):
+    return f"{country}{98 - spelled(country + '00' + body):02}{body}"
+
+
+def test_gender_country_and_form_of_surrogates(spark):
+    rows = [
+        (1, "Dr. Anna Kowalski and Mrs. Anna Kowalski; Prof. Anna Berg, Dr Kim Lee, Mr Andrea Rossi, Frau Andrea Rossi, Dr Andrea Rossi"),
+        (2, "+1 337 555 7349 and +44 337 555 7349 or 337 555 7349"),
+        (3, "+1 337 555 7349 is 337-555-7349"),
+        (4, "only 212 555 0000 here"),
+        (5, "from abroad +49 212 555 0000"),
+        (6, "Frau Müller-Lüdenscheidt, MRS"),
+        (7, "2001:db8::1, 2001:0DB8:0:0:0:0:0:1, fe80::a1:2 at 12:30:45 in std::vec, a::b, ::1 1:2:3:4:5:6:7:8:9 2001:db8::2."),
+        (8, f"{with_check_digits('DE', '370400440532013000')} and DE00370400440532013000"),
+    ]
+    found = by_id(pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    text = {i: found[i]["text"] for i, _ in rows}
+    m = re.fullmatch(
+        r"Dr\. (\w+na) (\w+) and Mrs\. (\w+) (\w+); Prof\. (\w+) (\w+), Dr (\w+) (\w+), "
+        r"Mr (\w+n) (\w+), Frau (\w+na) (\w+), Dr (\w+) (\w+)",
+        text[1],
+    )
+    assert m and m[1] == m[3] == m[5] and m[2] == m[4] != m[6] and m[10] == m[12] == m[14]
+    assert len({m[9], m[11], m[13]}) == 3  # both genders are stated, so the neutral title keeps its own
+    m = re.fullmatch(r"\+1 ([\d ]+) and \+44 ([\d ]+) or ([\d ]+)", text[2])
+    assert m and len({m[1], m[2], m[3], "337 555 7349"}) == 4
+    n = re.fullmatch(r"\+1 ([\d ]+) is ([\d-]+)", text[3])
+    assert n and n[1] == m[1] == n[2].replace("-", " ")
+    assert text[4][5:17] == text[5][-12:] != "212 555 0000" and text[5].startswith("from abroad +49 ")
+    assert re.fullmatch(r"Frau [A-Z][a-z]+-[A-Z][a-z]+, MRS", text[6]) and "Lüd" not in text[6]
+    m = re.fullmatch(
+        r"(2001:[0-9a-f]{1,4}::[0-9a-f]{1,4}), (2001:[0-9A-F:]+), (fe80::[0-9a-f]+:[0-9a-f]+) at 12:30:45 in std::vec, a::b, ::1 "
+        r"1:2:3:4:5:6:7:8:9 (2001:[0-9a-f]+::[0-9a-f]+)\.",
+        text[7],
+    )
+    assert m and m[1] != m[4] and "db8" not in text[7].lower()
+    assert ipaddress.ip_address(m[1]) == ipaddress.ip_address(m[2]) and m[2].count(":") == 7
+    a, b = re.findall(r"DE\d{20}", text[8])
+    assert spelled(a) == 1 != spelled(b) and a[4:] != "370400440532013000"
+
+
+def test_planted_entities_keep_apart_and_together(spark):
+    rng = random.Random(7)
+    given, sur = ["Anna", "Berta", "Carl", "Dora", "Emil"], ["Berg", "Cole", "Diaz-Ruiz", "Eck", "Fink"]
+    phones = [f"+{rng.choice((1, 44, 49))} {rng.randint(200, 999)} 555 {rng.randint(0, 29):04}" for _ in range(40)]
+    accounts = [with_check_digits("DE", f"{rng.randrange(10**18):018}") for _ in range(40)]
+    addresses = [f"fe80::{rng.randint(1, 65535):x}" for _ in range(40)]
+    title = {"Anna": "Mrs", "Berta": "Frau", "Carl": "Mr", "Dora": "Miss", "Emil": "Herr"}
+    rows, said = [], []
+    for i in range(400):
+        g, s = rng.choice(given), rng.choice(sur)
+        said.append((g, s, rng.choice(phones), rng.choice(accounts), rng.choice(addresses)))
+        t = "Dr" if i % 3 else title[g]
+        rows.append((i, "{} {} {} rang {} for {} from {}.".format(t, *said[-1])))
+    rng.shuffle(rows)
+    found = by_id(pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    shape = re.compile(r"\w+ ([A-Z]\w+) ([A-Z][\w-]+) rang (\+\d+ \d+ 555 \d+|\+[\d ]+) for (DE\d+) from (fe80::[0-9a-f]+)\.")
+    for part in range(5):
+        there, back = {}, {}
+        for i, originals in enumerate(said):
+            new, old = shape.fullmatch(found[i]["text"])[part + 1], originals[part]
+            assert there.setdefault(old, new) == new and back.setdefault(new, old) == old
+        assert not set(there) & set(back)
+
+
 def test_account_numbers_of_every_length(spark):
     rows = []
     for n in range(15, 35):

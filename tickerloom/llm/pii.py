@@ -4,8 +4,11 @@ Each mention is split into components: an address, a number, or the given name a
 follow a title. A component's surrogate depends on the key, its kind and its normalised value
 alone, so that one entity has one surrogate in the whole corpus, also when only its surname is
 mentioned, or its number is written in another format. A name that a title introduces is
-also replaced where its words return in that text without one. Kinds carry gender (from the title) and
-script; the surrogate is drawn in that script and gender and shown in the format of the mention.
+also replaced where its words return in that text without one. Kinds carry gender and script; the
+surrogate is drawn in that script and gender and shown in the format of the mention. A title such as
+"Dr." states no gender: the one that other titles of the corpus give the person, or else the given
+name, is taken if it is the only one. A number without its country is that of the one country which
+its text, or else the corpus, gives it.
 
 Distinct components are few and narrow. Their surrogates are checked against each other and
 against all originals; those that clash are drawn again, and the check is repeated until none do.
@@ -36,6 +39,11 @@ _EMAIL = (
     r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 )
 _IP = rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
+#: Eight groups, or fewer around a double colon, with a digit among them.
+_IP6 = (
+    r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?!(?:[0-9A-Fa-f]*:){8})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])"
+)
 #: 15 to 34 characters, the last group of four cut where the number ends.
 _IBAN = (
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){7} ?[A-Z0-9]{1,2}"
@@ -61,6 +69,7 @@ _WORD = rf"(?<![\p{{L}}\p{{N}}]){_NAME_WORD}(?!\p{{L}})"
 PATTERNS = (
     ("email", _EMAIL),
     ("ip", _IP),
+    ("ip6", _IP6),
     ("iban", _IBAN),
     ("social", _SOCIAL),
     ("card", _CARD),
@@ -69,7 +78,7 @@ PATTERNS = (
 )
 ANY = "|".join(p for _, p in PATTERNS)
 #: A cheap sign that a text may hold a mention.
-_HINT = rf"@|[0-9][0-9 ().+-]{{5,}}[0-9]|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? \p{{Lu}}"
+_HINT = rf"@|[0-9A-Fa-f]:[0-9A-Fa-f]{{0,4}}:|[0-9][0-9 ().+-]{{5,}}[0-9]|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? \p{{Lu}}"
 _TITLE = rf"^(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? "
 
 
@@ -94,8 +103,15 @@ def _gender(title: Column) -> Column:
     )
 
 
-def _component(before: Column, kind: Column, raw: Column) -> Column:
-    return F.struct(before.alias("before"), kind.alias("kind"), raw.alias("raw"))
+def _nobody() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _component(before: Column, kind: Column, raw: Column, person: Column | None = None) -> Column:
+    person = _nobody() if person is None else person
+    return F.struct(
+        before.alias("before"), kind.alias("kind"), raw.alias("raw"), person.alias("person")
+    )
 
 
 def _components(gap: Column, mention: Column) -> Column:
@@ -111,7 +127,7 @@ def _components(gap: Column, mention: Column) -> Column:
             F.size(words) == 1, F.array(_component(F.concat(gap, title), of_surname, surname))
         ).otherwise(
             F.array(
-                _component(F.concat(gap, title), of_given, given),
+                _component(F.concat(gap, title), of_given, given, F.lower(F.concat_ws(" ", given, surname))),
                 _component(F.lit(" "), of_surname, surname),
             )
         )
@@ -130,15 +146,36 @@ def normalised(kind: Column, raw: Column) -> Column:
     digits = F.regexp_replace(raw, "[^0-9]", "")
     return (
         F.when(kind.isin("card", "social"), digits)
-        .when(kind == "phone", F.right(digits, F.lit(10)))
+        .when(
+            kind == "phone",
+            F.when(raw.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(F.right(digits, F.lit(10))),
+        )
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind == "ip", raw)
+        .when(kind == "ip6", F.array_join(_groups(raw), ":"))
         .otherwise(F.lower(raw))
     )
 
 
+def _groups(raw: Column) -> Column:
+    """The eight groups of an address, lower case and without leading zeros."""
+
+    def stated(part: Column) -> Column:
+        groups = F.transform(F.split(part, ":"), lambda g: F.regexp_replace(g, "^0+(?=.)", F.lit("")))
+        return F.filter(groups, lambda g: g != "")
+
+    before, after = (stated(F.split_part(F.lower(raw), F.lit("::"), F.lit(i))) for i in (1, 2))
+    left = F.greatest(8 - F.size(before) - F.size(after), F.lit(0))
+    return F.concat(before, F.array_repeat(F.lit("0"), left), after)
+
+
+def _body(kind: Column, value: Column) -> Column:
+    """What the surrogate of a value stands for: the country code of a number stays as it is."""
+    return F.when(kind == "phone", F.right(F.replace(value, F.lit("+")), F.lit(10))).otherwise(value)
+
+
 def mentions(text: Column) -> Column:
-    """Struct of components (before, kind, raw, value) in order, and tail: the text after them."""
+    """Struct of components (before, kind, raw, value, person) in order, and tail: the text after them."""
 
     def with_value(c: Column) -> Column:
         return F.struct(
@@ -146,6 +183,7 @@ def mentions(text: Column) -> Column:
             c["kind"].alias("kind"),
             c["raw"].alias("raw"),
             normalised(c["kind"], c["raw"]).alias("value"),
+            c["person"].alias("person"),
         )
 
     def both(found: Column) -> Column:
@@ -183,6 +221,7 @@ def with_words(found: Column) -> Column:
                         F.lit("word").alias("kind"),
                         raw.alias("raw"),
                         F.lower(raw).alias("value"),
+                        _nobody().alias("person"),
                     ),
                 ).alias("components"),
                 F.element_at(z["gaps"], -1).alias("tail"),
@@ -200,6 +239,7 @@ def with_words(found: Column) -> Column:
                         c["kind"].alias("kind"),
                         c["raw"].alias("raw"),
                         c["value"].alias("value"),
+                        c["person"].alias("person"),
                     )
                 ),
             ),
@@ -270,6 +310,40 @@ def _card(value: Column, seed: Column) -> Column:
     return F.concat(body, check.cast("string"))
 
 
+def _remainder(text: Column) -> Column:
+    """Of the number that the characters spell, letters as 10 to 35, modulo 97."""
+    points = F.transform(F.split(text, ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(
+        points, F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97
+    )
+
+
+def _iban(value: Column, seed: Column) -> Column:
+    """Country kept, the rest drawn; the check digits hold exactly where the original's do."""
+    country, body = F.substring(value, 1, 2), F.substring(value, 5, 40)
+
+    def checked(new: Column) -> Column:
+        wanted = _remainder(F.concat(body, F.substring(value, 1, 4)))
+        check = F.pmod(wanted - _remainder(F.concat(new, country, F.lit("00"))), F.lit(97))
+        check = check + F.when(check < 2, 97).otherwise(0)
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+    return let(_like(body, seed), checked)
+
+
+def _ip6(value: Column, seed: Column, draw: Column) -> Column:
+    """First group kept, the others drawn; groups of zeros stay so in the earlier draws."""
+    return F.array_join(
+        F.transform(
+            F.split(value, ":"),
+            lambda g, i: F.when((i == 0) | ((g == "0") & (draw < DRAWS // 2)), g).otherwise(
+                F.lower(F.hex(_number(seed, i) % 65535 + 1))
+            ),
+        ),
+        ":",
+    )
+
+
 def _ip(value: Column, seed: Column, draw: Column) -> Column:
     """An address of the same network class: private and loopback prefixes stay.
 
@@ -290,15 +364,23 @@ def _ip(value: Column, seed: Column, draw: Column) -> Column:
 
 
 def _name(kind: Column, value: Column, seed: Column, draw: Column) -> Column:
-    """Syllables of the script, more in later draws; given names end as names of the gender do."""
+    """Syllables of the script, more in later draws; given names end as names of the gender do.
+
+    The parts of a hyphenated name are drawn one by one.
+    """
 
     def syllables(onsets: str, vowels: str) -> Column:
-        count = (F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.length(value) / 2)))).cast("int")
+        return F.array_join(
+            F.transform(F.split(value, "-"), lambda part, at: of_part(part, at * 100, onsets, vowels)), "-"
+        )
+
+    def of_part(part: Column, at: Column, onsets: str, vowels: str) -> Column:
+        count = (F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.length(part) / 2)))).cast("int")
         count = count + F.floor(draw / 3).cast("int")
         return F.array_join(
             F.transform(
                 F.sequence(F.lit(0), count - 1),
-                lambda i: F.concat(_pick(seed, i * 2, onsets), _pick(seed, i * 2 + 1, vowels)),
+                lambda i: F.concat(_pick(seed, at + i * 2, onsets), _pick(seed, at + i * 2 + 1, vowels)),
             ),
             "",
         )
@@ -330,8 +412,9 @@ def drawn(kind: Column, value: Column, draw: Column, key: str) -> Column:
         F.when(kind == "email", address)
         .when(kind == "card", _card(value, seed))
         .when(kind == "ip", _ip(value, seed, draw))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _like(F.substring(value, 3, 40), seed)))
-        .when(kind.isin("phone", "social"), _like(value, seed))
+        .when(kind == "ip6", _ip6(value, seed, draw))
+        .when(kind == "iban", _iban(value, seed))
+        .when(kind.isin("phone", "social"), _like(_body(kind, value), seed))
         .otherwise(_name(kind, value, seed, draw))
     )
     return F.when(draw < DRAWS, surrogate).otherwise(F.concat(F.lit("~"), F.substring(seed, 1, 24)))
@@ -343,7 +426,7 @@ def _by_rank(now: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     Numbers take free numbers of their length; addresses take reserved ones, 240.0.0.0 and up. Of
     as many values as are taken and asked for, enough are free, so no more are looked at.
     """
-    rank = F.when(F.col("kind") == "ip", 0).otherwise(F.length("value"))
+    rank = F.when(F.col("kind") == "ip", 0).otherwise(F.length(_body(F.col("kind"), F.col("value"))))
     full = (F.col("draw") >= DRAWS) & F.col("kind").isin("phone", "social", "ip")
     left = now.where(full).withColumn("shape", rank)
     groups = left.groupBy("kind", "shape").count().collect()
@@ -379,14 +462,15 @@ def _by_rank(now: DataFrame, taken: DataFrame, key: str) -> DataFrame:
 def surrogates(components: DataFrame, key: str) -> DataFrame:
     """kind, value, surrogate of each distinct component (kind, value).
 
-    Within a kind no two values share a surrogate, and none is an original of that kind.
+    Within a kind no two values share a surrogate, and none is an original of that kind. That of a
+    number has its last ten digits; given names of all genders count as one kind.
     """
     family = F.regexp_replace("kind", "_(f|m|n)_", "_")  # given names of any gender stay apart
     originals, _ = written(
         components.select("kind", "value").distinct().withColumn("family", family), "entities"
     )
     originals = originals.withColumn("draw", F.lit(0))
-    taken = originals.select("family", F.col("value").alias("surrogate")).distinct()
+    taken = originals.select("family", _body(F.col("kind"), F.col("value")).alias("surrogate")).distinct()
     current = originals
     while True:
         now = current.withColumn("surrogate", drawn(F.col("kind"), F.col("value"), F.col("draw"), key))
@@ -416,20 +500,63 @@ def shown(kind: Column, raw: Column, surrogate: Column) -> Column:
 
     in_place = F.array_join(F.transform(F.split(raw, ""), aligned), "")
     upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
+    short = F.when(
+        raw.contains("::"),
+        F.regexp_replace(surrogate, "^(.*?)(?:^|:)0(?::0)+(?::|$)(.*)$", F.lit("$1::$2")),
+    ).otherwise(surrogate)
     return (
         F.when(surrogate.startswith("~"), F.substring(surrogate, 2, 24))
         .when(kind.isin("card", "social", "phone", "iban"), in_place)
+        .when(kind == "ip6", F.when(upper, F.upper(short)).otherwise(short))
         .when(upper & (F.length(raw) > 1), F.upper(surrogate))
         .when(kind.isin("email", "ip"), surrogate)
-        .otherwise(F.initcap(surrogate))
+        .otherwise(F.array_join(F.transform(F.split(surrogate, "-"), F.initcap), "-"))
+    )
+
+
+def _only(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """The keys whose rows agree on a value, and that value; nulls do not count."""
+    both = rows.groupBy(*keys).agg(F.min(value).alias(name), F.max(value).alias("__last"))
+    return both.where(F.col(name) == F.col("__last")).drop("__last")
+
+
+def resolved(titled: DataFrame) -> DataFrame:
+    """titled, with the gender of neutral titles and the country of bare numbers where they are known.
+
+    Only rows that leave something open are joined, with aggregates that combine map-side.
+    """
+    kind, value = F.col("kind"), F.col("value")
+    open_name, open_number = kind.startswith("given_n_"), (kind == "phone") & ~value.startswith("+")
+    stated = titled.where(kind.startswith("given_") & ~open_name)
+    gender = F.substring("kind", 7, 1)
+    names = (
+        titled.where(open_name)
+        .join(_only(stated, ["person"], gender, "of_person"), "person", "left")
+        .join(_only(stated, ["value"], gender, "of_name"), "value", "left")
+        .withColumn(
+            "kind",
+            F.concat(F.lit("given_"), F.coalesce("of_person", "of_name", F.lit("n")), F.substring("kind", 8, 40)),
+        )
+    )
+    full = titled.where((kind == "phone") & value.startswith("+")).select(
+        "row", F.col("value").alias("number"), _body(kind, value).alias("value")
+    )
+    numbers = (
+        titled.where(open_number)
+        .join(_only(full, ["row", "value"], F.col("number"), "in_text"), ["row", "value"], "left")
+        .join(_only(full, ["value"], F.col("number"), "anywhere"), "value", "left")
+        .withColumn("value", F.coalesce("in_text", "anywhere", "value"))
     )
+    rest = titled.where(~open_name & ~open_number)
+    return rest.unionByName(names.select(titled.columns)).unionByName(numbers.select(titled.columns))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates, and the number of components replaced, for each row of docs.
 
-    A null text stays null and an empty one empty. Rows without mentions keep their text. Other
-    columns of docs are ignored; repeated rows give repeated results.
+    A null text stays null and an empty one empty; an empty table gives no rows. Rows without
+    mentions keep their text. Texts of any length are read whole. Other columns of docs are ignored,
+    whatever their names; repeated rows give repeated results.
     """
     check_columns(docs, ("doc_id", "text"))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -443,12 +570,13 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         "mentions",
     )
     each = found.select("row", F.posexplode("m.components").alias("at", "c")).select(
-        "row", "at", F.col("c.kind").alias("kind"), F.col("c.value").alias("value"), F.col("c.raw").alias("raw")
+        "row", "at", *(F.col(f"c.{name}").alias(name) for name in ("kind", "value", "raw", "person"))
     )
-    titled = each.where(F.col("kind") != "word")
+    titled, _ = written(each.where(F.col("kind") != "word"), "titled")
+    titled, _ = written(resolved(titled).drop("person"), "resolved")
     # A word of the text that repeats a name found in it is that name.
     names = titled.where(_is_name(F.col("kind"))).groupBy("row", "value").agg(F.min("kind").alias("kind"))
-    words = each.where(F.col("kind") == "word").drop("kind").join(names, ["row", "value"], "left")
+    words = each.where(F.col("kind") == "word").drop("kind", "person").join(names, ["row", "value"], "left")
     mapped = titled.unionByName(words).join(surrogates(titled, key), ["kind", "value"], "left")
     mapped = mapped.select(
         "row",
