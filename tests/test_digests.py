@@ -78,3 +78,23 @@ def test_only_rows_of_differing_nodes_are_compared(spark):
     assert {r["only_in"]: r["rows"] for r in vf.regeneration({"m": other}, {"m": table}).collect()} == {"left": 5000, "right": 5000}
     assert vf.regeneration({"m": table}, {"m": table}).isEmpty()
     assert frame_difference(table, table).isEmpty()
+
+
+def test_each_step_of_a_digest_is_computed_once_per_row(spark):
+    frame = spark.range(9).select(F.col("id").cast("double").alias("x"), F.sqrt("id").alias("y.z"), F.array(F.lit(date(2024, 1, 2))).alias("l"))
+    plan = dg.content_digest(frame)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("log2(") == 2 and plan.count("md5(") == 1 and plan.count("power(") + plan.count("pow(") == 8
+
+
+def test_nulls_inside_nested_values_keep_their_mark(spark):
+    rows = [(None, None, None), ([None, date(2024, 1, 2)], (None, None), [1.5, None]), ([], (0.1, ""), [math.inf])]
+    frame = spark.createDataFrame(rows, "l array<date>, s struct<x: double, t: string>, xs array<double>")
+    kinds = [f.dataType for f in frame.schema]
+    texts = frame.select(*[dg.framed(dg.value_text(F.col(c), k)).alias(c) for c, k in zip(frame.columns, kinds, strict=True)]).collect()
+    half = f"{len(plain_double(1.5))}:{plain_double(1.5)}"
+    tenth = f"{len(plain_double(0.1))}:{plain_double(0.1)}0:"
+    assert [tuple(r) for r in texts] == [
+        ("n", "n", "n"),
+        ("14:n10:2024-01-02", "2:nn", f"{len(half) + 1}:{half}n"),
+        ("0:", f"{len(tenth)}:{tenth}", "5:3:inf"),
+    ]
