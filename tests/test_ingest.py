@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import AT
 from tickerloom.operators import batches as bt
+from tickerloom.operators import vintages as vt
 from tickerloom.plans.jobs import land_prices, land_shares
 from tickerloom.schemas import ContractError
 from tickerloom.sources import payloads as pl
@@ -157,6 +158,19 @@ def test_status_violations(spark):
     assert rules(statuses, expected=extra) == {"status_missing"}
 
 
+def test_claimed_dates_are_never_broadcast(spark):
+    """A list is taken for one date when sizes are estimated, so its dates must not be sent to every task."""
+    day, later_day = date(2024, 1, 2), date(2024, 1, 3)
+    prices = spark.createDataFrame([("A", day, 1.0), ("A", later_day, 2.0), ("B", day, 3.0)], "ticker string, date date, close double")
+    statuses = spark.createDataFrame(
+        [("A", "success", [day], day, date(2024, 2, 1)), ("B", "failed", [], day, later_day)],
+        "ticker string, status string, returned_dates array<date>, query_start date, query_end date",
+    )
+    for found, wanted in ((bt.acquisition_view(prices, statuses), [1.0]), (vt.vanished_rows(prices.select("ticker", "date"), statuses), [later_day])):
+        assert [r[-1] for r in found.collect()] == wanted
+        assert "SortMergeJoin [ticker" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def shares(symbol="AAA", stamps=STAMPS, values=(5, None), **more):
     result = {"meta": {"symbol": [symbol]}, "timestamp": list(stamps)}
     if values is not None:
