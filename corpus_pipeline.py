@@ -27,7 +27,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that five-word similarities of 0.8 or more connect."""
+    """Keeps one document of each group that five-word similarities of 0.8 or more connect.
+
+    SimHash links are taken first and compared exactly; MinHash finds the similar pairs beyond its radius.
+    """
     return minhash.deduplicated(docs)
 
 

@@ -334,6 +334,23 @@ def test_similar_texts_against_brute_force(spark, docs, none):
     assert minhash.deduplicated(none).isEmpty() and minhash.deduplicated(docs).columns == docs.columns
 
 
+def test_near_duplicates_come_by_simhash_first(spark, monkeypatch):
+    """Where no text shares a MinHash key, what op8 links is still found, and only where it is similar."""
+    r = random.Random(4)
+    original = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    copy = original[:399] + ["changed"]
+    rows = [(1, " ".join(original)), (2, " ".join(copy)), (3, " ".join(original[:200])), (4, "one"), (5, "")]
+    near = [(i, minhash.fingerprint(t)) for i, t in rows]
+    assert (near[0][1] ^ near[1][1]).bit_count() <= simhash.RADIUS
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    nodes = spark.createDataFrame([(i, len(minhash.shingle_set(t)), [], [0] * minhash.WORDS, (minhash.fingerprint(t) + 2**63) % 2**64 - 2**63) for i, t in rows], "node long, size long, keys array<long>, bits array<long>, fp long")
+    labels, _ = minhash.links(nodes, frame.select(F.col("doc_id").alias("node"), "text"))
+    assert {tuple(r) for r in labels.where("node <> label").collect()} == {(2, 1)}
+    # Equal fingerprints alone link nothing: the sets decide.
+    labels, _ = minhash.links(nodes.withColumn("fp", F.lit(7).cast("long")), frame.select(F.col("doc_id").alias("node"), "text"))
+    assert {tuple(r) for r in labels.where("node <> label").collect()} == {(2, 1)}
+
+
 # ---------------------------------------------------------------- personal data and secrets
 
 

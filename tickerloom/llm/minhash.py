@@ -1,4 +1,7 @@
-"""Near-duplicates by similarity of shingle sets: MinHash, prefix filter, exact comparisons.
+"""Near-duplicates: SimHash links, MinHash and prefix filter for the rest, exact comparisons.
+
+SimHash comes first: the texts that op8's fingerprints link are compared by their whole sets of shingles
+and connected where these are similar. Its radius is narrow, so more pairs follow.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
 `BANDS` keys of `ROWS` minima each choose the texts that can have a partner: a pair at exactly 0.8
@@ -9,7 +12,7 @@ prefixes are indexed, and a passage that many texts share hardly ever reaches th
 places or parities rule the similarity out is no candidate; every candidate pair is compared by its
 whole sets.
 
-Equal sets are one node, and pairs that are connected already need no comparison: in each of a few
+Equal sets are one node, and pairs that are connected already, by SimHash first, need no comparison: in each of a few
 turns a text meets one leader, and components found so far are contracted. What is still apart then
 meets in pairs of the index.
 """
@@ -27,7 +30,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from tickerloom.llm.common import discard, settled, whole_text, workers_import
 from tickerloom.llm.components import labelled
-from tickerloom.llm.simhash import shingle_hashes
+from tickerloom.llm.simhash import fingerprint, shingle_hashes
+from tickerloom.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -71,18 +75,20 @@ def parities(hashes: np.ndarray) -> list[int]:
 
 
 def _signed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns, and digest, size, keys and parities of the shingle set of each row's `text`."""
+    """The kept columns, digest, size, keys and parities of the shingle set of each row's `text`, and its SimHash."""
     schema = docs.select(*keep).schema.add("digest", "binary").add("size", "long")
-    schema = schema.add("keys", ArrayType(LongType())).add("bits", ArrayType(LongType()))
+    schema = schema.add("keys", ArrayType(LongType())).add("bits", ArrayType(LongType())).add("fp", "long")
     names = schema.names
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                digests, sizes, found, bits = [], [], [], []
+                digests, sizes, found, bits, fps = [], [], [], [], []
                 for t in part.columns[-1]:
-                    hashes = shingle_set(t.as_py())
+                    text = t.as_py()
+                    hashes = shingle_set(text)
+                    fps.append(fingerprint(text))
                     digests.append(xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
                     sizes.append(len(hashes))
                     found.append(keys(hashes))
@@ -92,6 +98,7 @@ def _signed(docs: DataFrame, keep: list[str]) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array(found, pa.list_(pa.int64())),
                     pa.array(bits, pa.list_(pa.int64())),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=names)
 
@@ -192,22 +199,42 @@ class _Components:
         self.labels, self.folder = labels, folder
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that connect them as the links of their fingerprints (node, fp) do.
+
+    Nodes with one fingerprint meet its smallest node only, and these meet along op8's links.
+    """
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    copies = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    edges = fingerprint_links(firsts.select("fp")).withColumnsRenamed({"u": "fp", "v": "other_fp"})
+    others = firsts.withColumnsRenamed({"fp": "other_fp", "first": "other"})
+    between = edges.join(firsts, "fp").join(others, "other_fp").where("first <> other")
+    return copies.unionByName(between.select(F.least("first", "other").alias("u"), F.greatest("first", "other").alias("v"))).distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, str | None]:
     """node, label of the nodes that similar pairs connect, and the folder that holds them.
 
-    nodes has node, size, keys and bits, texts node and text. A node without similar others has no row, or
+    nodes has node, size, keys, bits and fp, texts node and text. A node without similar others has no row, or
     its own label.
     """
     spark = nodes.sparkSession
     found = _Components(spark)
+    near, near_folder = settled(_simhash_pairs(nodes.select("node", "fp")), "near")
     each = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = each.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    partnered = each.join(shared.select("band", "key"), ["band", "key"], "left_semi").select("node").distinct()
+    partnered = each.join(shared.select("band", "key"), ["band", "key"], "left_semi").select("node")
+    partnered = partnered.unionByName(near.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     chosen, chosen_folder = settled(nodes.select("node", "size", "bits").join(partnered, "node", "left_semi"), "chosen")
     if chosen.isEmpty():
-        discard(spark, chosen_folder)
+        for folder in (near_folder, chosen_folder):
+            discard(spark, folder)
         return found.labels, None
     held, held_folder = settled(texts.join(chosen, "node", "left_semi").select("node", "text"), "texts")
+    similar, similar_folder = settled(_similar(near, held), "similar")
+    found.link(similar)
+    for folder in (near_folder, similar_folder):
+        discard(spark, folder)
     prefixes, prefix_folder = _prefixes(held, chosen)
     discard(spark, chosen_folder)
     # The smaller set has four fifths of the larger one's entries at least.
@@ -264,7 +291,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("sha").alias("sha"))
     # Copies meet only in the aggregate.
     groups = signed.groupBy("digest").agg(
-        F.min(order).alias("best"), *(F.any_value(c).alias(c) for c in ("size", "keys", "bits"))
+        F.min(order).alias("best"), *(F.any_value(c).alias(c) for c in ("size", "keys", "bits")), F.min("fp").alias("fp")
     )
     nodes, nodes_folder = settled(groups.drop("digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
     chosen = nodes.select("node", F.col("best.sha").alias("sha"), F.col("best.doc").alias("at"))
