@@ -56,3 +56,14 @@ def test_tables_without_rows_or_key(spark, tmp_path):
     assert rules(spark, str(tmp_path / "none")) == set()
     od.write_sorted(table(spark).select("id"), str(tmp_path / "plain"))
     assert spark.read.parquet(str(tmp_path / "plain")).count() == 20_000
+
+
+def test_one_file_is_checked_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(od, "BLOCK", 1000)
+    rows = spark.range(5000).select(F.format_string("T%05d", "id").alias("ticker"), "id")
+    folder = str(tmp_path / "one")
+    rows.orderBy(F.desc("ticker")).coalesce(1).write.parquet(folder)
+    assert rules(spark, folder) == {("rows_out_of_order", 4999)}
+    ordered = str(tmp_path / "ordered")
+    rows.orderBy("ticker").coalesce(1).write.parquet(ordered)
+    assert rules(spark, ordered) == set()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,33 +14,46 @@ from tickerloom.operators.incremental import refresh_signals
 from tickerloom.operators.quality import row_violations
 from tickerloom.operators.signals import stored_signals
 from tickerloom.operators.spine import signal_bounds
-from tickerloom.operators.vintages import REJECTED, deduplicate, duplicate_conflicts, vintage_actions
+from tickerloom.operators.vintages import REJECTED, grouped_copies, vintage_actions
 from tickerloom.schemas import KEY
 from tickerloom.session import stored_in
 from tickerloom.sources import files
 from tickerloom.sources.store import CanonicalStore
 
 
-def split_vintage(store: CanonicalStore, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_vintage(store: CanonicalStore, rows: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows of a vintage that may be merged, and the others with the reason.
 
     Late arrivals show up as ``stale`` here: the revision rules are the late-data
-    policy, so the stream needs no watermark and keeps no state.
+    policy, so the stream needs no watermark and keeps no state. Copies are grouped
+    once and what is refused is found once; both are written, and `scratch` takes
+    their folders.
     """
+
+    def kept(df: DataFrame, purpose: str) -> DataFrame:
+        result, folder = stored_in(df, purpose)
+        scratch.append(folder)
+        return result
+
     broken = row_violations(rows, store.rules).groupBy(*KEY).agg(F.min(F.struct("priority", "rule"))["rule"].alias("reason"))
-    conflicts = duplicate_conflicts(rows, store.values).select(*KEY, F.lit("conflicting_duplicates").alias("reason"))
-    invalid = broken.join(conflicts.select(*KEY), list(KEY), "left_anti").unionByName(conflicts)
-    nullsafe = (F.col("r.ticker").eqNullSafe(F.col("b.ticker"))) & (F.col("r.date").eqNullSafe(F.col("b.date")))
-    clean = deduplicate(rows.alias("r").join(invalid.alias("b"), nullsafe, "left_anti"), store.values)
-    months = store._months(clean)
+    copies = kept(grouped_copies(rows, store.values), "copies")
+    conflicts = copies.where("in_conflict").select(*KEY, F.lit("conflicting_duplicates").alias("reason"))
+    invalid = kept(broken.join(conflicts.select(*KEY), list(KEY), "left_anti").unionByName(conflicts), "invalid")
+    agreed = copies.where(~F.col("in_conflict")).select(*rows.columns)
+    clean = agreed.alias("r").join(invalid.alias("b"), nullsafe_keys("r", "b"), "left_anti")
     if store.current() is None:
         return clean, invalid
+    months = store._months(clean)
     actions = vintage_actions(store.read(months), clean, store.values)
-    refused = actions.where(F.col("action").isin(*REJECTED)).select(*KEY, F.col("action").alias("reason"))
+    refused = kept(actions.where(F.col("action").isin(*REJECTED)).select(*KEY, F.col("action").alias("reason")), "refused")
     accepted = clean.join(refused.select(*KEY), list(KEY), "left_anti")
     return accepted, invalid.unionByName(refused)
 
 
+def nullsafe_keys(left: str, right: str) -> Column:
+    return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in KEY])
+
+
 def apply_vintage(store: CanonicalStore, quarantine: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: merge what the rules allow, quarantine the rest.
 
@@ -53,7 +68,7 @@ def apply_vintage(store: CanonicalStore, quarantine: str) -> Callable[[DataFrame
         try:
             if rows.isEmpty():
                 return
-            accepted, refused = split_vintage(store, rows)
+            accepted, refused = split_vintage(store, rows, folders)
             accepted, scratch = stored_in(accepted, "accepted")
             folders.append(scratch)
             refused.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
