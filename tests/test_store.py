@@ -13,6 +13,7 @@ from tickerloom.schemas import ContractError
 from tickerloom.session import shared_folder
 from tickerloom.sources import files
 from tickerloom.sources import payloads as pl
+from tickerloom.streaming import updates as up
 from tickerloom.streaming.updates import stream_updates
 
 DAYS = sessions(45)
@@ -225,3 +226,13 @@ def test_broken_stored_rows_stop_a_merge(spark, store):
     with pytest.raises(ContractError, match="stored rows break rule 'nonpositive_open'"):
         store.persist(vintage(spark, 1))
     assert store.entries() == [1]
+
+
+def test_copies_of_a_streamed_vintage_are_grouped_once(spark, store):
+    store.persist(vintage(spark))
+    folders = []
+    accepted, refused = up.split_vintage(store, vintage(spark, hours=5, factor=2.0), folders)
+    assert accepted.count() == len(DAYS) and refused.isEmpty()
+    # What is accepted is read from written copies and meets only what is refused.
+    assert "Aggregate" not in accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert len(folders) == 3 and all(files.exists(spark, f) for f in folders)
