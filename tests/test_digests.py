@@ -98,3 +98,17 @@ def test_nulls_inside_nested_values_keep_their_mark(spark):
         ("14:n10:2024-01-02", "2:nn", f"{len(half) + 1}:{half}n"),
         ("0:", f"{len(tenth)}:{tenth}", "5:3:inf"),
     ]
+
+
+def test_rows_are_compared_without_their_texts(spark):
+    rows = [(1, 0.0, None, None), (1, -0.0, None, None), (2, math.nan, [], "")]
+    schema = "k int, x double, l array<date>, s string"
+    day = date(1970, 1, 2)
+    odd = [(3, None, [None], "a"), (3, None, [day], "a"), (3, None, [day, None], "a"), (3, None, [None, day], "a"), (3, 1.0, None, "a")]
+    held, fresh = spark.createDataFrame(rows + odd, schema), spark.createDataFrame(rows[::-1], schema)
+    assert dg.differing_nodes(held.limit(3), fresh, ["k"]) is None
+    assert dg.row_hashes(held).distinct().count() == 2 + len(odd)
+    plan = dg.row_hashes(held)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "md5(" not in plan and plan.count("xxhash64(") == 2
+    assert {r["only_in"]: r["rows"] for r in dg.hash_difference(held, fresh).collect()} == {"left": len(odd)}
+    assert dg.hash_difference(fresh, fresh).isEmpty()
