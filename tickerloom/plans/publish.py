@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tickerloom.functions.digests import content_digest
 from tickerloom.plans.evaluate import Evaluation
 from tickerloom.plans.ordering import write_sorted
 from tickerloom.schemas import ARTIFACTS, ContractError
+from tickerloom.session import side_by_side
 from tickerloom.sources import files
 from tickerloom.sources.store import RUN_STAMP
 from tickerloom.sources.universe import universe_hash
@@ -124,15 +126,15 @@ def publish(
     final, staging = f"{root}/{run}", f"{root}/.{run}.tmp-{uuid.uuid4().hex}"
     if files.exists(spark, final):
         raise FileExistsError(final)
-    expected = {}
-    for name in ARTIFACTS:
-        frame = evaluation.frames[name]
-        write_sorted(frame, f"{staging}/{name}.parquet")
-        expected[name] = frame
+    expected = {name: evaluation.frames[name] for name in ARTIFACTS}
     claims = ticker_metadata(evaluation.universe, evaluation.frames["input_prices"], evaluation.statuses)
-    claims.write.parquet(f"{staging}/ticker_metadata.parquet")
-
-    source = {r["artifact"]: r.asDict() for r in manifest_rows(expected).collect()}
+    *_, digests = side_by_side(
+        spark,
+        *[partial(write_sorted, frame, f"{staging}/{name}.parquet") for name, frame in expected.items()],
+        partial(claims.write.parquet, f"{staging}/ticker_metadata.parquet"),
+        manifest_rows(expected).collect,
+    )
+    source = {r["artifact"]: r.asDict() for r in digests}
     manifest = manifest_head(evaluation, created_at, context) | {"artifacts": source}
     files.write_json(spark, f"{staging}/manifest.json", manifest)
     check_artifacts(spark, staging, manifest)
