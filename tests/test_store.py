@@ -236,3 +236,17 @@ def test_copies_of_a_streamed_vintage_are_grouped_once(spark, store):
     # What is accepted is read from written copies and meets only what is refused.
     assert "Aggregate" not in accepted._jdf.queryExecution().optimizedPlan().toString()
     assert len(folders) == 3 and all(files.exists(spark, f) for f in folders)
+
+
+def test_a_decided_vintage_is_written_without_joining_again(spark, store, monkeypatch):
+    store.persist(vintage(spark))
+    stale, fresh = vintage(spark, -1, 2.0, DAYS[:3]), vintage(spark, 5, 2.0, DAYS[3:5])
+    folders = []
+    decided, refused = up.decide_vintage(store, stale.unionByName(fresh), folders)
+    assert {r["reason"] for r in refused.collect()} == {"stale"} and refused.count() == 3
+    monkeypatch.setattr("tickerloom.sources.store.vintage_actions", None)
+    monkeypatch.setattr("tickerloom.sources.store.grouped_copies", None)
+    before = {r["date"]: r["adjusted_close"] for r in store.read().collect()}
+    assert store.persist_decided(decided).revised_rows == 2
+    held = {r["date"]: r["adjusted_close"] for r in store.read().collect()}
+    assert held == before | {r["date"]: r["adjusted_close"] for r in fresh.collect()}

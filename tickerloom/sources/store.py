@@ -19,6 +19,7 @@ from tickerloom.functions.numeric import exact_value
 from tickerloom.operators.batches import status_violations
 from tickerloom.operators.quality import Rule, require_none, row_violations
 from tickerloom.operators.vintages import (
+    REJECTED,
     grouped_copies,
     rejected,
     revision_summary,
@@ -26,7 +27,7 @@ from tickerloom.operators.vintages import (
     vintage_actions,
 )
 from tickerloom.schemas import KEY, ContractError, check_columns
-from tickerloom.session import stored_in
+from tickerloom.session import no_rows, stored_in
 from tickerloom.sources import files
 
 RUN_STAMP = "%Y%m%dT%H%M%S%fZ"
@@ -72,7 +73,7 @@ class CanonicalStore:
         wanted = [m for m in sorted(entry["months"]) if months is None or m in months]
         paths = [f"{self.root}/{entry['months'][m]}" for m in wanted]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def changes(self, after: int, until: int | None = None) -> DataFrame:
@@ -107,17 +108,20 @@ class CanonicalStore:
         )
         require_none(found, "stored rows")
 
+    def conformed(self, incoming: DataFrame) -> DataFrame:
+        """The columns of the table in its types; a value that a type cannot hold is an error."""
+        incoming = check_columns(incoming, self.schema)
+        given = incoming.schema
+        return incoming.withColumns(
+            {c: exact_value(F.col(c), given[c].dataType, self.schema[c].dataType, f"'{c}'") for c in self.values}
+        )
+
     def persist(
         self, incoming: DataFrame, statuses: DataFrame | None = None, snapshot_time: datetime | None = None
     ) -> Persisted:
         """Merge one incoming vintage under the revision rules, all of it or nothing."""
         # One pass over the input; all checks and the merge read the written copy.
-        incoming = check_columns(incoming, self.schema)
-        given = incoming.schema
-        incoming = incoming.withColumns(
-            {c: exact_value(F.col(c), given[c].dataType, self.schema[c].dataType, f"'{c}'") for c in self.values}
-        )
-        copies, scratch = stored_in(grouped_copies(incoming, self.values), "incoming")
+        copies, scratch = stored_in(grouped_copies(self.conformed(incoming), self.values), "incoming")
         try:
             return self._merge(copies, statuses, snapshot_time)
         finally:
@@ -139,16 +143,37 @@ class CanonicalStore:
             self.check_vanished(statuses)
 
         before = self.current()
-        existing = self.read(months) if before else self.spark.createDataFrame([], self.schema)
+        existing = self.read(months) if before else no_rows(self.spark, self.schema)
         if before:
             require_none(row_violations(existing, self.rules), "stored rows")
+        return self._commit(vintage_actions(existing, incoming, self.values), before, months, snapshot_time)
+
+    def persist_decided(self, decided: DataFrame) -> Persisted:
+        """Write a vintage whose rows are valid and whose actions are known, with the stored rows of its months.
+
+        What was refused stays as it is stored, as `vintage_actions` shows it. Nothing is joined again.
+        """
+        stays = F.col("action").isin("existing_only", *REJECTED)
+        months = self._months(decided.where(~stays))
+        if not months:
+            raise ContractError("no observations are available to persist")
+        before = self.current()
+        if before:
+            require_none(row_violations(self.read(months), self.rules), "stored rows")
+        actions = decided.where(F.date_format("date", MONTH).isin(months)).withColumn(
+            "action", F.when(stays, "existing_only").otherwise(F.col("action"))
+        )
+        return self._commit(actions, before, months, None)
+
+    def _commit(
+        self, actions: DataFrame, before: dict | None, months: list[str], snapshot_time: datetime | None
+    ) -> Persisted:
         number = (before["number"] if before else 0) + 1
         version = f"versions/{number:08d}"
         folder = f"{self.root}/{version}"
         if files.exists(self.spark, folder):
             # An update that died before its log entry; nothing refers to the folder.
             files.remove(self.spark, folder)
-        actions = vintage_actions(existing, incoming, self.values)
         # Rows meet by month, and adaptive execution splits a month beyond its advisory size
         # over several tasks and files, however many months an update touches.
         (
@@ -172,8 +197,7 @@ class CanonicalStore:
         if before and written.where(F.col("action").isin("new", "advance", "revise")).isEmpty():
             # A replayed vintage: the table already says all of it.
             files.remove(self.spark, folder)
-            none = self.spark.createDataFrame([], "ticker string, revised_rows bigint")
-            return Persisted(before["number"], 0, none, None)
+            return Persisted(before["number"], 0, revision_summary(no_rows(self.spark, written.schema)), None)
         revised = revision_summary(written)
         count = revised.agg(F.coalesce(F.sum("revised_rows"), F.lit(0))).first()[0]
         snapshot = self._snapshot_name(snapshot_time) if count else None

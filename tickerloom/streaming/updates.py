@@ -21,12 +21,12 @@ from tickerloom.sources import files
 from tickerloom.sources.store import CanonicalStore
 
 
-def split_vintage(store: CanonicalStore, rows: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows of a vintage that may be merged, and the others with the reason.
+def decide_vintage(store: CanonicalStore, rows: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a vintage does to the stored months it touches, as key, values and action, and refused rows with the reason.
 
     Late arrivals show up as ``stale`` here: the revision rules are the late-data
     policy, so the stream needs no watermark and keeps no state. Copies are grouped
-    once and what is refused is found once; both are written, and `scratch` takes
+    once and meet the stored rows once; both results are written, and `scratch` takes
     their folders.
     """
 
@@ -42,12 +42,23 @@ def split_vintage(store: CanonicalStore, rows: DataFrame, scratch: list[str]) ->
     agreed = copies.where(~F.col("in_conflict")).select(*rows.columns)
     clean = agreed.alias("r").join(invalid.alias("b"), nullsafe_keys("r", "b"), "left_anti")
     if store.current() is None:
-        return clean, invalid
+        return clean.withColumn("action", F.lit("new")), invalid
     months = store._months(clean)
     actions = vintage_actions(store.read(months), clean, store.values)
-    refused = kept(actions.where(F.col("action").isin(*REJECTED)).select(*KEY, F.col("action").alias("reason")), "refused")
-    accepted = clean.join(refused.select(*KEY), list(KEY), "left_anti")
-    return accepted, invalid.unionByName(refused)
+    decided = kept(actions.select(*rows.columns, "action"), "decided")
+    refused = decided.where(F.col("action").isin(*REJECTED)).select(*KEY, F.col("action").alias("reason"))
+    return decided, invalid.unionByName(refused)
+
+
+def taken(decided: DataFrame) -> DataFrame:
+    """The rows of a vintage that may be merged."""
+    return decided.where(~F.col("action").isin("existing_only", *REJECTED)).drop("action")
+
+
+def split_vintage(store: CanonicalStore, rows: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of a vintage that may be merged, and the others with the reason."""
+    decided, refused = decide_vintage(store, rows, scratch)
+    return taken(decided), refused
 
 
 def nullsafe_keys(left: str, right: str) -> Column:
@@ -63,19 +74,16 @@ def apply_vintage(store: CanonicalStore, quarantine: str) -> Callable[[DataFrame
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows, scratch = stored_in(batch, "batch")
-        folders = [scratch]
+        rows, folders = store.conformed(batch), []
         try:
             if rows.isEmpty():
                 return
-            accepted, refused = split_vintage(store, rows, folders)
-            accepted, scratch = stored_in(accepted, "accepted")
-            folders.append(scratch)
+            decided, refused = decide_vintage(store, rows, folders)
             refused.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
                 f"{quarantine}/batch={batch_id}"
             )
-            if not accepted.isEmpty():
-                store.persist(accepted)
+            if not taken(decided).isEmpty():
+                store.persist_decided(decided)
         finally:
             for folder in folders:
                 files.remove(spark, folder)
