@@ -1,4 +1,5 @@
 import math
+import threading
 from datetime import date, datetime, timezone
 
 import numpy as np
@@ -130,6 +131,19 @@ def test_offline_target_and_refresh_guards(spark, prices, universe, target):
         evaluate(prices, universe, target, "refresh")
 
 
+def test_artifacts_are_written_side_by_side(spark, evaluation, tmp_path, monkeypatch):
+    met, write = threading.Barrier(len(ARTIFACTS)), pb.write_sorted
+
+    def waiting(frame, folder):
+        met.wait(60)
+        write(frame, folder)
+
+    monkeypatch.setattr(pb, "write_sorted", waiting)
+    folder = pb.publish(evaluation, str(tmp_path / "runs"), datetime(2026, 1, 2, tzinfo=timezone.utc))
+    manifest, frames = pb.read_run(spark, folder)
+    assert pb.artifact_violations(spark, frames, manifest).isEmpty()
+
+
 def test_publish_and_verify(spark, evaluation, tmp_path):
     root = str(tmp_path / "runs")
     at = datetime(2026, 1, 2, 3, 4, 5, 678900, tzinfo=timezone.utc)
